@@ -152,43 +152,98 @@ def _parts(df: DataFrame) -> Column:
     return F.array(F.struct(*cols))
 
 
-def _single(df: DataFrame, name: str) -> DataFrame:
-    """Result of one atom: (media_id, ord, parts)."""
+def _atom(name: str) -> tuple[Column, Column | None, str | None, bool, int]:
+    """Condition of an atom, its fallback condition with the flag that allows it, best or worst, and the place."""
     v, a = _has("vcodec"), _has("acodec")
-    if name == "all":
-        return df.select("media_id", F.array(-F.col("rank").cast("bigint")).alias("ord"), _parts(df).alias("parts"))
-    if name == "mergeall":
-        live = df.filter(v | a)
-        # The best format, then the best ones that bring a stream it lacks.
-        best = top_n(live, KEY, [F.col("rank").desc()], 1).drop("_rn")
-        lead = best.select("media_id", v.alias("_v"), a.alias("_a"), F.col("rank").alias("_r"))
-        rest = live.join(lead, "media_id").filter(F.col("rank") < F.col("_r"))
-        add_v = top_n(rest.filter(~F.col("_v") & v & ~a), KEY, [F.col("rank").desc()], 1)
-        add_a = top_n(rest.filter(~F.col("_a") & a & ~v), KEY, [F.col("rank").desc()], 1)
-        every = best.unionByName(add_v.select(*best.columns)).unionByName(add_a.select(*best.columns))
-        joined = every.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("o"), _parts(df).alias("p")))).alias("x"))
-        return joined.select("media_id", F.array(F.lit(0).cast("bigint")).alias("ord"), F.flatten(F.transform("x", lambda s: s["p"])).alias("parts"))
     m = re.fullmatch(r"(best|worst|b|w)(video|audio|v|a)?(\*)?(?:\.([1-9]\d*))?", name)
-    nth, best = 1, True
     if m:
-        nth, best, kind, star = int(m[4] or 1), m[1][0] == "b", (m[2] or "")[:1], bool(m[3])
+        kind, star = (m[2] or "")[:1], bool(m[3])
         if kind:
             cond = (v if kind == "v" else a) if star else (~a if kind == "v" else ~v)
-        elif star:
-            cond = F.lit(True)
         else:
-            cond = (v & a) | F.col("_lopsided")
-        cond = cond & (v | a)
-    elif name in AUDIO_EXTS:
-        cond = (F.col("ext") == name) & a
-    elif name in VIDEO_EXTS:
-        cond = (F.col("ext") == name) & v & (a | ~F.col("_merged"))
-    elif name in STORYBOARD_EXTS:
-        cond = (F.col("ext") == name) & ~a & ~v
-    else:
-        cond = F.col("format_id") == name
-    rank = F.col("rank").desc() if best else F.col("rank").asc()
-    got = top_n(df.filter(cond), KEY, [rank], nth).filter(F.col("_rn") == nth)
+            cond = F.lit(True) if star else v & a
+        plain = not kind and not star
+        return cond & (v | a), (v | a) if plain else None, "lopsided" if plain else None, m[1][0] == "b", int(m[4] or 1)
+    if name in AUDIO_EXTS:
+        return (F.col("ext") == name) & a, None, None, True, 1
+    if name in VIDEO_EXTS:
+        return (F.col("ext") == name) & v & a, (F.col("ext") == name) & v, "unmerged", True, 1
+    if name in STORYBOARD_EXTS:
+        return (F.col("ext") == name) & ~a & ~v, None, None, True, 1
+    return F.col("format_id") == name, None, None, True, 1
+
+
+def _flags() -> dict[str, Column]:
+    v, a = _has("vcodec"), _has("acodec")
+    return {"_lopsided": F.bool_and(v & ~a) | F.bool_and(~v & a), "_unmerged": ~F.bool_or(v & a)}
+
+
+def _atoms(node) -> list[str]:
+    if node[0] == "one":
+        return [node[1]]
+    children = node[1] if node[0] in ("list", "first") else node[1:2] if node[0] == "filter" else node[1:]
+    return [x for c in children for x in _atoms(c)]
+
+
+CHOICE_LIST = (
+    "array<array<struct<format_id:string,ext:string,vcodec:string,acodec:string,width:int,height:int,fps:double,"
+    "tbr:double,vbr:double,abr:double,filesize:bigint,filesize_approx:bigint,protocol:string>>>"
+)
+
+
+class _Aggregated:
+    """A selector without ``all`` and without places past the first needs one row per atom and media, so all
+    atoms are aggregates of a single group-by and the tree above them is column arithmetic."""
+
+    def __init__(self, df: DataFrame, allow_multi: bool):
+        self.df, self.allow_multi, self.aggs = df, allow_multi, _flags()
+
+    def _pick(self, cond: Column, best: bool) -> Column:
+        name = f"_p{len(self.aggs)}"
+        entry = F.when(cond, F.struct("rank", F.get(_parts(self.df), F.lit(0)).alias("part")))
+        self.aggs[name] = F.max(entry) if best else F.min(entry)
+        return F.col(name)
+
+    @staticmethod
+    def _choices(picked: Column) -> Column:
+        nothing = F.array().cast(CHOICE_LIST)
+        return F.when(picked.isNull(), nothing).otherwise(F.array(F.array(picked["part"])))
+
+    def node(self, node, cond: Column) -> Column:
+        kind = node[0]
+        if kind == "filter":
+            return self.node(node[1], reduce(lambda x, y: x & y, [format_column(self.df, f) for f in node[2]], cond))
+        if kind == "list":
+            return reduce(lambda x, y: F.concat(x, y), [self.node(c, cond) for c in node[1]])
+        if kind == "first":
+            options = F.array(*[self.node(c, cond) for c in node[1]])
+            return F.coalesce(F.get(F.filter(options, lambda o: F.size(o) > 0), F.lit(0)), F.array().cast(CHOICE_LIST))
+        if kind == "merge":
+            left, right = self.node(node[1], cond), self.node(node[2], cond)
+            join = (lambda x, y: F.concat(x, y)) if self.allow_multi else (lambda x, y: _one_of_each(F.concat(x, y)))
+            return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: join(x, y))))
+        if node[1] == "mergeall":
+            v, a = _has("vcodec"), _has("acodec")
+            best = self._pick(cond & (v | a), True)
+            video, audio = self._pick(cond & v & ~a, True), self._pick(cond & a & ~v, True)
+            every = F.filter(F.array(best["part"], video["part"], audio["part"]), lambda p: p.isNotNull())
+            return F.when(best.isNull(), F.array().cast(CHOICE_LIST)).otherwise(F.array(_one_of_each(every)))
+        main, spare, flag, best, _ = _atom(node[1])
+        got = self._pick(cond & main, best)
+        if spare is not None:
+            got = F.coalesce(got, F.when(F.col(f"_{flag}"), self._pick(cond & spare, best)))
+        return self._choices(got)
+
+
+def _single(df: DataFrame, name: str) -> DataFrame:
+    """Rows of one atom: (media_id, ord, parts)."""
+    if name == "all":
+        return df.select("media_id", F.array(-F.col("rank").cast("bigint")).alias("ord"), _parts(df).alias("parts"))
+    main, spare, flag, best, nth = _atom(name)
+    if name == "mergeall":
+        raise ValueError("mergeall does not mix with all or with places past the first")
+    cond = main | (F.col(f"_{flag}") & spare) if spare is not None else main
+    got = top_n(df.filter(cond), KEY, [F.col("rank").desc() if best else F.col("rank").asc()], nth).filter(F.col("_rn") == nth)
     return got.select("media_id", F.array(F.lit(0).cast("bigint")).alias("ord"), _parts(df).alias("parts"))
 
 
@@ -275,15 +330,15 @@ def describe_choices(choices: DataFrame) -> DataFrame:
 
 def select_formats(ranked: DataFrame, spec: str, allow_multi: bool = False) -> DataFrame:
     """Choices per media for a selector, with ``choice`` numbering them in the selector's order."""
-    v, a = _has("vcodec"), _has("acodec")
-    rows = attach_group(
-        ranked,
-        KEY,
-        _lopsided=F.bool_and(v & ~a) | F.bool_and(~v & a),
-        _merged=F.bool_or(v & a),
-    )
-    got = describe_choices(_evaluate(rows, _selector_tree(spec), allow_multi))
-    return number_rows(got, KEY, ["ord", "format_id"], "choice").drop("ord")
+    tree = _selector_tree(spec)
+    if any(name == "all" or _atom(name)[4] > 1 for name in _atoms(tree)):
+        got = _evaluate(attach_group(ranked, KEY, **_flags()), tree, allow_multi)
+        return number_rows(describe_choices(got), KEY, ["ord", "format_id"], "choice").drop("ord")
+    plan = _Aggregated(ranked, allow_multi)
+    choices = plan.node(tree, F.lit(True))
+    picked = ranked.groupBy("media_id").agg(*[c.alias(n) for n, c in plan.aggs.items()])
+    got = picked.select("media_id", F.posexplode(choices).alias("ord", "parts"))
+    return describe_choices(got).withColumn("choice", (F.col("ord") + 1).cast("bigint")).drop("ord")
 
 
 # ---- identifiers, duplicates, display ------------------------------------------------------------

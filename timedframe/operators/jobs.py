@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.operators.ordered import attach_group, lag_lead, number_rows, run_last, run_sum, scan
+from timedframe.operators.ordered import attach_group, fits, lag_lead, number_rows, run_last, run_sum, scan
 from timedframe.semantics import blank, secs
 
 # Fixed values
@@ -344,9 +344,10 @@ def rate_limit(requests: DataFrame, max_requests: int, window_s: float, key: str
     A quiet stretch longer than window plus longest wait resets a domain, so each busy session replays on
     its own; sessions, not domains, are spread over tasks and streamed in time order.
     """
-    rows = lag_lead(requests.select(key, "event_id", secs("ts").alias("t")), [key], ["t", "event_id"], lags={"_pt": F.col("t")})
+    small = fits(requests, [key])
+    rows = lag_lead(requests.select(key, "event_id", secs("ts").alias("t")), [key], ["t", "event_id"], lags={"_pt": F.col("t")}, bounded=small)
     fresh = F.when(F.col("t") - F.col("_pt") <= window_s + MAX_WAIT_S, 0).otherwise(1)
-    rows = scan(rows, [key], ["t", "event_id"], {"_session": run_sum(fresh)})
+    rows = scan(rows, [key], ["t", "event_id"], {"_session": run_sum(fresh)}, small)
     rows = rows.repartition(key, "_session").sortWithinPartitions(key, "_session", "t", "event_id")
     kind = dict(rows.dtypes)[key]
 
@@ -385,10 +386,11 @@ def progress(updates: DataFrame, key: str = "job_id") -> DataFrame:
     independent; the running size and the start time come from Spark, only the smoothing is sequential.
     """
     rows = updates.select(key, "event_id", "t", "size", "total")
-    rows = scan(rows, [key], ["t", "event_id"], {"_done": run_sum(F.col("size"))})
+    small = fits(updates, [key])
+    rows = scan(rows, [key], ["t", "event_id"], {"_done": run_sum(F.col("size"))}, small)
     rows = attach_group(rows, [key], _t0=F.min("t"))
-    rows = lag_lead(rows, [key], ["t", "event_id"], lags={"_pt": F.col("t")})
-    rows = scan(rows, [key], ["t", "event_id"], {"_session": run_sum(F.when(F.col("t") - F.col("_pt") > SAMPLING_WINDOW_S, 1).otherwise(0))})
+    rows = lag_lead(rows, [key], ["t", "event_id"], lags={"_pt": F.col("t")}, bounded=small)
+    rows = scan(rows, [key], ["t", "event_id"], {"_session": run_sum(F.when(F.col("t") - F.col("_pt") > SAMPLING_WINDOW_S, 1).otherwise(0))}, small)
     rows = rows.repartition(key, "_session").sortWithinPartitions(key, "_session", "t", "event_id")
     kind = dict(rows.dtypes)[key]
 

@@ -56,6 +56,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
+def fits(df: DataFrame, keys: Sequence[str], factor: int = 1) -> bool:
+    """Whether every key, with up to ``factor`` derived rows per row, stays within one task's limit.
+
+    Operators with several ordered steps measure their input once and hand the answer to each step.
+    """
+    return largest_group(df, keys) * factor <= group_limit(df.sparkSession)
+
+
 @dataclass(frozen=True)
 class Run:
     """One running value; ``kind`` is sum, max, min or last."""
@@ -113,16 +121,16 @@ def scan(
     keys: Sequence[str],
     order: Sequence[Column | str],
     runs: dict[str, Run],
-    bounded: bool = False,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Add running values per key in a total order (put a tie-break last in ``order``).
 
     ``bounded=True`` says that the caller has proven every key small, for instance rows that were
-    exploded from one cell; then no measuring job runs.
+    exploded from one cell, and ``False`` that it is not; left open, the groups are measured here.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     limit = group_limit(df.sparkSession)
-    if bounded or largest_group(df, keys) <= limit:
+    if fits(df, keys) if bounded is None else bounded:
         base = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
         return df.select(
             "*",
@@ -182,7 +190,7 @@ def _scan_blocks(df: DataFrame, keys: list[str], order: list[Column], runs: dict
     )
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, bounded: bool = False) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, bounded: bool | None = None) -> DataFrame:
     """1-based position in order."""
     return scan(df, keys, order, {name: run_count()}, bounded)
 
@@ -193,12 +201,14 @@ def lag_lead(
     order: Sequence[str],
     lags: dict[str, Column] | None = None,
     leads: dict[str, Column] | None = None,
-    bounded: bool = False,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Neighbour values over ascending column names: ``lags`` from the row before, ``leads`` from the row after."""
     names = list(df.columns)
     out = df
-    if bounded or largest_group(df, keys) <= group_limit(df.sparkSession):
+    if bounded is None:
+        bounded = fits(df, keys)
+    if bounded:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select(
             "*",
@@ -206,9 +216,9 @@ def lag_lead(
             *[F.lead(v).over(w).alias(n) for n, v in (leads or {}).items()],
         )
     if lags:
-        out = scan(out, keys, [F.col(o).asc() for o in order], {n: prior(v) for n, v in lags.items()})
+        out = scan(out, keys, [F.col(o).asc() for o in order], {n: prior(v) for n, v in lags.items()}, bounded)
     if leads:
-        out = scan(out, keys, [F.col(o).desc() for o in order], {n: prior(v) for n, v in leads.items()})
+        out = scan(out, keys, [F.col(o).desc() for o in order], {n: prior(v) for n, v in leads.items()}, bounded)
     added = [*(lags or {}), *(leads or {})]
     return out.select(*[F.col(f"`{c}`") for c in names], *[F.col(n)["v"].alias(n) for n in added])
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.operators.ordered import attach_group, lag_lead, number_rows, run_max, run_sum, scan
+from timedframe.operators.ordered import attach_group, fits, lag_lead, number_rows, run_max, run_sum, scan
 from timedframe.semantics import r2, strip
 
 # Fixed values
@@ -51,7 +51,7 @@ KEY = ["media_id"]
 # ---- timelines -----------------------------------------------------------------------------------
 
 
-def estimate_timeline(paragraphs: DataFrame, cps: float = CHARS_PER_SECOND, bounded: bool = False) -> DataFrame:
+def estimate_timeline(paragraphs: DataFrame, cps: float = CHARS_PER_SECOND, bounded: bool | None = None) -> DataFrame:
     """Reading-time timeline: each paragraph lasts ``max(1, chars / cps)``; the carry stays unrounded."""
     timed = paragraphs.withColumn("_dur", F.greatest(F.lit(MIN_SECONDS), F.length("text") / F.lit(cps)))
     timed = scan(timed, KEY, ORDER, {"_until": run_sum(F.col("_dur"))}, bounded)
@@ -76,13 +76,14 @@ def stretch_plan(df: DataFrame, dur: str = "dur") -> DataFrame:
     return df.select("*", ratio.alias("stretch_ratio"), (F.col(dur) / ratio).alias("fitted_dur"))
 
 
-def cascade(segments: DataFrame, dur: str = "dur", rate: int = 24000, skip: Column | None = None, bounded: bool = False) -> DataFrame:
+def cascade(segments: DataFrame, dur: str = "dur", rate: int = 24000, skip: Column | None = None, bounded: bool | None = None) -> DataFrame:
     """Place each segment at ``max(own start, previous end)``, in whole samples.
 
     With lengths ``L`` and natural starts ``N``, the end of row i is ``S_i + max_{j<=i}(N_j - S_{j-1})``
     where S is the running sum of L: two running windows, no row-by-row cursor.  Skipped rows keep
     their own window and do not move the cursor.
     """
+    bounded = fits(segments, KEY) if bounded is None else bounded
     skipped = F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)
     rows = segments.select(
         "*",
@@ -202,7 +203,7 @@ def sentences(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.array(parts), lambda a: F.size(a) > 1), F.lit(0)), F.array(text))
 
 
-def split_sentences(segments: DataFrame, renumber: bool = True, bounded: bool = False) -> DataFrame:
+def split_sentences(segments: DataFrame, renumber: bool = True, bounded: bool | None = None) -> DataFrame:
     """One row per sentence with time in proportion to characters; ids count from 1 per media."""
     keep = [c for c in segments.columns if c not in ("start", "end", "text")]
     rows = segments.withColumn("_s", sentences(F.col("text")))
@@ -222,13 +223,14 @@ def ends_sentence(text: Column) -> Column:
 MERGE_BLOCK = 4096
 
 
-def merge_dangling(segments: DataFrame, bounded: bool = False) -> DataFrame:
+def merge_dangling(segments: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Join segments cut in mid sentence to the next one (gap, duration and chain limits).
 
     A row's place in its chain (1, 2 or 3) follows from its predecessor's place and two flags, so each
     block of rows is a map from three entry states to states.  Blocks are folded independently, their
     maps are chained per media, and rows with place 1 start the merged segments.
     """
+    bounded = fits(segments, KEY) if bounded is None else bounded
     words = "words" in segments.columns
     dangling = (~ends_sentence(F.col("text"))) | (F.col("end") - F.col("start") >= FORCED_CUT_SECONDS)
     rows = lag_lead(
@@ -452,14 +454,15 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     A gap of 10 px or more in sorted y stops every move, so bands between gaps are independent; each
     band is folded as one small array.
     """
+    small = fits(boxes, ["page_id"])
     order = ["y", "x", "line_idx"]
-    rows = lag_lead(boxes, ["page_id"], order, lags={"_py": F.col("y")})
+    rows = lag_lead(boxes, ["page_id"], order, lags={"_py": F.col("y")}, bounded=small)
     fresh = F.when(F.col("_py").isNull() | (F.col("y") - F.col("_py") >= SAME_LINE_PIXELS), 1).otherwise(0)
-    rows = scan(rows, ["page_id"], order, {"_band": run_sum(fresh)})
+    rows = scan(rows, ["page_id"], order, {"_band": run_sum(fresh)}, small)
     bands = rows.groupBy("page_id", "_band").agg(
         F.array_sort(F.collect_list(F.struct("y", "x", "line_idx"))).alias("b"), F.count("*").alias("_n")
     )
-    bands = scan(bands, ["page_id"], ["_band"], {"_before": run_sum(F.col("_n"), False)})
+    bands = scan(bands, ["page_id"], ["_band"], {"_before": run_sum(F.col("_n"), False)}, small)
 
     def insert(acc: Column, box: Column) -> Column:
         passes = lambda other: (F.abs(box["y"] - other["y"]) < SAME_LINE_PIXELS) & (box["x"] < other["x"])

@@ -1 +1,160 @@
+"""Checked queries over media formats."""
 
+from pyspark.sql import functions as F
+
+from timedframe import fixtures as fx
+from timedframe.fixtures import oracle
+from timedframe.operators import formats as fm
+from timedframe.registry.core import query
+from timedframe.semantics import r4
+
+
+def formats(spark, sf):
+    return fx.part_formats(spark, sf)
+
+
+def ranked(spark, sf):
+    return fm.rank_formats(fm.fill_sort_fields(formats(spark, sf)), ["height:720", "+tbr"])
+
+
+HAS_V, HAS_A = "coalesce(vcodec <> 'none', true)", "coalesce(acodec <> 'none', true)"
+
+RANK_SQL = f""", ranked AS (SELECT *, {HAS_V} AS v, {HAS_A} AS a, row_number() OVER (PARTITION BY media_id ORDER BY ({HAS_V} OR {HAS_A}), {HAS_V},
+  CASE WHEN height IS NULL THEN 0 WHEN height <= 720 THEN 2 WHEN height > 720 THEN 2 END, CASE WHEN height <= 720 THEN height ELSE -height END NULLS FIRST, -tbr, format_idx) AS rank FROM part_formats)"""
+
+
+@query("fl7_filter_formats", oracle("part_formats", "SELECT part_id FROM part_formats WHERE height <= 720 AND (filesize IS NULL OR filesize > 950000) AND starts_with(vcodec, 'av') AND acodec <> 'opus'"))
+def _(spark, sf):
+    out = formats(spark, sf)
+    for spec in ["height<=720", "filesize>?950K", "vcodec^=av", "acodec!=opus"]:
+        out = fm.filter_formats(out, spec)
+    return out.select("part_id")
+
+
+@query(
+    "fl12_playable_formats",
+    oracle("part_formats", f", p AS (SELECT * FROM part_formats WHERE has_drm IS NULL OR has_drm = 'maybe') SELECT part_id, bool_and(NOT {HAS_V} AND NOT {HAS_A}) OVER (PARTITION BY media_id) AS images_only FROM p"),
+)
+def _(spark, sf):
+    return fm.playable_formats(formats(spark, sf)).select("part_id", "images_only")
+
+
+@query(
+    "sr3_fill_sort_fields",
+    oracle("part_formats", f"""SELECT part_id, 'https' AS protocol, CASE WHEN vcodec = 'none' AND {HAS_A} THEN ext ELSE 'none' END AS audio_ext, CASE WHEN vcodec = 'none' THEN 'none' ELSE ext END AS video_ext,
+  round(CASE WHEN vcodec = 'none' THEN 0 WHEN acodec = 'none' THEN tbr END, 4) AS vbr, round(CASE WHEN acodec = 'none' THEN 0 WHEN vcodec = 'none' THEN tbr END, 4) AS abr, round(tbr, 4) AS tbr FROM part_formats"""),
+)
+def _(spark, sf):
+    out = fm.fill_sort_fields(formats(spark, sf))
+    return out.select("part_id", "protocol", "audio_ext", "video_ext", r4("vbr").alias("vbr"), r4("abr").alias("abr"), r4("tbr").alias("tbr"))
+
+
+@query("sr1_rank_formats", oracle("part_formats", RANK_SQL + " SELECT part_id, rank FROM ranked"))
+def _(spark, sf):
+    return ranked(spark, sf).select("part_id", "rank")
+
+
+VC_RANK = "CASE WHEN vcodec IS NULL THEN 2 WHEN starts_with(vcodec, 'av01') THEN 11 WHEN starts_with(vcodec, 'vp9') THEN 9 WHEN starts_with(vcodec, 'avc') THEN 7 WHEN vcodec = 'none' THEN 1 ELSE 3 END"
+AC_RANK = "CASE WHEN acodec = 'opus' THEN 12 WHEN starts_with(acodec, 'mp4a') THEN 9 WHEN acodec = 'none' THEN 1 ELSE 3 END"
+VX_RANK = "CASE WHEN vcodec = 'none' THEN 1 WHEN ext = 'mp4' THEN 6 WHEN ext = 'webm' THEN 4 ELSE 2 END"
+AX_RANK = f"CASE WHEN NOT (vcodec = 'none') OR vcodec IS NULL OR acodec = 'none' THEN 1 WHEN ext = 'm4a' THEN 8 ELSE 2 END"
+
+
+@query(
+    "sr2_rank_ordered_fields",
+    oracle("part_formats", f"SELECT part_id, row_number() OVER (PARTITION BY media_id ORDER BY ({HAS_V} OR {HAS_A}), {HAS_V}, {VC_RANK}, {AC_RANK}, {VX_RANK}, {AX_RANK}, coalesce(least(height, width), 0), fps NULLS FIRST, filesize NULLS FIRST, tbr, {HAS_A}, format_id, format_idx) AS rank FROM part_formats"),
+)
+def _(spark, sf):
+    return fm.rank_formats(fm.fill_sort_fields(formats(spark, sf)), ["codec", "ext"]).select("part_id", "rank")
+
+
+def best(cond, n=1, desc=True):
+    return f"SELECT media_id, format_id FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY rank {'DESC' if desc else ''}) AS rn FROM ranked WHERE {cond}) WHERE rn = {n}"
+
+
+@query("sr4_select_best", oracle("part_formats", RANK_SQL + f" {best('v AND a')}"))
+def _(spark, sf):
+    return fm.select_formats(ranked(spark, sf), "best").select("media_id", "format_id")
+
+
+@query("sr4_select_worst_video", oracle("part_formats", RANK_SQL + f" {best('NOT a AND v', 2, False)}"))
+def _(spark, sf):
+    return fm.select_formats(ranked(spark, sf), "wv.2").select("media_id", "format_id")
+
+
+@query(
+    "sr5_alternatives",
+    oracle("part_formats", RANK_SQL + f""", one AS ({best("v AND a AND height > 1780")}), two AS ({best("ext = 'm4a' AND a")}), tri AS ({best("v")})
+SELECT media_id, format_id, 1 AS choice FROM one UNION ALL SELECT media_id, format_id, 1 FROM two WHERE media_id NOT IN (SELECT media_id FROM one)
+UNION ALL SELECT media_id, format_id, 2 FROM tri"""),
+)
+def _(spark, sf):
+    return fm.select_formats(ranked(spark, sf), "(best[height>1780]/m4a),bv*").select("media_id", "format_id", F.col("choice").cast("int").alias("choice"))
+
+
+@query(
+    "jn16_merge_formats",
+    oracle("part_formats", RANK_SQL + """, bv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY rank DESC) AS rn FROM ranked WHERE v AND NOT a) WHERE rn = 1),
+ba AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY rank DESC) AS rn FROM ranked WHERE a AND NOT v) WHERE rn = 1)
+SELECT bv.media_id, bv.format_id || '+' || ba.format_id AS format_id, bv.vcodec, ba.acodec, bv.height, round(bv.tbr + ba.tbr, 4) AS tbr, nullif(coalesce(bv.filesize, 0) + coalesce(ba.filesize, 0), 0)::BIGINT AS filesize_approx,
+  'https+https' AS protocol, CASE WHEN bv.vcodec IN ('vp9', 'av01.0') AND ba.acodec = 'opus' THEN 'webm' WHEN bv.ext = 'mp4' AND ba.ext = 'm4a' THEN 'mp4' ELSE 'mkv' END AS ext FROM bv JOIN ba USING (media_id)"""),
+)
+def _(spark, sf):
+    out = fm.select_formats(ranked(spark, sf), "bv+ba")
+    return out.select("media_id", "format_id", "vcodec", "acodec", "height", r4("tbr").alias("tbr"), "filesize_approx", "protocol", "ext")
+
+
+@query("sr5_mergeall")
+def _(spark, sf):
+    return fm.select_formats(ranked(spark, sf), "mergeall").select("media_id", "format_id", "ext")
+
+
+@query(
+    "wn25_unique_format_ids",
+    oracle("part_formats", """, c AS (SELECT *, CASE WHEN part_id % 10 = 0 THEN 'mp4' WHEN part_id % 10 = 1 THEN (format_idx - 1)::VARCHAR ELSE 'a_b_' || format_id END AS cid FROM part_formats),
+u AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY media_id, cid) > 1 THEN cid || '-' || (row_number() OVER (PARTITION BY media_id, cid ORDER BY format_idx) - 1) ELSE cid END AS uid FROM c)
+SELECT part_id, CASE WHEN uid <> ext AND uid = 'mp4' THEN 'f' || uid ELSE uid END AS format_id FROM u"""),
+)
+def _(spark, sf):
+    k = F.col("part_id")
+    name = F.when(k % 10 == 0, "mp4").when(k % 10 == 1, "").otherwise(F.concat(F.lit("a[b "), "format_id"))
+    return fm.unique_format_ids(formats(spark, sf).withColumn("format_id", name)).select("part_id", "format_id")
+
+
+@query(
+    "se2_dedup_formats",
+    oracle("part_formats", """, k AS (SELECT *, part_id % 4 = 0 AS frag, CASE WHEN part_id % 4 = 0 THEN (part_id % 3) || ' ' || (part_id % 5) ELSE url END AS k FROM part_formats)
+SELECT media_id, min(format_idx) AS format_idx FROM k GROUP BY media_id, frag, CASE WHEN frag THEN array_to_string(list_sort(list_distinct(string_split(k, ' '))), ' ') ELSE k END"""),
+)
+def _(spark, sf):
+    k = F.col("part_id")
+    frags = F.when(k % 4 == 0, F.array((k % 5).cast("string"), (k % 3).cast("string"), (k % 5).cast("string")))
+    return fm.dedup_formats(formats(spark, sf).withColumn("fragment_urls", frags)).select("media_id", "format_idx")
+
+
+@query(
+    "ag17_group_quality",
+    oracle("part_formats", f""", g AS (SELECT *, CASE WHEN part_id % 7 <> 0 THEN 'g' || (part_id % 3) END AS grp FROM part_formats),
+q AS (SELECT media_id, grp, min((coalesce(tbr, 0), coalesce(width, 0), format_idx)) AS k FROM g WHERE {HAS_V} AND grp IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY k) AS place, count(*) OVER (PARTITION BY media_id) AS n FROM q)
+SELECT part_id, CASE WHEN NOT {HAS_V} AND n > 1 THEN place - 1 END AS source_preference, CASE WHEN NOT {HAS_V} AND n > 1 THEN CASE WHEN place = 1 THEN 'low' WHEN place = n THEN 'high' END END AS quality_note
+FROM g LEFT JOIN p ON g.media_id = p.media_id AND g.grp = p.grp"""),
+)
+def _(spark, sf):
+    g = F.when(F.col("part_id") % 7 != 0, F.concat(F.lit("g"), (F.col("part_id") % 3).cast("string")))
+    return fm.group_quality(formats(spark, sf).withColumn("audio_group_id", g)).select("part_id", "source_preference", "quality_note")
+
+
+@query(
+    "sc17_display_fields",
+    oracle("part_formats", f"""SELECT part_id, CASE WHEN vcodec = 'none' AND {HAS_A} THEN 'audio only' WHEN height > 0 THEN width || 'x' || height END AS resolution, round(round_even(width / height, 2), 4) AS aspect_ratio,
+  CASE WHEN {HAS_V} THEN 'SDR' END AS dynamic_range, CASE WHEN filesize IS NULL THEN floor(60.0::DOUBLE * tbr * 125)::BIGINT END AS filesize_approx FROM part_formats"""),
+)
+def _(spark, sf):
+    out = fm.display_fields(formats(spark, sf).withColumn("duration", F.lit(60.0)))
+    return out.select("part_id", "resolution", r4("aspect_ratio").alias("aspect_ratio"), "dynamic_range", "filesize_approx")
+
+
+@query("sc17_format_note")
+def _(spark, sf):
+    return fm.display_fields(formats(spark, sf).withColumn("duration", F.lit(60.0))).select("part_id", "note")

@@ -1 +1,312 @@
+"""Checked queries over metadata expressions.  Texts are built from table columns; oracles compute from the numbers."""
 
+from pyspark.sql import functions as F
+
+from timedframe import fixtures as fx
+from timedframe.fixtures import oracle
+from timedframe.functions import scalars as sc
+from timedframe.operators.catalog import domain_of
+from timedframe.operators.formats import format_bytes
+from timedframe.registry.core import query
+from timedframe.semantics import r4
+
+K = F.col("o_orderkey")
+
+
+def orders(spark, sf):
+    return fx.table(spark, sf, "orders")
+
+
+def s(c):
+    return c.cast("bigint").cast("string")
+
+
+def pad(c):
+    return F.lpad(s(c), 2, "0")
+
+
+def cat(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+@query(
+    "sc1_parse_duration",
+    """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 90 + 100 AS m, o_orderkey % 60 AS sec, o_orderkey % 24 AS h, o_orderkey % 7 AS form FROM orders)
+SELECT k AS id, round(CASE form WHEN 0 THEN h * 3600 + (m % 60) * 60 + sec + 0.5 WHEN 1 THEN 86400 + h * 3600 + sec WHEN 2 THEN h * 3600 + (m % 60) * 60 WHEN 3 THEN (h + 0.5) * 3600 WHEN 4 THEN m * 60 + sec WHEN 5 THEN (m % 60) * 60 + sec END, 4) AS seconds FROM k""",
+)
+def _(spark, sf):
+    m, sec, h, form = K % 90 + 100, K % 60, K % 24, K % 7
+    text = (
+        F.when(form == 0, cat(s(h), ":", pad(m % 60), ":", pad(sec), ".5"))
+        .when(form == 1, cat("P1DT", s(h), "H", s(sec), "S"))
+        .when(form == 2, cat(s(h), " hours, ", s(m % 60), " mins"))
+        .when(form == 3, cat(s(h), ".5 hours"))
+        .when(form == 4, cat("  ", s(m), ":", pad(sec)))
+        .when(form == 5, cat("P3M2W0DT", s(m % 60), "M", s(sec), "S"))
+        .otherwise("soon")
+    )
+    return orders(spark, sf).select(K.alias("id"), r4(sc.parse_duration(text)).alias("seconds"))
+
+
+@query(
+    "sc2_parse_filesize",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 500) * 1048576 + 524288 WHEN 1 THEN (o_orderkey % 900) * 1000 WHEN 2 THEN (o_orderkey % 900) * 1024 WHEN 3 THEN (o_orderkey % 9) * 1000000000 + 250000000 END::BIGINT AS bytes FROM orders""",
+)
+def _(spark, sf):
+    f = K % 5
+    text = F.when(f == 0, cat(s(K % 500), ".5 MiB")).when(f == 1, cat(s(K % 900), "KB")).when(f == 2, cat(s(K % 900), "kB total")).when(f == 3, cat(s(K % 9), ",25 gigabytes")).otherwise(cat(s(K), " things"))
+    return orders(spark, sf).select(K.alias("id"), sc.parse_filesize(text).alias("bytes"))
+
+
+@query(
+    "sc3_parse_count",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 80) * 1000000 + 200000 WHEN 1 THEN 1000 + o_orderkey % 900 WHEN 2 THEN (o_orderkey % 50) * 1000 WHEN 3 THEN o_orderkey END::BIGINT AS n FROM orders""",
+)
+def _(spark, sf):
+    f = K % 5
+    text = F.when(f == 0, cat(s(K % 80), ".2M views")).when(f == 1, cat("1,", F.lpad(s(K % 900), 3, "0"))).when(f == 2, cat("about ", s(K % 50), "k")).when(f == 3, cat(s(K), " views")).otherwise("none")
+    return orders(spark, sf).select(K.alias("id"), sc.parse_count(text).alias("n"))
+
+
+@query(
+    "sc4_parse_resolution",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 2000 + 100 END::INT AS width, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 1000 + 50 WHEN 1 THEN 720 WHEN 2 THEN 2160 END::INT AS height, CASE o_orderkey % 4 WHEN 1 THEN 60 END::INT AS fps FROM orders""",
+)
+def _(spark, sf):
+    f = K % 4
+    text = F.when(f == 0, cat("size ", s(K % 2000 + 100), " x ", s(K % 1000 + 50))).when(f == 1, "HD 720p60").when(f == 2, "in 4K").otherwise("a720px")
+    return orders(spark, sf).select(K.alias("id"), sc.parse_resolution(text).alias("r")).select("id", "r.*")
+
+
+@query("sc5_parse_bitrate", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 320 END AS kbps FROM orders")
+def _(spark, sf):
+    text = F.when(K % 3 == 0, "loud").otherwise(cat("audio ", s(K % 320), " kbps"))
+    return orders(spark, sf).select(K.alias("id"), sc.parse_bitrate(text).alias("kbps"))
+
+
+@query(
+    "sc6_parse_codecs",
+    """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'avc1.64001f' WHEN 1 THEN 'none' WHEN 2 THEN 'av01.0.05M.10' WHEN 3 THEN 'vp09.02.51' WHEN 4 THEN 'xx' END AS vcodec,
+  CASE p_partkey % 6 WHEN 0 THEN 'mp4a.40.2' WHEN 1 THEN 'opus' WHEN 2 THEN 'none' WHEN 3 THEN 'none' WHEN 4 THEN 'yy' END AS acodec, CASE p_partkey % 6 WHEN 3 THEN 'wvtt' END AS scodec,
+  CASE p_partkey % 6 WHEN 2 THEN 'HDR10' WHEN 3 THEN 'HDR10' END AS dynamic_range FROM part""",
+)
+def _(spark, sf):
+    k = F.col("p_partkey")
+    f = k % 6
+    text = F.when(f == 0, "AVC1.64001f, mp4a.40.2").when(f == 1, "opus,").when(f == 2, "av01.0.05M.10").when(f == 3, "vp09.02.51, wvtt").when(f == 4, "xx, yy").otherwise("zz")
+    return fx.table(spark, sf, "part").select(k.alias("id"), sc.parse_codecs(text).alias("c")).select("id", "c.*")
+
+
+@query(
+    "sc7_parse_iso8601",
+    """SELECT event_id AS id, (epoch_us(ts) // 1000000 - CASE event_id % 3 WHEN 0 THEN 7200 WHEN 1 THEN -12600 ELSE 0 END)::BIGINT AS epoch FROM events""",
+)
+def _(spark, sf):
+    k = F.col("event_id")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 3 == 0, ".250+02:00").when(k % 3 == 1, "-0330").otherwise("Z"))
+    return fx.table(spark, sf, "events").select(k.alias("id"), sc.parse_iso8601(text).alias("epoch"))
+
+
+@query("sc8_unified_date", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%d') AS day FROM orders")
+def _(spark, sf):
+    d = F.col("o_orderdate")
+    text = (
+        F.when(K % 6 == 0, F.date_format(d, "d MMMM yyyy"))
+        .when(K % 6 == 1, F.date_format(d, "MMM d, yyyy"))
+        .when(K % 6 == 2, F.date_format(d, "d/M/yyyy"))
+        .when(K % 6 == 3, F.date_format(d, "yyyyMMdd"))
+        .when(K % 6 == 4, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.date_format(d, "d.M.yyyy HH:mm"))
+    )
+    return orders(spark, sf).select(K.alias("id"), sc.unified_date(text).alias("day"))
+
+
+@query("sc9_unified_timestamp", "SELECT event_id AS id, (epoch_us(ts) // 60000000 * 60 + CASE event_id % 2 WHEN 0 THEN 18000 ELSE 0 END)::BIGINT AS epoch FROM events")
+def _(spark, sf):
+    k = F.col("event_id")
+    text = F.when(k % 2 == 0, F.concat(F.lit("Monday, "), F.date_format("ts", "yyyy/MM/dd HH:mm"), F.lit(" EST"))).otherwise(F.concat(F.date_format("ts", "MMM d, yyyy 'at' HH:mm"), F.lit(" GMT")))
+    return fx.table(spark, sf, "events").select(k.alias("id"), sc.unified_timestamp(text).alias("epoch"))
+
+
+@query("sc10_month_arithmetic", "SELECT o_orderkey AS id, strftime(o_orderdate - INTERVAL 5 MONTH, '%Y-%m-%d') AS earlier, strftime(o_orderdate + INTERVAL 13 MONTH, '%Y-%m-%d') AS later FROM orders")
+def _(spark, sf):
+    d = F.col("o_orderdate").cast("date")
+    return orders(spark, sf).select(K.alias("id"), sc.add_months(d, -5).cast("string").alias("earlier"), sc.add_months(d, 13).cast("string").alias("later"))
+
+
+@query("sc10_round_time", "SELECT event_id AS id, ((epoch_us(ts) + 1800000000) // 3600000000 * 3600)::BIGINT AS hour, ((epoch_us(ts) + 43200000000) // 86400000000 * 86400)::BIGINT AS day FROM events")
+def _(spark, sf):
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), sc.round_time(F.col("ts"), "hour").alias("hour"), sc.round_time(F.col("ts")).alias("day"))
+
+
+@query(
+    "sc11_parse_age",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 30 WHEN 1 THEN 13 WHEN 2 THEN 17 WHEN 3 THEN 7 END::INT AS age FROM orders""",
+)
+def _(spark, sf):
+    f = K % 5
+    text = F.when(f == 0, cat(s(K % 30), "+")).when(f == 1, "pg-13").when(f == 2, "TV_MA").when(f == 3, "TVY7").otherwise("unrated")
+    return orders(spark, sf).select(K.alias("id"), sc.parse_age(text).alias("age"))
+
+
+@query("sc12_language_codes", "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END AS long_code, lang AS short_code FROM documents")
+def _(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", sc.long_language(F.concat("lang", F.lit("-x"))).alias("long_code"), sc.short_language(sc.long_language(F.col("lang"))).alias("short_code"))
+
+
+@query(
+    "sc13_coercion",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 10 END AS scaled, CASE WHEN o_orderkey % 3 <> 0 THEN round(o_orderkey / 1000, 4) END AS fl, o_orderkey * 1000 + 5 AS n, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS flag FROM orders""",
+)
+def _(spark, sf):
+    text = F.when(K % 3 == 0, "n/a").otherwise(cat(" ", s(K), " "))
+    flag = F.when(K % 3 == 0, "maybe").when(K % 3 == 1, "True").otherwise("FALSE")
+    return orders(spark, sf).select(
+        K.alias("id"), sc.int_or_none(text, invscale=10).alias("scaled"), r4(sc.float_or_none(text, scale=1000)).alias("fl"), sc.str_to_int(cat(s(K), ",005")).alias("n"), sc.bool_or_none(flag).alias("flag")
+    )
+
+
+@query(
+    "sc14_format_numbers",
+    """SELECT o_orderkey AS id, CASE WHEN n < 1024 THEN printf('%.2fB', n::DOUBLE) WHEN n < 1048576 THEN printf('%.2fKiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2fMiB', n / 1048576.0::DOUBLE) ELSE printf('%.2fGiB', n / 1073741824.0::DOUBLE) END AS bytes,
+  CASE WHEN n < 1000 THEN n || '' WHEN n < 1000000 THEN (n // 1000) || 'k' WHEN n < 1000000000 THEN (n // 1000000) || 'M' ELSE (n // 1000000000) || 'G' END AS short, CASE WHEN t >= 3600 THEN printf('%d:%02d:%02d', t // 3600, t // 60 % 60, t % 60) WHEN t >= 60 THEN printf('%d:%02d', t // 60, t % 60) ELSE t || '' END AS clock
+FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 7 + 3 AS n, o_orderkey % 9000 AS t FROM orders)""",
+)
+def _(spark, sf):
+    n = K * K * 7 + 3
+    return orders(spark, sf).select(K.alias("id"), format_bytes(n).alias("bytes"), sc.decimal_suffix(n).alias("short"), sc.clock_text(K % 9000).alias("clock"))
+
+
+@query(
+    "sc15_normalize_media",
+    """WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority ELSE '' END AS title, o_orderkey % 7000 - 50 AS d, epoch(o_orderdate)::BIGINT AS ts, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_live,
+  CASE o_orderkey % 2 WHEN 0 THEN true ELSE false END AS was_live, CASE WHEN o_orderkey % 5 = 0 THEN 'post_live' END AS ls, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 12 END AS season_number FROM orders),
+n AS (SELECT *, coalesce(ls, CASE WHEN is_live THEN 'is_live' WHEN is_live = false AND was_live THEN 'was_live' WHEN is_live = false AND NOT was_live THEN 'not_live' END) AS live_status FROM m)
+SELECT id, CASE WHEN title = '' THEN 'a-b video #' || id ELSE title END AS title, CASE WHEN d > 0 THEN d END AS duration, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y%m%d') AS upload_date, live_status,
+  coalesce(is_live, live_status = 'is_live') AS is_live, CASE WHEN live_status = 'post_live' THEN true ELSE was_live END AS was_live, 'Season ' || season_number AS season FROM n""",
+)
+def _(spark, sf):
+    m = orders(spark, sf).select(
+        K.alias("id"),
+        F.lit("a:b").alias("extractor"),
+        F.when(K % 4 != 0, F.col("o_orderpriority")).otherwise("").alias("title"),
+        s(K % 7000 - 50).alias("duration"),
+        F.unix_seconds("o_orderdate").alias("timestamp"),
+        F.lit(None).cast("string").alias("upload_date"),
+        F.when(K % 3 == 0, True).when(K % 3 == 1, False).alias("is_live"),
+        (K % 2 == 0).alias("was_live"),
+        F.when(K % 5 == 0, "post_live").alias("live_status"),
+        F.when(K % 6 != 0, K % 12).alias("season_number"),
+        F.lit(None).cast("string").alias("season"),
+    )
+    return sc.normalize_media(m).select("id", "title", "duration", "upload_date", "live_status", "is_live", "was_live", "season")
+
+
+@query(
+    "sc16_coerce_fields",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS view_count, round(CASE WHEN o_orderkey % 2 = 0 THEN 12.5 WHEN o_orderkey % 5 <> 0 THEN o_totalprice END, 4) AS duration FROM orders""",
+)
+def _(spark, sf):
+    m = orders(spark, sf).select(
+        K.alias("id"), F.when(K % 3 == 0, "many").otherwise(s(K)).alias("view_count"), F.when(K % 5 == 0, -1.0).otherwise(F.col("o_totalprice")).alias("duration"),
+        F.when(K % 2 == 0, 10.0).alias("section_start"), F.when(K % 2 == 0, 22.5).alias("section_end"),
+    )
+    return sc.coerce_fields(m).select("id", "view_count", r4("duration").alias("duration"))
+
+
+FOLD = "regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')"
+
+
+@query(
+    "sc18_names",
+    oracle("doc_lines", rf"""SELECT media_id, seg_id, nullif(substr(regexp_replace(regexp_replace(lower({FOLD}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '') AS slug,
+  nullif(substr(regexp_replace(regexp_replace(text, '[/\\\x00-\x1f]', '', 'g'), '{fx.WS}+', '_', 'g'), 1, 60), '') AS name FROM doc_lines WHERE regexp_matches(text, '^[\x20-\x7E\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{FF}}]*$') AND NOT regexp_matches(text, '[ßæøÆØÞþÐð]')"""),
+)
+def _(spark, sf):
+    plain = F.col("text").rlike(r"^[\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*$") & ~F.col("text").rlike("[ßæøÆØÞþÐð]")
+    return fx.doc_lines(spark, sf).filter(plain).select("media_id", "seg_id", sc.slugify(F.col("text")).alias("slug"), sc.clean_name(F.col("text")).alias("name"))
+
+
+@query(
+    "sc18_sanitize_filename",
+    oracle("doc_lines", "SELECT media_id, seg_id, translate(regexp_replace(text || ': a/b?', '[\\x00-\\x1f\\x7f]', '', 'g'), '\"*:<>?|/\\', '＂＊：＜＞？｜⧸⧹') AS name FROM doc_lines WHERE NOT regexp_matches(text, '[0-9]:[0-9]')"),
+)
+def _(spark, sf):
+    d = fx.doc_lines(spark, sf).filter(~F.col("text").rlike("[0-9]:[0-9]"))
+    return d.select("media_id", "seg_id", sc.sanitize_filename(F.concat("text", F.lit(": a/b?"))).alias("name"))
+
+
+@query(
+    "sc19_url_parts",
+    r"""SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\.', '') AS domain, list_extract(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/'), -1) AS basename,
+  regexp_extract(url, '^([^?#]*)', 1) || '?' || array_to_string(list_append(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'ref=')), 'ref=n' || page_id), '&') || regexp_extract(url, '(#.*)$', 1) AS updated,
+  regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/up' AS joined, 'http:' || regexp_replace(url, '^https?:', '') AS schemed,
+  CASE WHEN page_id % 2 = 0 THEN 'https://www.douyin.com/video/' || page_id ELSE url END AS rewritten FROM pages""",
+)
+def _(spark, sf):
+    u, k = F.col("url"), F.col("page_id")
+    shown = F.when(k % 2 == 0, F.concat(F.lit("https://v.douyin.com/discover?modal_id="), k.cast("string"))).otherwise(u)
+    return fx.table(spark, sf, "pages").select(
+        "page_id",
+        domain_of(u).alias("domain"),
+        sc.url_basename(u).alias("basename"),
+        sc.update_query(u, "ref", F.concat(F.lit("n"), k.cast("string"))).alias("updated"),
+        sc.urljoin(u, F.lit("/up")).alias("joined"),
+        sc.sanitize_url(F.regexp_replace(u, "^https?:", "")).alias("schemed"),
+        sc.normalize_video_url(shown).alias("rewritten"),
+    )
+
+
+@query(
+    "sc20_trim_times",
+    """SELECT o_orderkey AS id, (o_orderkey % 5) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59 + 0.0::DOUBLE AS start_s, CASE WHEN o_orderkey % 9 = 0 THEN 'invalid time' WHEN (o_orderkey % 7) * 60 + 5 <= (o_orderkey % 5) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59 THEN 'end must come after start' END AS error FROM orders""",
+)
+def _(spark, sf):
+    a = cat(pad(K % 5), ":", pad(K % 60), ":", pad(K % 59))
+    b = F.when(K % 9 == 0, "later").otherwise(cat(s(K % 7), ":05"))
+    return orders(spark, sf).select(K.alias("id"), sc.hms_seconds(a).alias("start_s"), sc.trim_error(a, b).alias("error"))
+
+
+@query(
+    "sc21_subtitle_clocks",
+    oracle("doc_segments", """, m AS (SELECT *, round_even(start * 1000, 0)::BIGINT AS ms, round_even(start * 100, 0)::BIGINT AS cs FROM doc_segments)
+SELECT media_id, seg_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS srt, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS ass,
+  round(ms / 1000.0::DOUBLE, 4) AS back, round(start, 4) AS dfxp FROM m"""),
+)
+def _(spark, sf):
+    t = F.col("start")
+    d = fx.doc_segments(spark, sf)
+    return d.select(
+        "media_id", "seg_id", sc.srt_time(t).alias("srt"), sc.ass_time(t).alias("ass"), r4(sc.srt_seconds(sc.srt_time(t))).alias("back"),
+        r4(sc.dfxp_seconds(F.when(F.col("seg_id") % 2 == 0, F.concat(t.cast("decimal(12,2)").cast("string"), F.lit("s"))).otherwise(sc.srt_time(t, ".")))).alias("dfxp"),
+    )
+
+
+@query("sc28_strip_jsonp", "SELECT event_id AS id, props AS body FROM events")
+def _(spark, sf):
+    text = F.concat(F.lit("cb.f( "), F.col("props"), F.lit(");\n// done"))
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), sc.strip_jsonp(text).alias("body"))
+
+
+@query(
+    "sc35_truncate",
+    oracle("doc_lines", """SELECT media_id, seg_id, CASE WHEN length(text) > 30 THEN substr(text, 1, 27) || '...' ELSE text END AS head, CASE WHEN length(text) > 30 THEN substr(text, 1, 17) || '...' || right(text, 10) ELSE text END AS middle,
+  concat_ws('-', language, nullif(substr(text, 1, 5), 'The a'), seg_id) AS joined, substr(text, 1, 300) AS clip FROM doc_lines"""),
+)
+def _(spark, sf):
+    t = F.col("text")
+    return fx.doc_lines(spark, sf).select(
+        "media_id", "seg_id", sc.truncate(t, 30).alias("head"), sc.truncate(t, 20, 10).alias("middle"),
+        sc.join_nonempty(F.col("language"), F.nullif(F.substring(t, 1, 5), F.lit("The a")), F.col("seg_id")).alias("joined"), F.substring(t, 1, 300).alias("clip"),
+    )
+
+
+@query(
+    "sc37_availability",
+    """WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 10 THEN o_orderkey % 11 = 0 END AS a, CASE WHEN o_orderkey % 7 <> 6 THEN o_orderkey % 7 = 0 END AS b, o_orderkey % 5 = 0 AS c, o_orderkey % 3 = 0 AS d, o_orderkey % 2 = 0 AS e FROM orders)
+SELECT id, CASE WHEN a THEN 'private' WHEN b THEN 'premium_only' WHEN c THEN 'subscriber_only' WHEN d THEN 'needs_auth' WHEN e THEN 'unlisted' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'public' END AS availability FROM f""",
+)
+def _(spark, sf):
+    flags = [F.when(K % 11 != 10, K % 11 == 0), F.when(K % 7 != 6, K % 7 == 0), K % 5 == 0, K % 3 == 0, K % 2 == 0]
+    return orders(spark, sf).select(K.alias("id"), sc.availability(*flags).alias("availability"))
