@@ -51,14 +51,19 @@ def _attr(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(p), F.concat(F.regexp_extract(tag, p, 1), F.regexp_extract(tag, p, 2), F.regexp_extract(tag, p, 3)))
 
 
-def meta_content(html: Column, *names: str) -> Column:
-    """Content of the first meta tag of one of the names (name, property, itemprop or http-equiv)."""
-    found = F.transform(_tags(html, "meta"), lambda t: F.struct(F.lower(_attr(t, "name|property|itemprop|http-equiv")).alias("k"), _attr(t, "content").alias("v")))
-    return F.coalesce(*[unescape(F.get(F.filter(found, lambda m: (m["k"] == n.lower()) & m["v"].isNotNull()), F.lit(0))["v"]) for n in names])
+def meta_tags(html: Column) -> Column:
+    """All meta tags as (k, v): lower-case name, property, itemprop or http-equiv, and decoded content."""
+    found = F.transform(_tags(html, "meta"), lambda t: F.struct(F.lower(_attr(t, "name|property|itemprop|http-equiv")).alias("k"), unescape(_attr(t, "content")).alias("v")))
+    return F.filter(found, lambda m: m["k"].isNotNull() & m["v"].isNotNull())
 
 
-def og_property(html: Column, name: str) -> Column:
-    return meta_content(html, f"og:{name}", f"og-{name}")
+def meta_content(tags: Column, *names: str) -> Column:
+    """Content of the first tag of the first name that occurs."""
+    return F.coalesce(*[F.get(F.filter(tags, lambda m: m["k"] == n.lower()), F.lit(0))["v"] for n in names])
+
+
+def og_property(tags: Column, name: str) -> Column:
+    return meta_content(tags, f"og:{name}", f"og-{name}")
 
 
 def page_title(html: Column) -> Column:
@@ -66,20 +71,21 @@ def page_title(html: Column) -> Column:
 
 
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
-    h = F.col(html)
-    rta = F.regexp_like(h, F.lit(r"(?i)<meta\s[^>]*?name\s*=\s*[\"']rating[\"'][^>]*content\s*=\s*[\"']RTA-5042-1996-1400-1577-RTA[\"']"))
-    friendly = F.lower(meta_content(h, "isFamilyFriendly"))
-    return pages.withColumns(
+    h, m = F.col(html), F.col("_meta")
+    rows = pages.withColumn("_meta", meta_tags(h))
+    rta = meta_content(m, "rating") == "RTA-5042-1996-1400-1577-RTA"
+    friendly = F.lower(meta_content(m, "isFamilyFriendly"))
+    return rows.withColumns(
         {
             "title": page_title(h),
-            "og_title": og_property(h, "title"),
-            "og_description": og_property(h, "description"),
-            "og_image": og_property(h, "image"),
-            "description": meta_content(h, "description", "dc.description", "dcterms.description"),
-            "twitter_player": meta_content(h, "twitter:player"),
+            "og_title": og_property(m, "title"),
+            "og_description": og_property(m, "description"),
+            "og_image": og_property(m, "image"),
+            "description": meta_content(m, "description", "dc.description", "dcterms.description"),
+            "twitter_player": meta_content(m, "twitter:player"),
             "age_limit": F.when(rta | friendly.isin("false", "0"), 18).when(friendly.isin("true", "1"), 0),
         }
-    )
+    ).drop("_meta")
 
 
 JSON_LD = """array<struct<`@type`:string,`@graph`:array<struct<`@type`:string,name:string,headline:string,description:string,duration:string,uploadDate:string,datePublished:string,contentUrl:string,embedUrl:string,interactionStatistic:array<struct<interactionType:string,userInteractionCount:string>>,hasPart:array<struct<name:string,startOffset:double,endOffset:double>>>>,

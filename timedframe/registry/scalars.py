@@ -310,3 +310,46 @@ SELECT id, CASE WHEN a THEN 'private' WHEN b THEN 'premium_only' WHEN c THEN 'su
 def _(spark, sf):
     flags = [F.when(K % 11 != 10, K % 11 == 0), F.when(K % 7 != 6, K % 7 == 0), K % 5 == 0, K % 3 == 0, K % 2 == 0]
     return orders(spark, sf).select(K.alias("id"), sc.availability(*flags).alias("availability"))
+
+
+# ---- templates, metadata rules, paths ------------------------------------------------------------
+
+
+@query(
+    "sc30_template",
+    oracle("ord_entries", """SELECT id, printf('%03d', playlist_index) || ' - ' || title || ' [' || coalesce(age_limit::VARCHAR, 'none') || '] ' || strftime(upload_date, '%Y.%m.%d') || ' ' || (view_count + 1 - playlist_index) || coalesce(' lasts ' || printf('%.1f', duration), '') || ' 100% ' || CASE WHEN age_limit IS NULL THEN status ELSE age_limit::VARCHAR END || ' ' || (view_count // 1000) || 'k NA' AS name FROM ord_entries WHERE view_count BETWEEN 1000 AND 999999"""),
+)
+def _(spark, sf):
+    from timedframe.functions.templates import template
+
+    df = fx.ord_entries(spark, sf).filter(F.col("view_count").between(1000, 999999)).withColumn("duration", F.floor(F.col("duration") * 10) / 10)
+    text = "%(playlist_index)03d - %(title)s [%(age_limit|none)s] %(upload_date>%Y.%m.%d)s %(view_count+1-playlist_index)d%(duration& lasts {}|).1f 100%% %(age_limit,status)s %(view_count)D %(nothing)s"
+    return df.select("id", template(df, text).alias("name"))
+
+
+@query(
+    "sc31_interpret",
+    "SELECT o_orderkey AS id, split_part(o_orderpriority, '-', 1) AS level, split_part(o_orderpriority, '-', 2) AS label, regexp_replace(o_orderpriority, '([A-Z])([A-Z]+)', '\\2\\1') AS title FROM orders",
+)
+def _(spark, sf):
+    from timedframe.operators.extensions import apply_actions
+
+    df = orders(spark, sf).select(K.alias("id"), F.col("o_orderpriority").alias("title"))
+    out = apply_actions(df, [("interpret", "title", "%(level)s-%(label)s"), ("replace", "title", "([A-Z])([A-Z]+)", r"\2\1")])
+    first = F.regexp_replace(F.col("title"), "x^", "")
+    return out.select("id", "level", "label", first.alias("title"))
+
+
+@query(
+    "sc29_traverse",
+    """SELECT user_id AS id, max(event_id) AS last_id, string_agg(event_type, ',' ORDER BY event_id) FILTER (value > 50) AS big, min(event_id) AS first_id FROM events GROUP BY user_id HAVING count(*) FILTER (value > 50) > 0""",
+)
+def _(spark, sf):
+    from timedframe.functions.traverse import traverse
+
+    e = fx.table(spark, sf, "events")
+    rows = F.array_sort(F.collect_list(F.struct("event_id", F.struct(F.col("event_type").alias("kind"), F.col("value").alias("amount")).alias("info"))))
+    df = e.groupBy(F.col("user_id").alias("id")).agg(rows.alias("log")).withColumn("meta", F.create_map(F.lit("seen"), F.col("log")))
+    df = df.filter(F.exists("log", lambda x: x["info"]["amount"] > 50))
+    big = traverse(df, ("nope", 1), ("meta", "seen", lambda x: x["info"]["amount"] > 50, "info", ("missing", "kind")))
+    return df.select("id", traverse(df, ("log", -1, "event_id")).alias("last_id"), F.array_join(big, ",").alias("big"), traverse(df, ("meta", "other", 0, "event_id"), ("meta", "seen", 0, "event_id")).alias("first_id"))
