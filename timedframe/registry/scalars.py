@@ -317,7 +317,7 @@ def _(spark, sf):
 
 @query(
     "sc30_template",
-    oracle("ord_entries", """SELECT id, printf('%03d', playlist_index) || ' - ' || title || ' [' || coalesce(age_limit::VARCHAR, 'none') || '] ' || strftime(upload_date, '%Y.%m.%d') || ' ' || (view_count + 1 - playlist_index) || coalesce(' lasts ' || printf('%.1f', duration), '') || ' 100% ' || CASE WHEN age_limit IS NULL THEN status ELSE age_limit::VARCHAR END || ' ' || (view_count // 1000) || 'k NA' AS name FROM ord_entries WHERE view_count BETWEEN 1000 AND 999999"""),
+    oracle("ord_entries", """SELECT id, printf('%03d', playlist_index) || ' - ' || title || ' [' || coalesce(age_limit::VARCHAR, 'none') || '] ' || strftime(upload_date, '%Y.%m.%d') || ' ' || (view_count + 1 - playlist_index) || coalesce(' lasts ' || printf('%.1f', floor(duration * 10) / 10), '') || ' 100% ' || CASE WHEN age_limit IS NULL THEN status ELSE age_limit::VARCHAR END || ' ' || (view_count // 1000) || 'k NA' AS name FROM ord_entries WHERE view_count BETWEEN 1000 AND 999999"""),
 )
 def _(spark, sf):
     from timedframe.functions.templates import template
@@ -329,15 +329,14 @@ def _(spark, sf):
 
 @query(
     "sc31_interpret",
-    "SELECT o_orderkey AS id, split_part(o_orderpriority, '-', 1) AS level, split_part(o_orderpriority, '-', 2) AS label, regexp_replace(o_orderpriority, '([A-Z])([A-Z]+)', '\\2\\1') AS title FROM orders",
+    "SELECT o_orderkey AS id, split_part(o_orderpriority, '-', 1) AS level, split_part(o_orderpriority, '-', 2) AS label, regexp_replace(o_orderpriority, '([A-Z])([A-Z]+)', '\\2\\1', 'g') AS title FROM orders",
 )
 def _(spark, sf):
     from timedframe.operators.extensions import apply_actions
 
     df = orders(spark, sf).select(K.alias("id"), F.col("o_orderpriority").alias("title"))
     out = apply_actions(df, [("interpret", "title", "%(level)s-%(label)s"), ("replace", "title", "([A-Z])([A-Z]+)", r"\2\1")])
-    first = F.regexp_replace(F.col("title"), "x^", "")
-    return out.select("id", "level", "label", first.alias("title"))
+    return out.select("id", "level", "label", "title")
 
 
 @query(
