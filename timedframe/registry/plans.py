@@ -1 +1,116 @@
+"""Checked queries over the compositions."""
 
+from pyspark.sql import functions as F
+
+from timedframe import fixtures as fx
+from timedframe.fixtures import oracle
+from timedframe.operators.catalog import Rules
+from timedframe.plans import media as pl
+from timedframe.registry import intervals as ri
+from timedframe.registry.core import query
+from timedframe.registry.corpus import clips
+from timedframe.registry.formats import RANK_SQL
+from timedframe.registry.jobs import NOW, STATE_SQL, TODAY, service
+from timedframe.registry.segments import SENT_SQL
+from timedframe.semantics import r4
+
+
+@query("pl1_transcript_to_cues")
+def _(spark, sf):
+    out = pl.transcript_to_cues(fx.doc_lines(spark, sf), bounded=True)
+    return out.select("media_id", "seg_id", "cue", r4("start").alias("start"), r4("end").alias("end"), "line")
+
+
+@query(
+    "pl1_cue_report",
+    oracle("doc_segments", SENT_SQL + """ SELECT media_id, count(*) AS segments, count(*) FILTER (length(text) > 400 OR "end" - start > 25.0) AS oversized_segments FROM split GROUP BY media_id"""),
+)
+def _(spark, sf):
+    return pl.cue_report(fx.doc_lines(spark, sf), bounded=True).select("media_id", "segments", "oversized_segments")
+
+
+@query(
+    "pl2_screen_playlist",
+    oracle("ord_entries", """, p AS (SELECT *, playlist_index AS position FROM ord_entries WHERE playlist_index <= 8), f AS (SELECT playlist_id AS pid, min(position) AS stop FROM p WHERE view_count > 480000 GROUP BY 1),
+k AS (SELECT p.* FROM p LEFT JOIN f ON pid = playlist_id WHERE (stop IS NULL OR position < stop) AND status <> 'F' AND view_count >= 50000 AND (age_limit IS NULL OR age_limit <= 12))
+SELECT k.id, row_number() OVER (PARTITION BY playlist_id ORDER BY position) AS autonumber, c_name AS playlist_title, count(*) OVER (PARTITION BY playlist_id) AS n_entries FROM k JOIN customer ON playlist_id = c_custkey"""),
+)
+def _(spark, sf):
+    p = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("playlist_id"), F.col("c_name").alias("title"))
+    rules = Rules(archive=fx.ord_archive(spark, sf), extractor="orders", min_views=50000, age_limit=12)
+    out = pl.screen_playlist(fx.ord_entries(spark, sf), p, "1:8", rules, F.col("view_count") > 480000)
+    return out.select("id", "autonumber", "playlist_title", "n_entries")
+
+
+@query(
+    "pl3_choose_formats",
+    oracle("part_formats", RANK_SQL + """, live AS (SELECT * FROM ranked WHERE (has_drm IS NULL OR has_drm = 'maybe') AND (filesize IS NULL OR filesize < 1700000)),
+bv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY rank DESC) AS rn FROM live WHERE v AND NOT a) WHERE rn = 1),
+ba AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY rank DESC) AS rn FROM live WHERE a AND NOT v) WHERE rn = 1)
+SELECT media_id, bv.format_id || '+' || ba.format_id AS format_id, round(bv.tbr + ba.tbr, 4) AS tbr FROM bv JOIN ba USING (media_id)"""),
+)
+def _(spark, sf):
+    out = pl.choose_formats(fx.part_formats(spark, sf), ["height:720", "+tbr"], "bv+ba/best", ["filesize<?1.7M"])
+    return out.select("media_id", "format_id", r4("tbr").alias("tbr"))
+
+
+@query("pl4_chapter_surgery")
+def _(spark, sf):
+    sp = ri.spans(spark, sf).filter(F.col("category").isin("click", "purchase", "error")).join(ri.media(spark, sf), "media_id")
+    sp = sp.withColumns({"video_duration": F.col("duration"), "title": F.initcap("category")})
+    done, _kept = pl.chapter_surgery(ri.raw_chapters(spark, sf), sp, ri.media(spark, sf), ["signup"], ["error"])
+    return done.select("media_id", "chapter", r4("start_time").alias("start_time"), r4("end_time").alias("end_time"), "title", "category")
+
+
+@query(
+    "pl5_operations_monitor",
+    oracle("job_events", STATE_SQL + """ SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'started') AS processing, count(*) AS jobs,
+  count(*) FILTER (status = 'finished' AND updated_at >= TIMESTAMP '2024-01-30') AS finished_today, count(*) FILTER (status = 'finished' AND updated_at >= TIMESTAMP '2024-01-29') AS finished_this_week, count(*) FILTER (status = 'finished') AS finished_this_month,
+  (SELECT sum(k)::BIGINT FROM job_events WHERE ts::DATE = DATE '2024-01-30') AS tokens_today, (SELECT sum(k)::BIGINT FROM job_events WHERE ts::DATE BETWEEN '2024-01-29' AND '2024-01-30') AS tokens_this_week,
+  (SELECT sum(k)::BIGINT FROM job_events WHERE ts::DATE <= '2024-01-30') AS tokens_this_month,
+  (SELECT count(*) FROM (SELECT job_id % 4, max(ts) AS m FROM job_events GROUP BY 1) WHERE m >= TIMESTAMP '2024-01-30 23:50:00' - INTERVAL 30 SECOND) AS alive_services FROM state"""),
+)
+def _(spark, sf):
+    ev = fx.job_events(spark, sf).withColumn("tokens", F.col("k"))
+    return pl.operations_monitor(ev, TODAY, NOW, service())
+
+
+def book_parts(spark, sf):
+    pages = fx.table(spark, sf, "documents").select(F.col("lang").alias("book"), F.col("doc_id").alias("doc"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    tags = fx.table(spark, sf, "labels").select(
+        F.lit("en").alias("media_id"), F.col("doc_id").alias("seg_id"), F.when(F.col("quality") == 1, F.concat(F.lit("hero"), (F.col("doc_id") % 5).cast("string"))).alias("speaker")
+    )
+    return pl.assemble_book(pages, tags, ["v1", "v2", "v3"], "v1")
+
+
+@query("pl6_book_sentences")
+def _(spark, sf):
+    said, _ = book_parts(spark, sf)
+    return said.select("media_id", "seg_id", "speaker", r4("start").alias("start"), r4("end").alias("end"), "text")
+
+
+@query(
+    "pl6_book_voices",
+    """WITH t AS (SELECT 'hero' || (doc_id % 5) AS speaker, min(doc_id) AS f FROM labels WHERE quality = 1 AND doc_id > 0 GROUP BY 1), r AS (SELECT speaker, row_number() OVER (ORDER BY f, speaker) AS rn FROM t)
+SELECT 'en' AS media_id, speaker, ['v2', 'v3'][((rn - 1) % 2 + 1)::INT] AS voice FROM r UNION ALL SELECT DISTINCT lang, 'narrator', 'v1' FROM documents""",
+)
+def _(spark, sf):
+    return book_parts(spark, sf)[1]
+
+
+def corpus_parts(spark, sf):
+    c = clips(spark, sf).withColumn("codes", F.transform(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(60))), lambda i: i * 997 % 65536))
+    ids = F.concat(F.array(F.lit(7), F.lit(1)), F.transform("codes", lambda x: (x + 10).cast("int")))
+    return pl.build_speech_corpus(c, ids, 500, 11, 64)
+
+
+@query("pl7_training_rows")
+def _(spark, sf):
+    rows, _ = corpus_parts(spark, sf)
+    return rows.select("filename", F.size("input_ids").alias("n"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
+@query("pl8_review_translation")
+def _(spark, sf):
+    out = pl.review_translation(fx.conv_segments(spark, sf), fx.conv_revisions(spark, sf), 4)
+    return out.select("media_id", "seg_id", "batch", "untranslated", "review", "text")
