@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text table spread over the cores by key when it comes in fewer files than there are cores.
+
+    A single small file is one task, however heavy its expressions; a table of many files is left alone.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def status_of(event_type):
     out = None
     for k, v in STATUS.items():
@@ -34,7 +44,7 @@ def status_of(event_type):
 def doc_lines(spark, sf):
     """One row per non-blank line; ``seg_id`` is the line's ordinal in its document."""
     return (
-        table(spark, sf, "documents")
+        text_table(spark, sf, "documents", "doc_id")
         .select(F.col("doc_id").alias("media_id"), F.col("lang").alias("language"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select("media_id", "language", (F.col("pos") + 1).alias("seg_id"), strip("raw").alias("text"))
         .filter(F.length("text") > 0)

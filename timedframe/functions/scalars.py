@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timedframe.functions.filters import size_units
-from timedframe.semantics import strip
+from timedframe.semantics import once, strip
 
 
 def group(text: Column, pattern: str, n: int) -> Column:
@@ -141,6 +142,26 @@ def parse_iso8601(text: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mm:ss"))) - F.coalesce(offset, F.lit(0))
 
 
+def _shape(layout: str) -> str:
+    """Regex of the texts a layout can fit; parsing is tried only on those, since a failed parse is costly."""
+    out = ""
+    for quoted, token, other in re.findall(r"'([^']*)'|([A-Za-z]+)|(.)", layout):
+        if quoted:
+            out += re.escape(quoted)
+        elif token:
+            joined = re.search(r"yyyyMM", layout)
+            out += {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3,4}", "SSSSSS": r"\d{6}"}.get(token) or (
+                r"\d{%d}" % len(token) if joined else r"\d{1,2}"
+            )
+        else:
+            out += re.escape(other)
+    return f"^{out}$"
+
+
+def _parsed(text: Column, layout: str) -> Column:
+    return F.when(text.rlike(_shape(layout)), F.try_to_timestamp(text, F.lit(layout)))
+
+
 def _layouts(day_first: bool) -> list[str]:
     return DATE_LAYOUTS + (DAY_FIRST if day_first else MONTH_FIRST)
 
@@ -154,7 +175,7 @@ def unified_date(text: Column, day_first: bool = True) -> Column:
     """``YYYYMMDD`` of a free date; the last layout that fits wins."""
     bare, _ = _bare_date(F.replace(text, F.lit(","), F.lit(" ")))
     bare = strip(F.regexp_replace(bare, r"\s+", " "))
-    found = F.coalesce(*[F.try_to_timestamp(bare, F.lit(p)) for p in reversed(_layouts(day_first))])
+    found = once(bare, lambda b: F.coalesce(*[_parsed(b, p) for p in reversed(_layouts(day_first))]))
     return F.date_format(found, "yyyyMMdd")
 
 
@@ -163,7 +184,7 @@ def unified_timestamp(text: Column, day_first: bool = True) -> Column:
     days = r"(?i)[,|]|\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b"
     s = F.regexp_replace(F.regexp_replace(text, days, ""), r"\s+", " ")
     bare, offset = _bare_date(s)
-    found = F.coalesce(*[F.try_to_timestamp(strip(bare), F.lit(p)) for p in _layouts(day_first)])
+    found = once(strip(bare), lambda b: F.coalesce(*[_parsed(b, p) for p in _layouts(day_first)]))
     pm = F.when(s.rlike("(?i)PM"), 12 * 3600).otherwise(0)
     return F.unix_seconds(found) - F.coalesce(offset, F.lit(0)) + pm
 

@@ -134,7 +134,7 @@ def _pieces(para: Column, max_chars: int) -> Column:
 
     def clause(p: Column, i: Column) -> Column:
         fits = F.array(item(p, i == 0))
-        return F.when(F.length(p) <= max_chars, fits).otherwise(F.transform(words(p), lambda w, j: item(w, (i == 0) | (j == 0))))
+        return F.when(F.length(p) <= max_chars, fits).otherwise(F.transform(words(p), lambda w, j: item(w, j == 0)))
 
     def sentence(s: Column) -> Column:
         fits = F.array(item(s, F.lit(False)))

@@ -5,6 +5,9 @@ Segment tables carry ``media_id, seg_id, start, end, text`` and optional ``text_
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +123,7 @@ def drift_summary(placed: DataFrame, rate: int = 24000) -> DataFrame:
     )
 
 
-def concat_documents(segments: DataFrame, group: str, doc_order: str) -> DataFrame:
+def concat_documents(segments: DataFrame, group: str, doc_order: str, small_docs: bool | None = None) -> DataFrame:
     """Chain the documents of a group: shift each by the end of those before it and number segments from 1.
 
     Only one row per document enters the ordered scan; the rows themselves join back by document.
@@ -132,7 +135,7 @@ def concat_documents(segments: DataFrame, group: str, doc_order: str) -> DataFra
         [doc_order],
         {"_shift": run_sum(F.col("_last").cast("decimal(28,2)"), False), "_before": run_sum(F.col("_n"), False)},
     ).select(group, doc_order, "_shift", "_before")
-    inner = number_rows(segments, [group, doc_order], ORDER, "_pos")
+    inner = number_rows(segments, [group, doc_order], ORDER, "_pos", small_docs)
     shift = F.coalesce(F.col("_shift"), F.lit(0)).cast("double")
     return inner.join(docs, [group, doc_order]).select(
         *[c for c in segments.columns if c not in ("start", "end", "seg_id")],
@@ -403,6 +406,17 @@ def cue_summary(segments: DataFrame, cues: DataFrame) -> DataFrame:
 # ---- text gates and routing ----------------------------------------------------------------------
 
 
+def char_class(letters: str) -> str:
+    """Regex class of letters as code ranges; a long list of single letters matches many times slower."""
+    codes, spans = sorted(map(ord, set(letters))), []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "]"
+
+
 def is_vietnamese(target: str) -> bool:
     return any(name in target.lower() for name in VIETNAMESE_TARGETS)
 
@@ -412,7 +426,7 @@ def looks_untranslated(text: Column, target: str = "tiếng Việt") -> Column:
     share = F.regexp_count(text, F.lit(CJK)) / F.length(text)
     out = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, True).when(share > CJK_SHARE, True).when(text.rlike(LAUGHTER), False)
     if is_vietnamese(target):
-        bare = ~text.rlike("[" + VIETNAMESE_LETTERS + "]")
+        bare = ~text.rlike(char_class(VIETNAMESE_LETTERS))
         out = out.when((F.length(text) >= DIACRITIC_MIN_CHARS) & bare, True)
     return out.otherwise(False)
 
@@ -452,39 +466,38 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     neighbours less than 10 px apart in y that stand to its right.
 
     A gap of 10 px or more in sorted y stops every move, so bands between gaps are independent; each
-    band is folded as one small array.
+    band is arranged as one small array.
     """
     small = fits(boxes, ["page_id"])
     order = ["y", "x", "line_idx"]
     rows = lag_lead(boxes, ["page_id"], order, lags={"_py": F.col("y")}, bounded=small)
     fresh = F.when(F.col("_py").isNull() | (F.col("y") - F.col("_py") >= SAME_LINE_PIXELS), 1).otherwise(0)
     rows = scan(rows, ["page_id"], order, {"_band": run_sum(fresh)}, small)
-    bands = rows.groupBy("page_id", "_band").agg(
-        F.array_sort(F.collect_list(F.struct("y", "x", "line_idx"))).alias("b"), F.count("*").alias("_n")
-    )
+    row = F.array_sort(F.collect_list(F.struct("y", "x", "line_idx")))
+    bands = rows.groupBy("page_id", "_band").agg(row.alias("b"), F.count("*").alias("_n"))
     bands = scan(bands, ["page_id"], ["_band"], {"_before": run_sum(F.col("_n"), False)}, small)
 
-    def insert(acc: Column, box: Column) -> Column:
-        passes = lambda other: (F.abs(box["y"] - other["y"]) < SAME_LINE_PIXELS) & (box["x"] < other["x"])
-        moved = F.aggregate(
-            F.reverse(acc),
-            F.struct(F.lit(0).alias("k"), F.lit(True).alias("go")),
-            lambda a, o: F.struct(
-                F.when(a["go"] & passes(o), a["k"] + 1).otherwise(a["k"]).alias("k"), (a["go"] & passes(o)).alias("go")
-            ),
-        )["k"]
-        cut = F.size(acc) - moved
-        return F.concat(F.slice(acc, F.lit(1), cut), F.array(box), F.slice(acc, cut + 1, moved))
-
-    empty = F.slice("b", 1, 0)
-    flat = bands.select("page_id", "_before", F.posexplode(F.aggregate("b", empty, insert)).alias("_i", "_b"))
-    return flat.select(
-        "page_id",
-        F.col("_b.line_idx").alias("line_idx"),
-        F.col("_b.x").alias("x"),
-        F.col("_b.y").alias("y"),
-        (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_i") + 1).alias("reading_pos"),
-    )
+    def field(name: str, kind: str) -> Column:
+        return F.transform("b", lambda r: r[name].cast(kind))
+
+    flat = {"y": field("y", "double"), "x": field("x", "double"), "line_idx": field("line_idx", "bigint")}
+    kinds = dict(boxes.dtypes)
+
+    def arrange(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for page, before, ys, xs, ids in zip(pdf["page_id"], pdf["_before"], pdf["y"], pdf["x"], pdf["line_idx"]):
+                placed: list[tuple] = []
+                for box in zip(ys, xs, ids):
+                    at = len(placed)
+                    while at and abs(box[0] - placed[at - 1][0]) < SAME_LINE_PIXELS and box[1] < placed[at - 1][1]:
+                        at -= 1
+                    placed.insert(at, box)
+                out.extend((page, i, x, y, before + k) for k, (y, x, i) in enumerate(placed, 1))
+            yield pd.DataFrame(out, columns=["page_id", "line_idx", "x", "y", "reading_pos"])
+
+    held = bands.select("page_id", F.coalesce("_before", F.lit(0)).alias("_before"), *[v.alias(c) for c, v in flat.items()])
+    return held.mapInPandas(arrange, f"page_id {kinds['page_id']}, line_idx bigint, x double, y double, reading_pos bigint")
 
 
 def page_text(lines: DataFrame, cap: int | None = None) -> DataFrame:

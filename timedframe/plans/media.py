@@ -92,7 +92,8 @@ def assemble_book(pages: DataFrame, tags: DataFrame, voices: Sequence[str], defa
     """(tagged sentences of each book, voice per speaker) from page texts ``book, doc, text``."""
     paras = cp.paragraphs(pages).withColumnsRenamed({"doc": "media_id", "para": "seg_id"})
     timed = sg.estimate_timeline(paras, bounded=True)
-    book = sg.concat_documents(timed, "book", "media_id").drop("media_id").withColumnRenamed("book", "media_id")
+    book = sg.concat_documents(timed, "book", "media_id", small_docs=True).drop("media_id").withColumnRenamed("book", "media_id")
+    book = materialize(book)  # measured and read by both results
     said = lk.apply_speaker_tags(sg.split_sentences(book), tags)
     return said, lk.assign_voices(said, voices, default)
 
@@ -107,6 +108,6 @@ def build_speech_corpus(clips: DataFrame, tokens: Column, limit: int, seed: int,
 
 def review_translation(segments: DataFrame, revisions: DataFrame, batch_rows: int = 20, target: str = "tiếng Việt") -> DataFrame:
     """Repaired segments in batches, with the untranslated ones flagged and accepted revisions applied."""
-    whole = sg.merge_dangling(segments)
+    whole = materialize(sg.merge_dangling(segments))
     gated = sg.flag_untranslated(sg.batch(whole, batch_rows), "text", target)
     return lk.apply_revisions(gated, revisions, target)

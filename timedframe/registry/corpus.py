@@ -38,12 +38,12 @@ def _(spark, sf):
 
 @query("sr12_sample_n")
 def _(spark, sf):
-    return cp.sample_n(fx.table(spark, sf, "documents").select("doc_id", "lang"), 100, 42, "doc_id")
+    return cp.sample_n(fx.text_table(spark, sf, "documents", "doc_id").select("doc_id", "lang"), 100, 42, "doc_id")
 
 
 def codes(spark, sf):
     c = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: (i * 7919 + F.col("doc_id") * 31) % 66000 - 3)
-    d = fx.table(spark, sf, "documents").select("doc_id", F.least(F.length("text"), F.lit(40)).alias("n"))
+    d = fx.text_table(spark, sf, "documents", "doc_id").select("doc_id", F.least(F.length("text"), F.lit(40)).alias("n"))
     return d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<bigint>")).otherwise(c).alias("codes"))
 
 
@@ -78,7 +78,7 @@ def _(spark, sf):
 
 @query("cr5_chunk_text")
 def _(spark, sf):
-    return cp.chunk_text(fx.table(spark, sf, "documents").select("doc_id", "text"))
+    return cp.chunk_text(fx.text_table(spark, sf, "documents", "doc_id").select("doc_id", "text"))
 
 
 @query(
@@ -95,7 +95,7 @@ def _(spark, sf):
 
 @query("cr7_chunk_balanced")
 def _(spark, sf):
-    return cp.chunk_balanced(fx.table(spark, sf, "documents"), "doc_id")
+    return cp.chunk_balanced(fx.text_table(spark, sf, "documents", "doc_id"), "doc_id")
 
 
 @query(
@@ -104,7 +104,7 @@ def _(spark, sf):
 SELECT doc_id, unnest(range(1, len(ps) + 1)) AS para, unnest(ps) AS text FROM p""",
 )
 def _(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    d = fx.text_table(spark, sf, "documents", "doc_id").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return cp.paragraphs(d)
 
 

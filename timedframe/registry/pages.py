@@ -9,7 +9,7 @@ from timedframe.registry.core import query
 
 
 def pages(spark, sf):
-    return fx.table(spark, sf, "pages")
+    return fx.text_table(spark, sf, "pages", "page_id")
 
 
 def clean_sql(c):

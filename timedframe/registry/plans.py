@@ -76,7 +76,7 @@ def _(spark, sf):
 
 
 def book_parts(spark, sf):
-    pages = fx.table(spark, sf, "documents").select(F.col("lang").alias("book"), F.col("doc_id").alias("doc"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    pages = fx.text_table(spark, sf, "documents", "doc_id").select(F.col("lang").alias("book"), F.col("doc_id").alias("doc"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     tags = fx.table(spark, sf, "labels").select(
         F.lit("en").alias("media_id"), F.col("doc_id").alias("seg_id"), F.when(F.col("quality") == 1, F.concat(F.lit("hero"), (F.col("doc_id") % 5).cast("string"))).alias("speaker")
     )

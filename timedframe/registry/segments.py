@@ -109,7 +109,7 @@ SELECT language, media_id, (before + row_number() OVER (PARTITION BY media_id OR
   round(start + shift, 2) AS start, round("end" + shift, 2) AS "end" FROM doc_segments JOIN shifts USING (language, media_id)"""),
 )
 def _(spark, sf):
-    out = sg.concat_documents(fx.doc_segments(spark, sf), "language", "media_id")
+    out = sg.concat_documents(fx.doc_segments(spark, sf), "language", "media_id", small_docs=True)
     return out.select("language", "media_id", "seg_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
@@ -242,7 +242,8 @@ def page_boxes(spark, sf):
 
 @query("wn27_reading_order")
 def _(spark, sf):
-    return sg.reading_order(page_boxes(spark, sf))
+    out = sg.reading_order(page_boxes(spark, sf))
+    return out.select("page_id", "line_idx", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "reading_pos")
 
 
 @query(

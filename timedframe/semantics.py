@@ -39,3 +39,8 @@ def r2(c: Column | str) -> Column:
 def r4(c: Column | str) -> Column:
     """Rounding of doubles that leave a checked query; ``+ 0.0`` removes negative zero."""
     return F.round(col(c) * F.lit(10000.0)) / F.lit(10000.0) + F.lit(0.0)
+
+
+def once(value: Column, f) -> Column:
+    """``f(value)`` where a costly ``value`` that ``f`` uses many times is computed a single time per row."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
