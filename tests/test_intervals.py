@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from timedframe.operators import intervals as iv
 
 IV = "media_id long, kind string, start_time double, end_time double, title string, category string, remove boolean"
@@ -20,9 +18,19 @@ def cut(m, s, e):
     return (m, "cut", float(s), float(e), "cut", "manually_removed", True)
 
 
-def overlaid(spark, data):
-    out = iv.overlay_intervals(spark.createDataFrame(data, IV).repartition(3)).orderBy("media_id", "piece").collect()
-    return [(r.start_time, r.end_time, r.title if r.cats is None else "+".join(c.category for c in r.cats)) for r in out]
+def run(spark, cases, fold=False):
+    """All cases in one job, each as a media of its own."""
+    data = [(m, *r[1:]) for m, (rows, _) in enumerate(cases.values()) for r in rows]
+    pieces = iv.overlay_intervals(spark.createDataFrame(data, IV).repartition(3))
+    if fold:
+        rows = [(r.media_id, r.chapter, r.start_time, r.end_time, r.title) for r in iv.fold_tiny(pieces).collect()]
+    else:
+        rows = [(r.media_id, r.piece, r.start_time, r.end_time, r.title if r.cats is None else "+".join(c.category for c in r.cats)) for r in pieces.collect()]
+    return {name: [r[2:] for r in sorted(rows) if r[0] == m] for m, name in enumerate(cases)}
+
+
+def wanted(cases):
+    return {name: [(float(a), float(b), t) for a, b, t in want] for name, (_, want) in cases.items()}
 
 
 CASES = {
@@ -39,37 +47,22 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_overlay(spark, name):
-    data, want = CASES[name]
-    assert overlaid(spark, data) == [(float(a), float(b), t) for a, b, t in want]
+def test_overlay(spark, grouping):
+    assert run(spark, CASES) == wanted(CASES)
 
 
-def test_overlay_with_split_groups(spark, grouping):
-    data = [x for m, (rows, _) in enumerate(CASES.values()) for x in [(m, *r[1:]) for r in rows]]
-    got = iv.overlay_intervals(spark.createDataFrame(data, IV)).collect()
-    for m, (_, want) in enumerate(CASES.values()):
-        mine = sorted((r.start_time, r.end_time) for r in got if r.media_id == m)
-        assert mine == [(float(a), float(b)) for a, b, _ in want]
-
-
-def folded(spark, data):
-    out = iv.fold_tiny(iv.overlay_intervals(spark.createDataFrame(data, IV))).orderBy("chapter").collect()
-    return [(r.start_time, r.end_time, r.title) for r in out]
+AD = "[SponsorBlock]: Ad"
+TINY = {
+    "before a first sponsor": ([chap(1, 0, 30, "a"), spon(1, 0.5, 10, "ad")], [(0, 10, AD), (10, 30, "a")]),
+    "rest of a chapter joins the next past a sponsor": ([chap(1, 0, 10, "a"), chap(1, 10, 20, "b"), spon(1, 5, 9.5, "ad")], [(0, 5, "a"), (5, 9.5, AD), (9.5, 20, "b")]),
+    "tiny from the start stays": ([chap(1, 0, 10, "a"), chap(1, 10, 10.5, "b")], [(0, 10, "a"), (10, 10.5, "b")]),
+    "tiny last piece joins the one before": ([chap(1, 0, 20, "a"), spon(1, 5, 19.5, "ad")], [(0, 5, "a"), (5, 20, AD)]),
+    "sponsors of one name unite": ([chap(1, 0, 30, "a"), spon(1, 5, 10, "ad"), spon(1, 10, 15, "ad")], [(0, 5, "a"), (5, 15, AD), (15, 30, "a")]),
+}
 
 
-def test_fold_tiny(spark, grouping):
-    ad = "[SponsorBlock]: Ad"
-    # the half second before a sponsor joins the sponsor when nothing stands before it
-    assert folded(spark, [chap(1, 0, 30, "a"), spon(1, 0.5, 10, "ad")]) == [(0.0, 10.0, ad), (10.0, 30.0, "a")]
-    # a tiny rest of a chapter between two normal chapters joins the next normal one, past a sponsor
-    assert folded(spark, [chap(1, 0, 10, "a"), chap(1, 10, 20, "b"), spon(1, 5, 9.5, "ad")]) == [(0.0, 5.0, "a"), (5.0, 9.5, ad), (9.5, 20.0, "b")]
-    # a tiny chapter that was there from the start stays
-    assert folded(spark, [chap(1, 0, 10, "a"), chap(1, 10, 10.5, "b")]) == [(0.0, 10.0, "a"), (10.0, 10.5, "b")]
-    # a tiny last piece joins the one before
-    assert folded(spark, [chap(1, 0, 20, "a"), spon(1, 5, 19.5, "ad")]) == [(0.0, 5.0, "a"), (5.0, 20.0, ad)]
-    # sponsors of one name that meet become one
-    assert folded(spark, [chap(1, 0, 30, "a"), spon(1, 5, 10, "ad"), spon(1, 10, 15, "ad")]) == [(0.0, 5.0, "a"), (5.0, 15.0, ad), (15.0, 30.0, "a")]
+def test_fold_tiny(spark):
+    assert run(spark, TINY, fold=True) == wanted(TINY)
 
 
 def test_keep_ranges_and_cuts_tile_media(spark, grouping):

@@ -15,7 +15,11 @@ def log_rows(events: DataFrame, service: str) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str, service: str, checkpoint: str | None = None):
-    """Append a batch, or start an appending stream when ``events`` is one (it needs a checkpoint folder)."""
+    """Append a batch, or start an appending stream when ``events`` is one.
+
+    A stream needs a checkpoint folder and a log folder of its own: its commit log decides which files
+    readers see there, which gives each event exactly once.
+    """
     rows = log_rows(events, service)
     if not events.isStreaming:
         rows.write.mode("append").partitionBy("date").json(path)
