@@ -57,7 +57,7 @@ def test_rate_limit(spark, events):
     seen, full = set(map(key, got.collect())), set(map(key, want.collect()))
     end = max(r.ts.timestamp() for r in batch.select("ts").collect())
     # what the stream has not answered yet still waits when the last event comes
-    assert seen <= full and all(at > end for _, _, at, _ in full - seen)
+    assert seen <= full and all(at > end - 3 for _, _, at, _ in full - seen)
     assert got.filter("waited_s > 0").count() > 0
 
 

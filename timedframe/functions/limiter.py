@@ -25,7 +25,8 @@ class Limiter:
         heapq.heappush(self.waiting, (now + self.poll, event_id, arrived))
         return None
 
-    def _until(self, now: float):
+    def advance(self, now: float):
+        """Polls that fall before ``now``."""
         while self.waiting and self.waiting[0][0] < now:
             at, event_id, arrived = heapq.heappop(self.waiting)
             done = self._try(at, event_id, arrived)
@@ -33,9 +34,9 @@ class Limiter:
                 yield done
 
     def offer(self, now: float, event_id: int) -> list:
-        out = list(self._until(now))
+        out = list(self.advance(now))
         done = self._try(now, event_id, now)
         return [*out, done] if done else out
 
     def finish(self) -> list:
-        return list(self._until(float("inf")))
+        return list(self.advance(float("inf")))

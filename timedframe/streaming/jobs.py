@@ -179,17 +179,22 @@ def rate_limit(requests: DataFrame, max_requests: int, window_s: float, watermar
         if state.exists:
             admitted, at, ids, arrived, last = state.get
             lim.admitted, lim.waiting = deque(admitted), sorted(zip(at, ids, arrived))
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], *r) for r in lim.finish()], columns=columns)
-            state.remove()
-            return
         out = []
-        for u, e in _ordered(batches, ["us", "event_id"])[["us", "event_id"]].itertuples(index=False):
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs() / 1000
+            out.extend((key[0], *r) for r in lim.advance(now))
+            if not lim.waiting and now >= last + window_s + MAX_WAIT_S:
+                state.remove()
+                yield pd.DataFrame(out, columns=columns)
+                return
+        for u, e in _ordered(batches, ["us", "event_id"])[["us", "event_id"]].itertuples(index=False) if not state.hasTimedOut else ():
             last = u / 1e6
             out.extend((key[0], *r) for r in lim.offer(last, int(e)))
         at, ids, arrived = ([w[i] for w in lim.waiting] for i in range(3))
         state.update((list(lim.admitted), list(at), list(ids), list(arrived), last))
-        state.setTimeoutTimestamp(max(int((last + window_s + MAX_WAIT_S) * 1000), state.getCurrentWatermarkMs() + 1))
+        # wake at the next poll of a waiting request, else when the domain's window is surely empty
+        wake = min(at) if lim.waiting else last + window_s + MAX_WAIT_S
+        state.setTimeoutTimestamp(max(int(wake * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)
 
     return (
