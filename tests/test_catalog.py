@@ -32,6 +32,14 @@ def test_match_filter(entries, expr, want):
     assert sorted(r.id for r in ct.match_filter(entries, expr).collect()) == want
 
 
+def test_match_filter_reaches_the_scan(entries, tmp_path):
+    path = str(tmp_path / "entries")
+    entries.write.parquet(path)
+    plan = ct.match_filter(entries.sparkSession.read.parquet(path), "like_count > 100 & title ^= cats").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(like_count,100)" in plan and "StringStartsWith(title,cats)" in plan
+    assert "ReadSchema: struct<id:bigint,title:string,like_count:bigint>" in plan
+
+
 def test_match_filter_incomplete_and_errors(entries):
     assert sorted(r.id for r in ct.match_filter(entries, "like_count > 100", incomplete=["like_count"]).collect()) == [1, 2]
     assert [r.id for r in ct.match_filter(entries, lambda df: F.col("id") == 3).collect()] == [3]

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timedframe.semantics import known
 
 PREFIXES = "KMGTPEZY"
 
@@ -97,15 +96,17 @@ def _term(df: DataFrame, text: str, incomplete: Collection[str] | bool) -> Colum
                 raise ValueError(f"operator {m['op']} works on text only: {text!r}")
             if number is None and m["op"] != "=":
                 raise ValueError(f"no number in {text!r}")
-            hit = _compare(column, m["op"], F.lit(number)) if number is not None else column.isNull() & column.isNotNull()
+            hit = _compare(column, m["op"], F.lit(number)) if number is not None else F.when(column.isNotNull(), F.lit(False))
         else:
             hit = _compare(column, m["op"], value)
-        return known(F.when(column.isNotNull(), ~hit if m["neg"] else hit), open_key(m["key"]) or bool(m["none"]))
+        # left three-valued where unknown means no, so that a filter reaches the scan as a plain comparison
+        hit = ~hit if m["neg"] else hit
+        return hit | column.isNull() if open_key(m["key"]) or m["none"] else hit
     m = UNARY.fullmatch(text)
     if m:
         column, kind = _field(df, m["key"])
         if isinstance(kind, T.BooleanType):
-            hit = known(~column, True) if m["neg"] else known(column)
+            hit = ~column | column.isNull() if m["neg"] else column
         else:
             hit = column.isNull() if m["neg"] else column.isNotNull()
         return hit | column.isNull() if open_key(m["key"]) else hit
@@ -113,7 +114,10 @@ def _term(df: DataFrame, text: str, incomplete: Collection[str] | bool) -> Colum
 
 
 def match_column(df: DataFrame, expr: str, incomplete: Collection[str] | bool = ()) -> Column:
-    """All ``&``-joined terms of ``expr`` as one predicate; ``\\&`` is a literal ampersand."""
+    """All ``&``-joined terms of ``expr`` as one predicate; ``\\&`` is a literal ampersand.
+
+    Unknown means no; wrap the result in ``known`` before negating it.
+    """
     parts = [p.replace("\\&", "&") for p in re.split(r"(?<!\\)&", expr)]
     out = _term(df, parts[0], incomplete)
     for p in parts[1:]:
@@ -140,15 +144,17 @@ def format_column(df: DataFrame, spec: str) -> Column:
                 value = size_literal(m["value"]) or size_literal(m["value"] + "B")
                 if value is None:
                     raise ValueError(f"invalid value in {spec!r}") from None
-            hit = column.cast("double") != value if m["op"] == "!=" else _compare(column.cast("double"), m["op"], F.lit(value))
-            return known(hit, bool(m["none"]))
+            number = column if isinstance(kind, T.NumericType) else column.try_cast("double")
+            hit = number != value if m["op"] == "!=" else _compare(number, m["op"], F.lit(value))
+            return hit | column.isNull() if m["none"] else hit
     m = FORMAT_TEXT.fullmatch(spec)
     if not m:
         raise ValueError(f"invalid filter {spec!r}")
     column, _ = _field(df, m["key"])
     value = next(v for v in (m["dq"], m["sq"], m["plain"]) if v is not None)
     hit = _compare(column.cast("string"), m["op"], value)
-    return known(~hit if m["neg"] else hit, bool(m["none"]))
+    hit = ~hit if m["neg"] else hit
+    return hit | column.isNull() if m["none"] else hit
 
 
 # ---- date bounds ---------------------------------------------------------------------------------

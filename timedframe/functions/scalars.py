@@ -182,11 +182,14 @@ def unified_date(text: Column, day_first: bool = True) -> Column:
 def unified_timestamp(text: Column, day_first: bool = True) -> Column:
     """Epoch seconds of a free date-time with am/pm and zone; the first layout that fits wins."""
     days = r"(?i)[,|]|\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b"
-    s = F.regexp_replace(F.regexp_replace(text, days, ""), r"\s+", " ")
-    bare, offset = _bare_date(s)
-    found = once(strip(bare), lambda b: F.coalesce(*[_parsed(b, p) for p in _layouts(day_first)]))
-    pm = F.when(s.rlike("(?i)PM"), 12 * 3600).otherwise(0)
-    return F.unix_seconds(found) - F.coalesce(offset, F.lit(0)) + pm
+
+    def read(s: Column) -> Column:
+        bare, offset = _bare_date(s)
+        found = once(strip(bare), lambda b: F.coalesce(*[_parsed(b, p) for p in _layouts(day_first)]))
+        pm = F.when(s.rlike("(?i)PM"), 12 * 3600).otherwise(0)
+        return F.unix_seconds(found) - F.coalesce(offset, F.lit(0)) + pm
+
+    return once(F.regexp_replace(F.regexp_replace(text, days, ""), r"\s+", " "), read)
 
 
 def add_months(day: Column, n: int) -> Column:

@@ -36,7 +36,7 @@ def take_until(df: DataFrame, keys: Sequence[str], order: Sequence[str], cond: C
 def match_any(df: DataFrame, exprs: Sequence[str], break_exprs: Sequence[str] = (), keys: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Rows that pass any filter; a row failing all breaking filters ends its list."""
     if break_exprs:
-        df = take_until(df, keys, order, ~any_column(df, break_exprs))
+        df = take_until(df, keys, order, ~known(any_column(df, break_exprs)))
     return df.filter(any_column(df, exprs))
 
 
@@ -116,7 +116,7 @@ def screen_entries(df: DataFrame, rules: Rules) -> DataFrame:
     if rules.age_limit is not None:
         tests.append((~age_ok(F.col("age_limit"), rules.age_limit), "age restricted"))
     if rules.filters:
-        tests.append((~any_column(df, rules.filters, rules.incomplete), "filter not passed"))
+        tests.append((~known(any_column(df, rules.filters, rules.incomplete)), "filter not passed"))
     reason = F.lit(None).cast("string")
     for test, name in reversed(tests):
         reason = F.when(test, name).otherwise(reason)
