@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedframe.llm import bpe, packing, token_counts
-from timedframe.llm.common import documents
+from timedframe.llm import bpe, jaccard, language, packing, pii, quality, rules, syncmers, token_counts, toxicity
+from timedframe.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,11 +19,48 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id", 3, 1))
+    return _scored(docs, toxicity.train(docs, labels), toxicity.THRESHOLD)
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id", 3, 1))
+    return _scored(docs, quality.train(docs, labels), quality.THRESHOLD)
+
+
+def _scored(docs: DataFrame, model, threshold: float) -> DataFrame:
+    scored = toxicity.score_texts(docs, model, threshold=threshold)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language.train(docs.filter(~held_out("doc_id", 5, 0)))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.detect(docs, pii.train(docs)).drop("text")
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir))
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", bpe.digests()(F.col("text")).alias("d")).select("doc_id", "d.*")
@@ -32,3 +69,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir), keep=["doc_id"])
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edited(documents(spark, sf_dir))
