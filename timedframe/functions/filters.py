@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Collection
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,42 +76,73 @@ def _field(df: DataFrame, key: str) -> tuple[Column, T.DataType]:
     return F.lit(None).cast("string"), T.StringType()
 
 
-BINARY = re.compile(
-    r"""\s*(?P<key>[a-z_]+)\s*(?P<neg>!\s*)?(?P<op>\*=|\^=|\$=|~=|<=|<|>=|>|=)(?P<none>\s*\?)?\s*"""
-    r"""(?:(?P<q>["'])(?P<quoted>.+?)(?P=q)|(?P<plain>.+?))\s*"""
-)
-UNARY = re.compile(r"\s*(?P<neg>!)?\s*(?P<key>[a-z_]+)\s*")
+OPERATORS = ("<=", ">=", "*=", "^=", "$=", "~=", "<", ">", "=")
+TEXT_ONLY = ("*=", "^=", "$=", "~=")
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
+MATCH_KEY = LOWER + "_"
+FORMAT_KEY = LOWER + LOWER.upper() + DIGITS + "_.-"
+
+
+@dataclass(frozen=True)
+class Term:
+    """``key``, ``!key`` or ``key [!] operator [?] value``; ``?`` lets unknown values pass."""
+
+    key: str
+    negated: bool
+    operator: str | None = None
+    unknown_passes: bool = False
+    value: str | None = None
+    quote: str = ""
+
+
+def read_term(text: str, key_letters: str) -> Term:
+    """One term, read from left to right: blanks may stand between its parts."""
+    rest = text.strip()
+
+    def take(*options: str) -> str:
+        nonlocal rest
+        found = next((o for o in options if rest.startswith(o)), "")
+        rest = rest[len(found) :].lstrip()
+        return found
+
+    lead = bool(take("!"))
+    size = len(rest) - len(rest.lstrip(key_letters))
+    key, rest = rest[:size], rest[size:].lstrip()
+    if not key:
+        raise ValueError(f"a field name is missing in {text!r}")
+    if not rest:
+        return Term(key, lead)
+    inner = bool(take("!"))
+    operator = take(*OPERATORS)
+    unknown_passes = bool(operator and take("?"))
+    if lead or not operator or not rest:
+        raise ValueError(f"{text!r} is neither a field nor a comparison")
+    quote = rest[0] if rest[0] in "\"'" and rest[0] == rest[-1] and len(rest) > 2 else ""
+    value = rest[1:-1].replace("\\" + quote, quote) if quote else rest
+    return Term(key, inner, operator, unknown_passes, value, quote)
 
 
 def _term(df: DataFrame, text: str, incomplete: Collection[str] | bool) -> Column:
-    def open_key(key: str) -> bool:
-        return incomplete if isinstance(incomplete, bool) else key in incomplete
-
-    m = BINARY.fullmatch(text)
-    if m:
-        column, kind = _field(df, m["key"])
-        value = m["quoted"].replace("\\" + m["q"], m["q"]) if m["q"] else m["plain"]
-        if isinstance(kind, T.NumericType):
-            number = number_literal(value)
-            if number is not None and m["op"] in ("*=", "^=", "$=", "~="):
-                raise ValueError(f"operator {m['op']} works on text only: {text!r}")
-            if number is None and m["op"] != "=":
-                raise ValueError(f"no number in {text!r}")
-            hit = _compare(column, m["op"], F.lit(number)) if number is not None else F.when(column.isNotNull(), F.lit(False))
-        else:
-            hit = _compare(column, m["op"], value)
-        # left three-valued where unknown means no, so that a filter reaches the scan as a plain comparison
-        hit = ~hit if m["neg"] else hit
-        return hit | column.isNull() if open_key(m["key"]) or m["none"] else hit
-    m = UNARY.fullmatch(text)
-    if m:
-        column, kind = _field(df, m["key"])
-        if isinstance(kind, T.BooleanType):
-            hit = ~column | column.isNull() if m["neg"] else column
-        else:
-            hit = column.isNull() if m["neg"] else column.isNotNull()
-        return hit | column.isNull() if open_key(m["key"]) else hit
-    raise ValueError(f"invalid filter part {text!r}")
+    term = read_term(text, MATCH_KEY)
+    column, kind = _field(df, term.key)
+    if term.operator is None:
+        present = column if isinstance(kind, T.BooleanType) else column.isNotNull()
+        hit = present if not term.negated else ~present | column.isNull()
+    elif isinstance(kind, T.NumericType):
+        number = number_literal(term.value)
+        if number is None and term.operator != "=":
+            raise ValueError(f"{term.value!r} is not a number, in {text!r}")
+        if number is not None and term.operator in TEXT_ONLY:
+            raise ValueError(f"{term.key} holds numbers, {term.operator} compares texts, in {text!r}")
+        hit = F.when(column.isNotNull(), F.lit(False)) if number is None else _compare(column, term.operator, F.lit(number))
+    else:
+        hit = _compare(column, term.operator, term.value)
+    # left three-valued where unknown means no, so that a filter reaches the scan as a plain comparison
+    if term.operator and term.negated:
+        hit = ~hit
+    unknown_passes = term.unknown_passes or (incomplete if isinstance(incomplete, bool) else term.key in incomplete)
+    return hit | column.isNull() if unknown_passes else hit
 
 
 def match_column(df: DataFrame, expr: str, incomplete: Collection[str] | bool = ()) -> Column:
@@ -125,73 +157,87 @@ def match_column(df: DataFrame, expr: str, incomplete: Collection[str] | bool =
     return out
 
 
-FORMAT_NUMBER = re.compile(r"\s*(?P<key>[\w.-]+)\s*(?P<op><=|<|>=|>|!=|=)(?P<none>\s*\?)?\s*(?P<value>[0-9.]+(?:[kKmMgGtTpPeEzZyY]i?[Bb]?)?)\s*")
-FORMAT_TEXT = re.compile(
-    r"""\s*(?P<key>[a-zA-Z0-9._-]+)\s*(?P<neg>!\s*)?(?P<op>\^=|\$=|\*=|~=|=)\s*(?P<none>\?\s*)?"""
-    r"""(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<plain>[\w.-]+))\s*"""
-)
+def _amount(text: str) -> float | None:
+    """A number, perhaps with a byte prefix such as ``500k`` or ``1.5MiB``."""
+    digits = text.rstrip(LOWER + LOWER.upper())
+    if not digits or digits.strip(DIGITS + "."):
+        return None
+    if digits == text:
+        return float(text) if text.count(".") <= 1 and text != "." else None
+    found = size_literal(text)
+    return found if found is not None else size_literal(text + "B")
 
 
 def format_column(df: DataFrame, spec: str) -> Column:
     """One bracket filter of a format selector, such as ``height<=720`` or ``vcodec^=avc``."""
-    m = FORMAT_NUMBER.fullmatch(spec)
-    if m:
-        column, kind = _field(df, m["key"])
-        if isinstance(kind, T.NumericType) or m["op"] not in ("=", "!="):
-            try:
-                value = float(m["value"])
-            except ValueError:
-                value = size_literal(m["value"]) or size_literal(m["value"] + "B")
-                if value is None:
-                    raise ValueError(f"invalid value in {spec!r}") from None
-            number = column if isinstance(kind, T.NumericType) else column.try_cast("double")
-            hit = number != value if m["op"] == "!=" else _compare(number, m["op"], F.lit(value))
-            return hit | column.isNull() if m["none"] else hit
-    m = FORMAT_TEXT.fullmatch(spec)
-    if not m:
-        raise ValueError(f"invalid filter {spec!r}")
-    column, _ = _field(df, m["key"])
-    value = next(v for v in (m["dq"], m["sq"], m["plain"]) if v is not None)
-    hit = _compare(column.cast("string"), m["op"], value)
-    hit = ~hit if m["neg"] else hit
-    return hit | column.isNull() if m["none"] else hit
+    term = read_term(spec, FORMAT_KEY)
+    if term.operator is None:
+        raise ValueError(f"a comparison is missing in {spec!r}")
+    column, kind = _field(df, term.key)
+    numeric = isinstance(kind, T.NumericType)
+    amount = None if term.quote or term.operator in TEXT_ONLY else _amount(term.value)
+    if term.operator not in ("=", *TEXT_ONLY) and (amount is None or term.negated):
+        raise ValueError(f"{term.operator} needs a number in {spec!r}")
+    if amount is not None and (numeric or term.operator != "="):
+        hit = _compare(column if numeric else column.try_cast("double"), term.operator, F.lit(float(amount)))
+    elif not term.quote and term.value.strip(FORMAT_KEY):
+        raise ValueError(f"quote the value in {spec!r}")
+    else:
+        hit = _compare(column.cast("string"), term.operator, term.value)
+    hit = ~hit if term.negated else hit
+    return hit | column.isNull() if term.unknown_passes else hit
 
 
 # ---- date bounds ---------------------------------------------------------------------------------
 
-RELATIVE = re.compile(r"(?P<from>now|today|yesterday|\d{8})(?:(?P<sign>[+-])(?P<n>\d+)(?P<unit>day|week|month|year)s?)?")
-
-
 def date_bound(text: str, today: str) -> Column:
     """``20240131``, ``today``, ``today-2weeks``; months and years clamp to the month's end."""
-    m = RELATIVE.fullmatch(text.strip())
-    if not m:
-        raise ValueError(f"invalid date {text!r}")
+    text = text.strip()
     day = F.lit(today).cast("date")
-    start = {"now": day, "today": day, "yesterday": F.date_sub(day, 1)}.get(m["from"])
-    if start is None:
-        start = F.to_date(F.lit(m["from"]), "yyyyMMdd")
-    if not m["unit"]:
+    named = {"now": day, "today": day, "yesterday": F.date_sub(day, 1)}
+    word = next((w for w in named if text.startswith(w)), None)
+    if word is None and not (len(text) >= 8 and text[:8].isdecimal()):
+        raise ValueError(f"no date in {text!r}")
+    start = named[word] if word else F.to_date(F.lit(text[:8]), "yyyyMMdd")
+    step = text[len(word) if word else 8 :]
+    if not step:
         return start
-    n = int(m["n"]) * (-1 if m["sign"] == "-" else 1)
-    if m["unit"] in ("day", "week"):
-        return F.date_add(start, n * (7 if m["unit"] == "week" else 1))
-    return F.add_months(start, n * (12 if m["unit"] == "year" else 1))
+    count = step[1:].rstrip(LOWER)
+    unit = step[1 + len(count) :].removesuffix("s")
+    if step[0] not in "+-" or not count.isdecimal() or unit not in ("day", "week", "month", "year"):
+        raise ValueError(f"no step of days, weeks, months or years in {text!r}")
+    n = int(step[0] + count)
+    return F.date_add(start, n * (7 if unit == "week" else 1)) if unit in ("day", "week") else F.add_months(start, n * (12 if unit == "year" else 1))
 
 
 def playlist_slices(spec: str) -> list[tuple[int | None, float | None, int]]:
     """Parts of a playlist item spec as (start, stop, step) over 1-based positions, as written."""
+
+    def whole(digits: str, part: str, endless: bool = False) -> int | float | None:
+        if endless and digits in ("inf", "infinite"):
+            return math.inf
+        if digits and not digits.removeprefix(digits[0] if digits[0] in "+-" else "").isdecimal():
+            raise ValueError(f"{part!r} is not a playlist item")
+        return int(digits) if digits else None
+
     out = []
     for part in spec.split(","):
-        m = re.fullmatch(r"(?P<a>[+-]?\d+)?(?P<r>[:-](?P<b>[+-]?\d+|inf(?:inite)?)?(?::(?P<s>[+-]?\d+))?)?", part)
-        if not part or not m or (m["a"] is None and m["r"] is None):
+        sign = part[:1] if part[:1] in ("+", "-") else ""
+        size = len(sign) + len(part) - len(sign) - len(part[len(sign) :].lstrip(DIGITS))
+        head, tail = part[:size], part[size:]
+        if head == sign:  # a sign without digits opens a range
+            head, tail = "", part
+        if not part or (tail and tail[0] not in ":-"):
             raise ValueError(f"{part!r} is not a playlist item")
-        if not m["r"]:
-            out.append((int(m["a"]), int(m["a"]), 1))
+        start = whole(head, part)
+        if not tail:
+            out.append((start, start, 1))
             continue
-        step = int(m["s"]) if m["s"] else 1
-        if step == 0:
-            raise ValueError(f"step of {part!r} is zero")
-        stop = None if m["b"] is None else math.inf if m["b"].startswith("inf") else int(m["b"])
-        out.append((int(m["a"]) if m["a"] else None, stop, step))
+        stop, colon, step = tail[1:].partition(":")
+        by = whole(step, part)
+        if by == 0:
+            raise ValueError(f"the step of {part!r} is zero")
+        if colon and by is None:
+            raise ValueError(f"{part!r} ends without a step")
+        out.append((start, whole(stop, part, endless=True), by or 1))
     return out
