@@ -17,6 +17,7 @@ from timedframe.operators.ordered import shared_folder
 
 #: UTF-8 bytes of text that a Python step works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +29,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Spark deletes the copy with its owner where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+        context.setCheckpointDir(shared_folder(spark))
+    # The copy is complete, so the shuffle files that led to it can go at once.
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if was is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, was)
 
 
 def slices(lengths: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from timedframe.llm.common import cut_lineage, text_slices
+from timedframe.llm.common import cut_lineage, joined_bytes, text_slices
 from timedframe.llm.components import connected
 
 WORDS = 5
@@ -33,38 +32,78 @@ STAR_ROUNDS = 3
 #: A shingle is frequent if it is in more than this many documents, and in more than one per so many characters of the corpus.
 FREQUENT_DOCS = 50
 FREQUENT_CHARS = 1 << 23
-CACHED_WORDS = 500_000
+CHUNK = 1 << 20
 FLUSH = 1 << 20
 FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def mixed(x: np.ndarray, by: int = 0) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * FOLD[by]
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text; bytes folds A-Z and splits at ASCII blanks only."""
-    found = text.encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    k = min(words, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mixed(out + h[i : i + len(out)], i % len(FOLD))
-    return np.unique(out)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random number per byte, the same for a letter in either case, and which bytes are blanks."""
+    numbers = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * FOLD[1], 2), 3)
+    numbers[65:91] = numbers[97:123]
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    return numbers, blank
+
+
+NUMBERS, BLANK = _tables()
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(FOLD[0]), pow(int(FOLD[0]), -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word in bytes: a polynomial of the word's bytes, from sums over all bytes of a chunk."""
+    hashes, starts, a = [], [], 0
+    while a < len(raw):
+        b = min(len(raw), a + CHUNK)
+        while b < len(raw) and not BLANK[raw[b]]:  # a word is not cut
+            b += 1
+        part = raw[a:b]
+        up, down = powers(max(len(part), CHUNK))
+        edge = np.diff(np.concatenate([[False], ~BLANK[part], [False]]).view(np.int8))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(NUMBERS[part] * up[: len(part)], out=sums[1:])
+        hashes.append(mixed((sums[last] - sums[first]) * down[first], 4))
+        starts.append(first + a)
+        a = b
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each whole text; only A-Z are folded, only ASCII blanks separate words."""
+    raw, bounds = joined_bytes(texts)
+    h, starts = word_hashes(raw)
+    first = np.searchsorted(starts, bounds)
+    size = max(0, len(h) - words + 1)
+    whole = np.full(size, words, np.uint64)
+    for i in range(words if size else 0):
+        whole += h[i : i + size] * FOLD[i % len(FOLD)]
+    whole = mixed(whole)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append(np.unique(whole[a : b - words + 1]))
+        elif b > a:
+            few = np.uint64(b - a) + (h[a:b] * FOLD[np.arange(b - a) % len(FOLD)]).sum(dtype=np.uint64)
+            out.append(mixed(np.array([few], np.uint64)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def needed(n):
@@ -120,8 +159,8 @@ def frequent(texts: DataFrame) -> Order:
 
         for batch in batches:
             for part in text_slices(batch.column(0)):
-                for t in part:
-                    s = shingles(t) >> np.uint64(64 - bits)
+                for found in shingles(part):
+                    s = found >> np.uint64(64 - bits)
                     held.append(s)
                     n += len(s)
                     if n >= flush:
@@ -165,8 +204,7 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
             ids, at = batch.column(0), 0
             for part in text_slices(batch.column(1)):
                 rows = []
-                for t in part:
-                    s = shingles(t)
+                for s in shingles(part):
                     first, light = held.value.prefix(s) if len(s) else (s, 0)
                     rows.append((len(s), *identity(s), *identity(first), light, first.astype("<u8").tobytes()))
                 n, s1, s2, p1, p2, light, raw = zip(*rows)
@@ -252,13 +290,24 @@ def shared_elements(groups: DataFrame) -> DataFrame:
     return rare.unionByName(common).unionByName(own)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The upper 48 bits of each element; within two sets that tells elements apart."""
+    return (found >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
 
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+            a, b = unpacked(a.as_buffer()), unpacked(b.as_buffer())
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(OF * both >= NEAR * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
@@ -304,7 +353,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 
     wanted = member.select("label").distinct()
     held = base.join(wanted, base["id"] == wanted["label"], "left_semi")
-    sets = cut_lineage(sets_of(held).join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    # Repeated rows give a set twice and other texts of the same id one that nobody asks for; neither changes a verdict.
+    sets = cut_lineage(sets_of(held))
 
     roots = None
     for turn in range(STAR_ROUNDS + 1):
@@ -347,9 +397,9 @@ def sets_of(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch.column(0)):
-                found = [shingles(t) for t in part]
+                found = shingles(part)
                 s1, s2 = zip(*[identity(s) for s in found])
-                cols = [pa.array([len(s) for s in found], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())]
+                cols = [pa.array([len(s) for s in found], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([packed(s) for s in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["n", "s1", "s2", "s"])
 
     return rows.select("t").mapInArrow(run, "n long, s1 long, s2 long, s binary").select(node(), "s")

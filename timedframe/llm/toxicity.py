@@ -107,8 +107,7 @@ def unlike(texts: list[str]) -> list[int]:
     """
     seen: set[tuple[int, ...]] = set()
     out = []
-    for i, t in enumerate(texts):
-        found = shingles(t)
+    for i, found in enumerate(shingles(texts)):
         if not len(found):
             continue
         least = [int(((found ^ (found >> np.uint64(29))) * np.uint64(m)).min()) for m in DRAWS]
