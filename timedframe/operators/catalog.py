@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timedframe.functions.filters import date_bound, match_column, playlist_slices
-from timedframe.operators.ordered import attach_group, first_per_key, number_rows, run_sum, scan, top_n
+from timedframe.operators.ordered import attach_group, first_per_key, last_per_key, number_rows, run_sum, scan, top_n
 from timedframe.semantics import known
 
 
@@ -280,7 +280,8 @@ def resolve_options(options: Sequence[str], universe: DataFrame, aliases: dict[s
 
 
 def merge_records(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First non-null value wins; an empty string gives way to the later record's string."""
+    """First non-null value wins; an empty string gives way to the later record's string.  Of several records of one key in a table the last by value counts."""
+    a, b = last_per_key(a, keys), last_per_key(b, keys)
     cols = [c for c in dict.fromkeys([*a.columns, *b.columns]) if c not in keys]
     right = b.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in b.columns if c not in keys])
     joined = a.join(right, list(keys), "full")

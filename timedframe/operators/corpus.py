@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.operators.ordered import attach_group, lag_lead
+from timedframe.operators.ordered import attach_group, lag_lead, last_per_key
 from timedframe.operators.segments import BREAK
 from timedframe.semantics import strip
 
@@ -81,10 +81,10 @@ def pack_training_rows(df: DataFrame, max_len: int = MAX_TOKENS, pad: int = 0, s
 
 
 def upsert_presets(presets: DataFrame, new: DataFrame, default: str | None = None) -> DataFrame:
-    """Voice presets by name, where a new one replaces the old; ``is_default`` marks the pointer."""
+    """Voice presets by name, where a new one replaces the old; ``is_default`` marks the pointer.  Of several of one name the last by value counts."""
     fields = [c for c in presets.columns if c not in ("name", "is_default")]
-    right = new.select("name", F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in fields])
-    out = presets.join(right, "name", "full")
+    right = last_per_key(new.select("name", *fields), ["name"]).select("name", F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in fields])
+    out = last_per_key(presets, ["name"]).join(right, "name", "full")
     cols = [F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in fields]
     old = F.coalesce("is_default", F.lit(False)) if "is_default" in presets.columns else F.lit(False)
     return out.select("name", *cols, (F.col("name") == default if default is not None else old).alias("is_default"))

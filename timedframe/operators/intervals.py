@@ -368,25 +368,32 @@ def unwrap_clock(df: DataFrame, key: str = "media_id", order: str = "seq", clock
     return rows.select(*df.columns, (F.col(clock) + F.col("_wraps") * F.lit(CLOCK_WRAP)).alias("unwrapped"))
 
 
+SQUARE = "decimal(28,18)"
+
+
 def window_gain(signal: DataFrame, windows: DataFrame, target: float = 1.0, lo: float = 1.0, hi: float = 4.0) -> DataFrame:
     """RMS of the background, active RMS of the voice and the gain inside windows ``[start_i, end_i)``.
 
-    ``signal(series_id, t_idx, background, voice)``; prefix sums answer every window at its two ends.
+    ``signal(series_id, t_idx, background, voice)``; prefix sums answer every window at its two ends.  Squares are summed as
+    decimals, so a window is as exact after a long loud past as at the start: samples up to 10^5 in size, squares to 18 decimals.
     """
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast(SQUARE)
+    square = lambda c: (F.col(c) * F.col(c)).cast(SQUARE)
     act = F.abs(F.col("voice")) > ACTIVE_EPS
     samples = signal.select(
         "series_id", F.col("t_idx").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("seg_id"), F.lit(0).alias("sign"),
-        (F.col("background") * F.col("background")).alias("b2"), F.lit(1).alias("n"),
-        F.when(act, F.col("voice") * F.col("voice")).otherwise(zero).alias("v2"), F.when(act, 1).otherwise(0).alias("m"),
+        square("background").alias("b2"), F.lit(1).alias("n"), F.when(act, square("voice")).otherwise(zero).alias("v2"), F.when(act, 1).otherwise(0).alias("m"),
     )
     live = windows.select("series_id", F.col("seg_id").cast("bigint").alias("seg_id"), F.greatest("start_i", F.lit(0)).alias("a"), F.col("end_i").alias("b")).filter(F.col("b") > F.col("a"))
     ends = live.select("series_id", "seg_id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(-1).alias("sign")), F.struct(F.col("b").alias("x"), F.lit(1).alias("sign")))).alias("z"))
     ends = ends.select("series_id", "z.x", F.lit(0).alias("kind"), "seg_id", "z.sign", zero.alias("b2"), F.lit(0).alias("n"), zero.alias("v2"), F.lit(0).alias("m"))
     rows = samples.unionByName(ends)
-    rows = scan(rows, ["series_id"], ["x", "kind", "seg_id", "sign"], {f"_{c}": run_sum(F.col(c)) for c in ("b2", "n", "v2", "m")})
-    got = rows.filter(F.col("sign") != 0).groupBy("series_id", "seg_id").agg(*[F.sum(F.col(f"_{c}") * F.col("sign")).alias(c) for c in ("b2", "n", "v2", "m")])
-    rms = lambda q, n: F.when(F.col(n) > 0, F.sqrt(F.greatest(F.col(q), zero) / F.col(n))).otherwise(zero)
+    names = ("b2", "n", "v2", "m")
+    rows = scan(rows, ["series_id"], ["x", "kind", "seg_id", "sign"], {f"_{c}": run_sum(F.col(c)) for c in names})
+    # A window has one row at either end: the difference of two exact sums.
+    at = lambda c, sign: F.max(F.when(F.col("sign") == sign, F.col(f"_{c}")))
+    got = rows.filter(F.col("sign") != 0).groupBy("series_id", "seg_id").agg(*[(at(c, 1) - at(c, -1)).cast("double").alias(c) for c in names])
+    rms = lambda q, n: F.when(F.col(n) > 0, F.sqrt(F.col(q) / F.col(n))).otherwise(F.lit(0.0))
     got = got.select("series_id", "seg_id", rms("b2", "n").alias("bg_rms"), rms("v2", "m").alias("voice_rms"))
     gain = F.least(F.greatest(F.lit(target) * F.col("bg_rms") / F.col("voice_rms"), F.lit(lo)), F.lit(hi))
     return got.withColumn("gain", F.when((F.col("voice_rms") > RMS_EPS) & (F.col("bg_rms") > RMS_EPS), gain).otherwise(1.0))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.operators.ordered import attach_group, fits, lag_lead, number_rows, run_last, run_sum, scan
+from timedframe.operators.ordered import attach_group, fits, lag_lead, last_per_key, number_rows, run_last, run_sum, scan
 from timedframe.semantics import blank, secs
 
 # Fixed values
@@ -229,9 +229,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 
 def resolve_items(items: DataFrame, outputs: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Source of each mix item by type; what cannot be found gets an ``error``."""
-    out = items.join(outputs.select(F.col("job_id").alias("ref_job"), F.col("path").alias("_out")), "ref_job", "left")
-    out = out.join(tracks.select(F.col("project").alias("music_project"), F.col("track").alias("music_track"), F.lit(True).alias("_track")), ["music_project", "music_track"], "left")
+    """Source of each mix item by type; what cannot be found gets an ``error``.  A job with several outputs gives its last path."""
+    paths = last_per_key(outputs.select(F.col("job_id").alias("ref_job"), F.col("path").alias("_out")), ["ref_job"])
+    known = tracks.select(F.col("project").alias("music_project"), F.col("track").alias("music_track"), F.lit(True).alias("_track")).distinct()
+    out = items.join(paths, "ref_job", "left").join(known, ["music_project", "music_track"], "left")
     kind = F.col("type")
     found = (
         F.when(kind == "reuse", F.col("_out"))

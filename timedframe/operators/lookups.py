@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.operators.ordered import number_rows, run_sum, scan, top_n
+from timedframe.operators.ordered import last_per_key, number_rows, run_sum, scan, top_n
 from timedframe.operators.segments import KEY, NARRATOR, ORDER, looks_untranslated
 from timedframe.semantics import blank, strip
 
@@ -18,14 +18,22 @@ GLOSSARY_BYTES = 64 * 1024 * 1024
 NAME_CAP = 30
 
 
-def apply_windows(segments: DataFrame, windows: DataFrame) -> DataFrame:
-    """Segment times replaced by the window's where one exists; windows without a segment are ignored."""
-    w = windows.select(*SEG, F.col("start").alias("_ws"), F.col("end").alias("_we"))
+def apply_windows(segments: DataFrame, windows: DataFrame, order: str | None = None) -> DataFrame:
+    """Segment times replaced by the window's where one exists; windows without a segment are ignored.
+
+    Of several windows of a segment the last by ``order`` counts, without one the latest.
+    """
+    w = _last(windows, "start", "end", order=order).select(*SEG, F.col("start").alias("_ws"), F.col("end").alias("_we"))
     out = segments.join(w, SEG, "left")
     swap = {"start": F.coalesce("_ws", "start"), "end": F.coalesce("_we", "end")}
     return out.select(*[swap[c].alias(c) if c in swap else F.col(c) for c in segments.columns])
 
 
+def _last(side: DataFrame, *values: str, order: str | None) -> DataFrame:
+    """One row per segment of a side table."""
+    return last_per_key(side.select(*SEG, *values, *([order] if order else [])), SEG, [order] if order else [])
+
+
 def choose_windows(segments: DataFrame, windows: DataFrame) -> DataFrame:
     """Per media: its windows when it has any, else its transcript segments."""
     cols = [*SEG, "start", "end"]
@@ -125,9 +133,12 @@ def unknown_names(names: DataFrame, glossary: DataFrame, cap: int = NAME_CAP) ->
 # ---- revisions and speakers ----------------------------------------------------------------------
 
 
-def apply_revisions(segments: DataFrame, revisions: DataFrame, target: str = "tiếng Việt") -> DataFrame:
-    """Revised text where one exists, is not blank, differs and looks translated; ``review`` tells which."""
-    rev = revisions.select(*SEG, strip("text").alias("_new")).filter(F.length("_new") > 0)
+def apply_revisions(segments: DataFrame, revisions: DataFrame, target: str = "tiếng Việt", order: str | None = None) -> DataFrame:
+    """Revised text where one exists, is not blank, differs and looks translated; ``review`` tells which.
+
+    Of several revisions of a segment the last by ``order`` counts, blank or not.
+    """
+    rev = _last(revisions, "text", order=order).select(*SEG, strip("text").alias("_new")).filter(F.length("_new") > 0)
     out = segments.join(rev, SEG, "left")
     differs = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("text"))
     poor = looks_untranslated(F.col("_new"), target)
@@ -143,9 +154,12 @@ def revision_audit(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def apply_speaker_tags(segments: DataFrame, tags: DataFrame) -> DataFrame:
-    """Speaker is the stripped non-blank tag, else the one already there, else the narrator."""
-    t = tags.filter(~blank("speaker")).select(*SEG, strip("speaker").alias("_tag"))
+def apply_speaker_tags(segments: DataFrame, tags: DataFrame, order: str | None = None) -> DataFrame:
+    """Speaker is the stripped non-blank tag, else the one already there, else the narrator.
+
+    Of several non-blank tags of a segment the last by ``order`` counts.
+    """
+    t = _last(tags.filter(~blank("speaker")), "speaker", order=order).select(*SEG, strip("speaker").alias("_tag"))
     have = F.col("speaker") if "speaker" in segments.columns else F.lit(None).cast("string")
     cols = [c for c in segments.columns if c != "speaker"]
     return segments.join(t, SEG, "left").select(*cols, F.coalesce(F.col("_tag"), have, F.lit(NARRATOR)).alias("speaker"))

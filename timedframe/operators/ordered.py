@@ -1,7 +1,7 @@
 """Ordered computations per key that survive a key holding a large share of all rows.
 
-``scan`` is the one entry point.  It first measures the largest group with a map-side combined
-count.  When that group fits in one task a plain window does the job with a single shuffle.
+``scan`` is the one entry point.  Unless the tables below are small, it first measures the largest group with a map-side
+combined count.  When that group fits in one task a plain window does the job with a single shuffle.
 Otherwise rows are range partitioned by (key, order), so that a hot key spreads over many blocks;
 each block computes local running values and one summary row, the summaries are scanned per key,
 and the carried-in value is joined back by (key, block).
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 GROUP_LIMIT_CONF = "timedframe.maxGroupRows"
 GROUP_LIMIT_DEFAULT = 1_000_000
+#: Bytes of stored tables that one row of a derived table stands for at least, when no group is measured.
+ROW_BYTES = 64
 
 
 def group_limit(spark: SparkSession) -> int:
@@ -41,10 +43,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back, so later branches prune columns of one result."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/timedframe-{uuid.uuid4().hex}"
+    """Write once to the shared folder and read back, so later branches prune columns of one result.
+
+    The copy is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/timedframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -54,12 +62,20 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that a plan reads, by the optimizer's estimate; starts no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def fits(df: DataFrame, keys: Sequence[str], factor: int = 1) -> bool:
     """Whether every key, with up to ``factor`` derived rows per row, stays within one task's limit.
 
-    Operators with several ordered steps measure their input once and hand the answer to each step.
+    Tables that are small as a whole need no look at their groups, so that no job starts while a plan over them is built;
+    larger ones are measured by one count.  Operators with several ordered steps ask once and hand the answer to each step.
     """
-    return largest_group(df, keys) * factor <= group_limit(df.sparkSession)
+    limit = group_limit(df.sparkSession)
+    return input_bytes(df) * factor <= ROW_BYTES * limit or largest_group(df, keys) * factor <= limit
 
 
 @dataclass(frozen=True)
@@ -228,6 +244,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return picked.select(*[F.col(c) if c in keys else F.col("row")[c].alias(c) for c in df.columns])
 
 
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, the last by ascending ``order`` and then by its own values; a side table that may repeat keys."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    picked = df.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("row"))
+    return picked.select(*[F.col(c) if c in keys else F.col("row")[c].alias(c) for c in df.columns])
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "_rn") -> DataFrame:
     """First ``n`` rows per key; Spark cuts each map task to ``n`` rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -223,6 +223,22 @@ def _(spark, sf):
     return iv.window_gain(s, w).select("series_id", "seg_id", r4("bg_rms").alias("bg_rms"), r4("voice_rms").alias("voice_rms"), r4("gain").alias("gain"))
 
 
+@query(
+    "ag15_quiet_after_loud",
+    oracle("ev_signal", """, s AS (SELECT series_id, t_idx - 1 AS t, CASE WHEN t_idx <= 20 THEN 1000 ELSE 1e-4 END * value / 100 AS bg, CASE WHEN t_idx <= 20 THEN 900 ELSE 3e-3 END * value / 300 AS vo FROM ev_signal),
+w AS (SELECT series_id, t_idx AS seg_id, t_idx - 1 AS a, t_idx + 4 AS b FROM ev_signal WHERE t_idx % 6 = 1),
+r AS (SELECT w.series_id, seg_id, sqrt(avg(bg * bg)) AS bg_rms, coalesce(sqrt(avg(vo * vo) FILTER (abs(vo) > 1e-4)), 0) AS voice_rms FROM w JOIN s ON w.series_id = s.series_id AND t >= a AND t < b GROUP BY ALL)
+SELECT series_id, seg_id, round(bg_rms, 7) AS bg_rms, round(voice_rms, 7) AS voice_rms FROM r"""),
+)
+def _(spark, sf):
+    g, t = fx.ev_signal(spark, sf), F.col("t_idx")
+    loud = lambda a, b: F.when(t <= 20, F.lit(float(a))).otherwise(F.lit(b)) * F.col("value")
+    s = g.select("series_id", (t - 1).alias("t_idx"), (loud(1000, 1e-4) / 100).alias("background"), (loud(900, 3e-3) / 300).alias("voice"))
+    w = g.filter(t % 6 == 1).select("series_id", t.alias("seg_id"), (t - 1).alias("start_i"), (t + 4).alias("end_i"))
+    out = iv.window_gain(s, w)
+    return out.select("series_id", "seg_id", F.round("bg_rms", 7).alias("bg_rms"), F.round("voice_rms", 7).alias("voice_rms"))
+
+
 @query("ag16_peak_normalize", oracle("ev_signal", ", p AS (SELECT *, max(abs(value)) OVER (PARTITION BY series_id) AS pk FROM ev_signal) SELECT series_id, t_idx, round(CASE WHEN pk > 0.99 THEN value * (0.99::DOUBLE / pk) ELSE value END, 4) + 0.0 AS value FROM p"))
 def _(spark, sf):
     return iv.peak_normalize(fx.ev_signal(spark, sf)).select("series_id", "t_idx", r4("value").alias("value"))

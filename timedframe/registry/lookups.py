@@ -22,6 +22,19 @@ def _(spark, sf):
     return out.select("media_id", "seg_id", r4("start").alias("start"), r4("end").alias("end"))
 
 
+@query(
+    "jn2_repeated_windows",
+    oracle("conv_segments conv_windows", """, w AS (SELECT media_id, seg_id, start + media_id % 2 AS start, "end" + media_id % 2 AS "end" FROM conv_windows)
+SELECT s.media_id, s.seg_id, round(coalesce(w.start, s.start), 4) AS start, round(coalesce(w."end", s."end"), 4) AS "end"
+FROM conv_segments s LEFT JOIN w ON s.media_id = w.media_id AND s.seg_id = w.seg_id"""),
+)
+def _(spark, sf):
+    w = fx.conv_windows(spark, sf).select("media_id", "seg_id", "start", "end")
+    moved = w.filter("media_id % 2 = 1").select("media_id", "seg_id", (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"), F.lit(2).alias("edit"))
+    out = lk.apply_windows(fx.conv_segments(spark, sf), moved.unionByName(w.withColumn("edit", F.lit(1))), "edit")
+    return out.select("media_id", "seg_id", r4("start").alias("start"), r4("end").alias("end"))
+
+
 @query(
     "jn3_choose_windows",
     oracle("conv_segments conv_windows", """, w AS (SELECT * FROM conv_windows WHERE media_id % 3 = 0)
@@ -93,6 +106,14 @@ def _(spark, sf):
     return lk.apply_revisions(fx.conv_segments(spark, sf), fx.conv_revisions(spark, sf)).select("media_id", "seg_id", "text", "review")
 
 
+@query("jn7_repeated_revisions", oracle("conv_segments conv_revisions", REVISED_SQL + " SELECT media_id, seg_id, text, review FROM reviewed"))
+def _(spark, sf):
+    rev = fx.conv_revisions(spark, sf).select("media_id", "seg_id", "text")
+    early = rev.select("media_id", "seg_id", F.concat(F.lit("draft "), "text").alias("text"), F.lit(1).alias("edit"))
+    both = rev.withColumn("edit", F.lit(2)).unionByName(early)
+    return lk.apply_revisions(fx.conv_segments(spark, sf), both, order="edit").select("media_id", "seg_id", "text", "review")
+
+
 @query(
     "jn7_revision_audit",
     oracle("conv_segments conv_revisions", REVISED_SQL + " SELECT media_id, count(*) FILTER (review = 'accepted') AS accepted, count(*) FILTER (review = 'rejected') AS rejected FROM reviewed GROUP BY media_id"),
@@ -113,6 +134,17 @@ def _(spark, sf):
     return lk.apply_speaker_tags(seg, tags).select("media_id", "seg_id", "speaker")
 
 
+@query(
+    "jn8_repeated_tags",
+    """SELECT conv_id AS media_id, turn AS seg_id, CASE WHEN turn % 3 = 0 THEN 'narrator' ELSE role || '_' || (turn % 3) END AS speaker FROM conversations""",
+)
+def _(spark, sf):
+    conv = fx.table(spark, sf, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seg_id"), "text", "role")
+    edits = conv.filter("seg_id % 3 > 0").select("media_id", "seg_id", "role", F.explode(F.sequence(F.lit(0), F.col("seg_id") % 3)).alias("edit"))
+    tags = edits.select("media_id", "seg_id", "edit", F.concat_ws("_", "role", F.col("edit").cast("string")).alias("speaker"))
+    return lk.apply_speaker_tags(conv.drop("role"), tags, "edit").select("media_id", "seg_id", "speaker")
+
+
 @query(
     "jn9_assign_voices",
     oracle("conv_segments", """, sp AS (SELECT media_id, speaker, min(seg_id) AS f FROM conv_segments WHERE speaker <> 'narrator' GROUP BY ALL),
