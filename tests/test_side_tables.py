@@ -63,3 +63,17 @@ def test_large_tables_are_measured_once(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROW_BYTES", 0)
     table = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert jobs_of(spark, lambda: ordered.number_rows(table, ["o_custkey"], ["o_orderkey"], "n")) >= 1
+
+
+def test_glossary_of_any_term_length(spark, grouping):
+    import random
+
+    rng = random.Random(3)
+    lines = [(m, i, "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 90)))) for m in range(6) for i in range(40)]
+    joined = {m: "".join(t for k, _, t in lines if k == m) for m in range(6)}
+    terms = {"a", "é", "zz", "ab", "q"} | {joined[rng.randrange(6)][p : p + n] for n in range(1, 70) for p in (rng.randrange(400),)} | {"ab" * 40}
+    segments = spark.createDataFrame(lines, "media_id int, seg_id int, text string")
+    found = lookups.match_glossary(segments, spark.createDataFrame([(t, t.upper()) for t in terms], "source string, target string")).collect()
+    assert sorted((r.media_id, r.source, r.target) for r in found) == sorted((m, t, t.upper()) for m, text in joined.items() for t in terms if t and t in text)
+    none = spark.createDataFrame([], "source string, target string")
+    assert lookups.match_glossary(segments, none).count() == 0

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +12,10 @@ from timedframe.operators.segments import KEY, NARRATOR, ORDER, looks_untranslat
 from timedframe.semantics import blank, strip
 
 SEG = ["media_id", "seg_id"]
-CHUNK_CHARS = 32_768
-GLOSSARY_BYTES = 64 * 1024 * 1024
+#: Characters of text that are searched together; finding a place in a text costs its distance from the start.
+CHUNK_CHARS = 512
+#: Characters of a term by which it is looked up.
+HEAD_CHARS = 16
 NAME_CAP = 30
 
 
@@ -63,55 +64,26 @@ def text_chunks(segments: DataFrame, overlap: int, width: int = CHUNK_CHARS) ->
     return rows.groupBy("media_id", "_c").agg(joined.alias("chunk"))
 
 
-def match_glossary(segments: DataFrame, glossary: DataFrame, max_bytes: int = GLOSSARY_BYTES) -> DataFrame:
+def match_glossary(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """Glossary rows (``source, target``) whose source occurs in a media's joined text.
 
-    A glossary of checked size travels to the tasks as one multi-pattern automaton, so the text is read
-    once.  A larger one is matched by an equi-join on leading characters, then verified.
+    Terms are put into classes by length, 1, 2, 4, 8 and 16 characters and more.  Every chunk of text offers its distinct stretches of
+    such a length; they meet the terms by equal beginnings, and a chunk that met a term is searched for the whole of it.  A class of short
+    terms offers few stretches, and the same plan serves glossaries of any size.  Only the largest length is looked up beforehand.
     """
-    terms = glossary.filter(F.length("source") > 0).select("source", "target").distinct()
-    size = terms.agg(
-        F.sum(F.octet_length("source") + F.octet_length(F.coalesce("target", F.lit("")))), F.max(F.length("source")), F.min(F.length("source"))
-    ).first()
-    longest, shortest = int(size[1] or 1), int(size[2] or 1)
+    size = F.length("source")
+    head = F.least(F.expr("shiftleft(1, length(bin(length(source))) - 1)"), F.lit(HEAD_CHARS))
+    terms = glossary.filter(size > 0).select("source", "target", head.alias("_q")).distinct().withColumn("_head", F.expr("left(source, _q)"))
+    found = terms.agg(F.max(size), F.collect_set("_q")).first()  # a length and at most five numbers
+    longest, lengths = int(found[0] or 1), sorted(found[1]) or [1]
     chunks = text_chunks(segments, longest - 1, max(CHUNK_CHARS, 4 * longest))
-    hits = _scan_terms(chunks, terms) if (size[0] or 0) <= max_bytes else _join_terms(chunks, terms, shortest, longest)
-    return hits.distinct()
-
-
-def _scan_terms(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    table: dict[str, list] = {}
-    for source, target in terms.toLocalIterator():  # at most GLOSSARY_BYTES, checked by the caller
-        table.setdefault(source, []).append(target)
-    held = chunks.sparkSession.sparkContext.broadcast(table)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        words = ahocorasick.Automaton()
-        for source in held.value:
-            words.add_word(source, source)
-        if held.value:
-            words.make_automaton()
-        for pdf in batches:
-            out = []
-            for media_id, chunk in zip(pdf["media_id"], pdf["chunk"]):
-                found = {s for _, s in words.iter(chunk)} if held.value else ()
-                out.extend((media_id, s, t) for s in found for t in held.value[s])
-            yield pd.DataFrame(out, columns=["media_id", "source", "target"])
-
-    key = dict(chunks.dtypes)["media_id"]
-    return chunks.select("media_id", "chunk").mapInPandas(find, f"media_id {key}, source string, target string")
-
-
-def _join_terms(chunks: DataFrame, terms: DataFrame, shortest: int, longest: int) -> DataFrame:
-    q = min(shortest, 16)
-    spots = chunks.filter(F.length("chunk") >= q).select(
-        "media_id", "chunk", F.explode(F.sequence(F.lit(1), F.length("chunk") - q + 1)).alias("_at")
+    stretches = F.transform(
+        F.array(*[F.lit(q) for q in lengths]),
+        lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("chunk") - q + 1, F.lit(1))), lambda i: F.substring(F.col("chunk"), i, q))),
     )
-    grams = spots.select("media_id", F.substring("chunk", F.col("_at"), F.lit(q)).alias("_q"), F.substring("chunk", F.col("_at"), F.lit(longest)).alias("_tail"))
-    anchored = terms.withColumn("_q", F.substring("source", 1, q))
-    return grams.join(anchored, "_q").filter(F.startswith("_tail", "source")).select("media_id", "source", "target")
+    spots = chunks.select("media_id", "_c", F.explode(F.flatten(stretches)).alias("_head"))
+    met = spots.join(terms.select("source", "target", "_head"), "_head").select("media_id", "_c", "source", "target")
+    return met.join(chunks, ["media_id", "_c"]).filter(F.contains("chunk", "source")).select("media_id", "source", "target").distinct()
 
 
 def match_pairs(segments: DataFrame, pairs: DataFrame) -> DataFrame:
