@@ -13,6 +13,7 @@ once, and a lost task repeats the same windows from the same rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,25 +32,62 @@ TIERS = (512, 1024, 2048, 4096)
 BUFFER_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
 CACHED_WORDS = 1_000_000
+#: Latin-1 letters, then ASCII marks: forms whose case and composition fold one letter at a time.
+LETTERS_AND_MARKS = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Ids(dict):
-    """Ids of words as little-endian 32-bit bytes; the pattern drops white space, so words between blanks are independent."""
+    """Ids of words as little-endian 32-bit bytes; the pattern drops white space, so words between blanks are independent.
+
+    A word of Latin letters with marks after it is two words for the pattern, and letter case is folded; so letters and
+    marks are looked up by themselves.  Plain words are encoded many at a time in one text.
+    """
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
 
-    def texts(self, texts: list[str], end: int) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self))
+    def encode_each(self, words: list[str]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def encode_plain(self, words: list[str], size: int = 1000) -> None:
+        """Words of letters only, each of which is one word for the pattern."""
+        for a in range(0, len(words), size):
+            part = words[a : a + size]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            cuts = 4 * (np.flatnonzero(np.diff(found.word_ids)) + 1)
+            raw = np.asarray(found.ids, "<u4").tobytes()
+            if len(cuts) + 1 != len(part):
+                self.encode_each(part)
+                continue
+            for w, x, y in zip(part, [0, *cuts.tolist()], [*cuts.tolist(), len(raw)], strict=True):
+                self[w] = raw[x:y]
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self)
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
-            new = list(set().union(*split))
-        for a in range(0, len(new), 20_000):
-            words = new[a : a + 20_000]
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+            new = words
+        parts: dict[str, tuple[str, str]] = {}
+        other = []
+        for w in new:
+            m = LETTERS_AND_MARKS.fullmatch(w)
+            if m and m[1].isalpha():
+                parts[w] = m[1].lower(), m[2]
+            else:
+                other.append(w)
+        self.encode_each(other)
+        self.encode_plain([w for w in {a for a, _ in parts.values()} if w not in self])
+        self.encode_each([w for w in {b for _, b in parts.values()} if w and w not in self])
+        for w, (a, b) in parts.items():
+            self[w] = self[a] + self[b] if b else self[a]
+
+    def texts(self, texts: list[str], end: int) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
         last = np.asarray([end], "<u4").tobytes()
         return [b"".join(map(self.__getitem__, s)) + last for s in split]
 
