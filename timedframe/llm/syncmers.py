@@ -25,6 +25,7 @@ SKETCH = 64
 BLOCK_CHARS = 8_000_000
 #: Quantiles of the keys that the driver holds; more blocks than that divide the range between two evenly.
 QUANTILES = 1024
+BROADCAST_BLOCKS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -133,8 +134,11 @@ def follow(docs: DataFrame, key: str, text: str, derived: dict[str, Column]) ->
     around = Window.orderBy("_b")  # one small row per block
     before = F.coalesce(F.lag("_b").over(around), F.max("_b").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = cut_lineage(heads.select("_b", "_first", before.alias("_before")))
+    known = heads.withColumnRenamed("_b", "_hb")
+    # One row of numbers per block; their number was counted above.
+    known = F.broadcast(known) if blocks <= BROADCAST_BLOCKS else known
     firsts = (
-        placed.join(heads.withColumnRenamed("_b", "_hb"), (F.col("_b") == F.col("_hb")) & F.struct("_k", "_h").eqNullSafe(F.col("_first")))
+        placed.join(known, (F.col("_b") == F.col("_hb")) & F.struct("_k", "_h").eqNullSafe(F.col("_first")))
         .dropDuplicates(["_b"])
         .select(F.col("_before").alias("_b"), "_k", "_h", F.lit(1).alias("_last"), row.alias("_row"))
     )
