@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,8 @@ from timedframe.operators.ordered import shared_folder
 
 #: UTF-8 bytes of text that a Python step works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: How folders of copies are named.
+COPY = "timedframe-copy-"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,24 +28,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write once to the cluster's checkpoint folder, so that several readers and lost executors don't recompute.
+    """Write once to the cluster's checkpoint folder and read back, so that several readers and lost executors don't recompute.
 
-    Spark deletes the copy with its owner where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    ``discard`` deletes the copy; what is left goes when the application ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+    path = f"{shared_folder(spark).rstrip('/')}/{COPY}{uuid.uuid4().hex}"
     # The copy is complete, so the shuffle files that led to it can go at once.
-    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    was = spark.conf.get(SHUFFLE_CLEANUP)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()
+        df.select("*").write.parquet(path)
     finally:
-        if was is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, was)
+        spark.conf.set(SHUFFLE_CLEANUP, was)
+    place, files = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*copies: DataFrame | None) -> None:
+    """Deletes copies that no later step reads."""
+    for df in copies:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+            if path.rpartition("/")[2].startswith(COPY):
+                place, files = _file_system(df.sparkSession, path)
+                files.delete(place, True)
 
 
 def slices(lengths: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.llm.common import cut_lineage
+from timedframe.llm.common import cut_lineage, discard
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected(links: DataFrame) -> DataFrame:
         seen = state
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = cut_lineage(both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        old, large = pairs, cut_lineage(both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         others = large.join(down.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         pairs = cut_lineage(others.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        discard(old, large)

@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from timedframe.llm.common import cut_lineage, joined_bytes, text_slices
+from timedframe.llm.common import cut_lineage, discard, joined_bytes, text_slices
 from timedframe.llm.components import connected
 
 WORDS = 5
 #: Least similarity as a fraction, compared in integers.
 NEAR, OF = 4, 5
 STAR_ROUNDS = 3
+#: Lists whose pairs are no more than this many times their rows are compared in full at once.
+PAIRS_PER_ROW = 4
 #: A shingle is frequent if it is in more than this many documents, and in more than one per so many characters of the corpus.
 FREQUENT_DOCS = 50
 FREQUENT_CHARS = 1 << 23
@@ -225,8 +227,14 @@ def node() -> Column:
     return F.xxhash64("n", "s1", "s2").alias("node")
 
 
+def places(sizes: list[int]) -> np.ndarray:
+    """0, 1, 2, ... for each of several lists."""
+    sizes = np.asarray(sizes, np.int64)
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def shared_elements(groups: DataFrame) -> DataFrame:
-    """(token, gid) of prefix elements that two or more groups have.
+    """(token, gid, pos) of prefix elements that two or more groups have, with their place in the group's prefix.
 
     Elements that are not frequent are brought together in buckets of bounded lists and only shared ones come out; frequent ones
     are rows at once.
@@ -245,17 +253,19 @@ def shared_elements(groups: DataFrame) -> DataFrame:
             if not len(tokens):
                 continue
             owner = np.repeat((gids - base).astype(np.uint64), light)
+            place = places(light)
             home = (tokens >> np.uint64(64 - bits)).astype(np.int64)
             by = np.argsort(home, kind="stable")
-            tokens, owner, home = tokens[by], owner[by], home[by]
+            tokens, owner, place, home = tokens[by], owner[by], place[by], home[by]
             cuts = np.flatnonzero(np.diff(home)) + 1
             # 40 bits after the bucket's tell elements apart well enough: whoever meets by chance fails verification.
             low = ((tokens << np.uint64(bits)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
             wide = 4 if int(owner.max()) < 1 << 32 else 8
             own = owner.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
-            rows = [(int(home[a]), base, wide, low[a:b].tobytes(), own[a:b].tobytes()) for a, b in zip(np.append([0], cuts), np.append(cuts, len(home)))]
-            b, base_, w, t, o = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(base_, pa.int64()), pa.array(w, pa.int32()), pa.array(t, pa.binary()), pa.array(o, pa.binary())], names=["b", "base", "w", "t", "o"])
+            pos = place.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            rows = [(int(home[a]), base, wide, low[a:b].tobytes(), own[a:b].tobytes(), pos[a:b].tobytes()) for a, b in zip(np.append([0], cuts), np.append(cuts, len(home)))]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=["b", "base", "w", "t", "o", "p"])
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         def numbers(raw: bytes, width: int) -> np.ndarray:
@@ -265,28 +275,31 @@ def shared_elements(groups: DataFrame) -> DataFrame:
 
         tokens = np.concatenate([numbers(t, 5) for t in table.column("t").to_pylist()])
         owner = np.concatenate([numbers(o, w).astype(np.int64) + b for o, w, b in zip(table.column("o").to_pylist(), table.column("w").to_pylist(), table.column("base").to_pylist(), strict=True)])
+        place = np.concatenate([numbers(p, 3).astype(np.int64) for p in table.column("p").to_pylist()])
         by = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[by], owner[by]
+        tokens, owner, place = tokens[by], owner[by], place[by]
         same = tokens[1:] == tokens[:-1]
         keep = np.append(same, False) | np.append(False, same)
         full = tokens[keep] | (np.uint64(key[0].as_py()) << np.uint64(40))
-        return pa.table({"token": full.astype(np.int64), "gid": owner[keep]})
+        return pa.table({"token": full.astype(np.int64), "gid": owner[keep], "pos": place[keep]})
 
-    dealt = groups.select("gid", "light", "prefix").mapInArrow(deal, "b int, base long, w int, t binary, o binary")
-    rare = dealt.groupBy("b").applyInArrow(meet, "token long, gid long")
+    dealt = groups.select("gid", "light", "prefix").mapInArrow(deal, "b int, base long, w int, t binary, o binary, p binary")
+    rare = dealt.groupBy("b").applyInArrow(meet, "token long, gid long, pos long")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(r, "<u8")[k:] for r, k in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            light = batch.column(1).to_pylist()
+            parts = [np.frombuffer(r, "<u8")[k:] for r, k in zip(batch.column(2).to_pylist(), light, strict=True)]
             if parts:
-                owner = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
+                sizes = [len(p) for p in parts]
+                owner, place = np.repeat(batch.column(0).to_numpy(), sizes), places(sizes) + np.repeat(light, sizes)
                 # Bit 62 keeps them apart from the 60 bits or fewer of the others.
                 tokens = (np.concatenate(parts) >> np.uint64(2)).astype(np.int64) | np.int64(1 << 62)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner)], names=["token", "gid"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner), pa.array(place.astype(np.int64))], names=["token", "gid", "pos"])
 
-    common = groups.filter(F.col("light") * 8 < F.octet_length("prefix")).select("gid", "light", "prefix").mapInArrow(spread, "token long, gid long")
+    common = groups.filter(F.col("light") * 8 < F.octet_length("prefix")).select("gid", "light", "prefix").mapInArrow(spread, "token long, gid long, pos long")
     # Classes of one group meet under an element of their own.
-    own = groups.filter("members > 1").select((-F.col("gid") - 1).alias("token"), "gid")
+    own = groups.filter("members > 1").select((-F.col("gid") - 1).alias("token"), "gid", F.lit(0).cast("long").alias("pos"))
     return rare.unionByName(common).unionByName(own)
 
 
@@ -319,10 +332,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(check("sa", "sb")).select("a", "b")
 
 
-def may_link(n: Column, lone: Column, m: Column, alone: Column) -> Column:
-    """Whether sets of n and m elements, of which so many are in no other document's prefix or set, can be near."""
-    most = F.least(n - lone, m - alone)
-    return (NEAR + OF) * most >= NEAR * (n + m)
+def may_link(n: Column, absent: Column, m: Column, missing: Column) -> Column:
+    """Whether sets of n and m elements can be near, of which so many at least are not in the other one."""
+    return (NEAR + OF) * F.least(n - absent, m - missing) >= NEAR * (n + m)
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,40 +361,55 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     known = groups.select("gid", "g", "members", size.alias("p")).join(reached, "gid").join(counted, "gid", "left").select("gid", "g", lone.alias("lone"))
     nodes = cut_lineage(nodes)
     member = cut_lineage(nodes.join(known, "g").select("gid", "node", "n", "light", "label", "lone"))
-    lists = cut_lineage(shared.join(member, "gid").select("token", "node", "n", "light", "lone"))
+    # Elements before the first common one are not in the overlap either; each pair need only pass where it first meets.
+    absent = F.greatest("lone", "pos").alias("absent")
+    lists = cut_lineage(shared.join(member, "gid").select("token", "node", "n", "light", "lone", absent, F.col("node").alias("comp")))
 
     wanted = member.select("label").distinct()
     held = base.join(wanted, base["id"] == wanted["label"], "left_semi")
     # Repeated rows give a set twice and other texts of the same id one that nobody asks for; neither changes a verdict.
     sets = cut_lineage(sets_of(held))
+    discard(groups, shared)
 
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        now = lists.withColumn("comp", F.col("node"))
-        if roots is not None:
-            named = roots.withColumnRenamed("node", "k")
-            now = lists.join(named, F.col("node") == F.col("k"), "left").select(*lists.columns, F.coalesce("root", "node").alias("comp"))
-        now = cut_lineage(now) if roots is not None else now
+    roots = links = None
+    turn = 0
+    while turn <= STAR_ROUNDS:
         # At first the class with the fewest elements of its own, which is near most copies of one text; later any.
         central = ["light", F.col("lone").alias("own")] if turn == 0 else []
-        first = F.min(F.struct(*central, F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "lone", "comp")).alias("first")
-        mixed_lists = now.groupBy("token").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
-        if turn < STAR_ROUNDS:
+        first = F.min(F.struct(*central, F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "absent", "comp")).alias("first")
+        open_lists = lists.groupBy("token").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2")
+        open_lists = cut_lineage(open_lists.select(F.col("token").alias("k"), "first", "size"))
+        size = F.col("size").cast("decimal(20,0)")
+        rows_left, pairs_left = open_lists.agg(F.sum(size), F.sum(size * (size - 1) / 2)).first()
+        if not rows_left:
+            break
+        if turn < STAR_ROUNDS and pairs_left > PAIRS_PER_ROW * rows_left:
             f = F.col("first")
-            tested = now.join(mixed_lists.select(F.col("token").alias("k"), "first"), F.col("token") == F.col("k")).filter(
-                (F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("lone"), f["n"], f["lone"])
-            )
+            tested = lists.join(open_lists, F.col("token") == F.col("k")).filter((F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("absent"), f["n"], f["absent"]))
             pairs = tested.select(F.least("node", f["node"]).alias("a"), F.greatest("node", f["node"]).alias("b")).distinct()
+            turn += 1
         else:
-            open_lists = now.join(mixed_lists.select(F.col("token").alias("k")), F.col("token") == F.col("k"), "left_semi")
-            x, y = open_lists.alias("x"), open_lists.alias("y")
+            still = lists.join(open_lists, F.col("token") == F.col("k"), "left_semi")
+            x, y = still.alias("x"), still.alias("y")
             meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-            meet &= may_link(F.col("x.n"), F.col("x.lone"), F.col("y.n"), F.col("y.lone"))
+            meet &= may_link(F.col("x.n"), F.col("x.absent"), F.col("y.n"), F.col("y.absent"))
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        found = verify(pairs, sets)
-        if roots is not None:
-            found = found.select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = connected(found)
+            turn = STAR_ROUNDS + 1
+        found = cut_lineage(verify(pairs, sets))
+        if found.isEmpty():
+            discard(open_lists, found)
+            continue
+        links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        old, roots = roots, connected(links)
+        if turn <= STAR_ROUNDS:
+            # Only lists that held several components go on, with the components as they are now.
+            named = roots.withColumnRenamed("node", "k2")
+            going = lists.join(open_lists.select("k"), F.col("token") == F.col("k"), "left_semi").join(named, F.col("node") == F.col("k2"), "left")
+            was, lists = lists, cut_lineage(going.select("token", "node", "n", "light", "lone", "absent", F.coalesce("root", "comp").alias("comp")))
+            discard(was)
+        discard(open_lists, found, old)
+    if roots is None:
+        roots = lists.select("node", F.col("node").alias("root")).limit(0)
 
     labelled = nodes.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "label", F.coalesce("root", "node").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("label").alias("component"))
