@@ -43,11 +43,11 @@ def _(spark, sf):
 
 def codes(spark, sf):
     c = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: (i * 7919 + F.col("doc_id") * 31) % 66000 - 3)
-    d = fx.text_table(spark, sf, "documents", "doc_id").select("doc_id", F.least(F.length("text"), F.lit(40)).alias("n"))
+    d = fx.text_table(spark, sf, "documents", "doc_id").select("doc_id", F.length("text").alias("n"))
     return d.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<bigint>")).otherwise(c).alias("codes"))
 
 
-CODES_SQL = "c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN []::BIGINT[] ELSE list_transform(range(0, least(length(text), 40) + 1), lambda i: (i * 7919 + doc_id * 31) % 66000 - 3) END AS codes FROM documents)"
+CODES_SQL = "c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN []::BIGINT[] ELSE list_transform(range(0, length(text) + 1), lambda i: (i * 7919 + doc_id * 31) % 66000 - 3) END AS codes FROM documents)"
 
 
 @query("cr2_valid_codes", f"WITH {CODES_SQL} SELECT doc_id, len(codes) > 0 AND len(list_filter(codes, lambda x: x < 0 OR x >= 65536)) = 0 AS codes_ok FROM c")
@@ -65,13 +65,13 @@ def _(spark, sf):
 @query(
     "cr4_pack_training_rows",
     f"""WITH {CODES_SQL}, t AS (SELECT doc_id, list_concat([5, 6], CASE WHEN doc_id % 4 <> 0 THEN [1] ELSE [] END, list_transform(codes, lambda x: abs(x) + 10)) AS ids FROM c),
-p AS (SELECT doc_id, list_concat(ids[1:32], list_transform(range(0, greatest(32 - len(ids), 0)), lambda i: 0)) AS x FROM t), q AS (SELECT *, coalesce(list_position(x, 1), 0) AS at FROM p)
-SELECT doc_id, array_to_string(x, ',') AS input_ids, array_to_string(list_transform(range(1, 33), lambda i: CASE WHEN at > 0 AND i >= at THEN x[i] ELSE -100 END), ',') AS labels, list_sum(list_transform(x, lambda v: (v <> 0)::INT))::BIGINT AS attended FROM q""".replace(" AS at FROM p", " AS pos FROM p").replace("WHEN at > 0 AND i >= at", "WHEN pos > 0 AND i >= pos"),
+p AS (SELECT doc_id, list_concat(ids[1:2048], list_transform(range(0, greatest(2048 - len(ids), 0)), lambda i: 0)) AS x FROM t), q AS (SELECT *, coalesce(list_position(x, 1), 0) AS at FROM p)
+SELECT doc_id, array_to_string(x, ',') AS input_ids, array_to_string(list_transform(range(1, 2049), lambda i: CASE WHEN at > 0 AND i >= at THEN x[i] ELSE -100 END), ',') AS labels, list_sum(list_transform(x, lambda v: (v <> 0)::INT))::BIGINT AS attended FROM q""".replace(" AS at FROM p", " AS pos FROM p").replace("WHEN at > 0 AND i >= at", "WHEN pos > 0 AND i >= pos"),
 )
 def _(spark, sf):
     lead = F.when(F.col("doc_id") % 4 != 0, F.array(F.lit(5), F.lit(6), F.lit(1))).otherwise(F.array(F.lit(5), F.lit(6)))
     ids = F.concat(lead, F.transform("codes", lambda x: (F.abs(x) + 10).cast("int")))
-    out = cp.pack_training_rows(codes(spark, sf).select("doc_id", ids.alias("ids")), 32, 0, 1)
+    out = cp.pack_training_rows(codes(spark, sf).select("doc_id", ids.alias("ids")), 2048, 0, 1)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
     return out.select("doc_id", text("input_ids"), text("labels"), F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("attended"))
 
@@ -121,11 +121,11 @@ def _(spark, sf):
 
 @query(
     "sc32_emotion_tokens",
-    oracle("doc_lines", """SELECT media_id, seg_id, CASE seg_id % 3 WHEN 0 THEN '<|emotion_1|> ' WHEN 1 THEN '[wave] ' ELSE '<|emotion_3|> ' END || text || ' <|emotion_2|>.' AS text FROM doc_lines WHERE NOT contains(text, '[')"""),
+    oracle("doc_lines", """SELECT media_id, seg_id, CASE seg_id % 3 WHEN 0 THEN '<|emotion_1|> ' WHEN 1 THEN '[wave] ' ELSE '<|emotion_3|> ' END || text || ' <|emotion_2|>.' AS text FROM doc_lines"""),
 )
 def _(spark, sf):
     lead = F.when(F.col("seg_id") % 3 == 0, "[ Chuckle ] ").when(F.col("seg_id") % 3 == 1, "[wave] ").otherwise("[hắng giọng] ")
-    d = fx.doc_lines(spark, sf).filter(~F.contains("text", F.lit("[")))
+    d = fx.doc_lines(spark, sf)
     return d.select("media_id", "seg_id", cp.emotion_tokens(F.concat(lead, F.col("text"), F.lit(" [THỞ DÀI]."))).alias("text"))
 
 

@@ -69,9 +69,11 @@ def _(spark, sf):
 
 @query("wn16_chapters_from_text")
 def _(spark, sf):
-    clock = F.concat(F.floor(F.col("start") / 60).cast("bigint").cast("string"), F.lit(":"), F.lpad((F.floor(F.col("start")) % 60).cast("string"), 2, "0"))
-    line = F.when(F.col("media_id") % 2 == 0, F.concat(clock, F.lit(" - "), F.substring("text", 1, 30))).otherwise(F.concat(F.substring("text", 1, 30), F.lit(" - "), clock))
-    seg = fx.doc_segments(spark, sf).filter(F.col("start") < 3600).withColumn("line", line)
+    at = F.floor(F.col("start")).cast("bigint")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat_ws(":", F.floor(at / 3600).cast("string"), two(F.floor(at / 60) % 60), two(at % 60))
+    line = F.when(F.col("media_id") % 2 == 0, F.concat(clock, F.lit(" - "), "text")).otherwise(F.concat("text", F.lit(" - "), clock))
+    seg = fx.doc_segments(spark, sf).withColumn("line", line)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "line"))), lambda s: s["line"]), "\n")
     d = seg.groupBy("media_id").agg(joined.alias("description"), (F.max("end") + 60).alias("duration"))
     return iv.chapters_from_text(d)

@@ -86,9 +86,9 @@ def _(spark, sf):
     "sc27_extract_articles",
     f"""WITH b AS (SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'ftp://x/y' WHEN 1 THEN 'http:///p' ELSE url END AS u, {clean_sql("regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '(?s)<!--.*?-->', '', 'g')")} AS t FROM pages),
 e AS (SELECT *, CASE WHEN NOT regexp_matches(u, '^https?:') THEN 'bad_scheme' WHEN NOT regexp_matches(u, '^https?://[^/?#]+') THEN 'bad_host' WHEN length(t) < 20 THEN 'no_text' END AS error FROM b)
-SELECT page_id, error, CASE WHEN error IS NULL THEN substr(t, 1, 500) END AS text, CASE WHEN error IS NULL THEN least(length(t), 500) ELSE 0 END::INT AS char_count, error IS NULL AND length(t) > 500 AS truncated FROM e""",
+SELECT page_id, error, CASE WHEN error IS NULL THEN substr(t, 1, 5000) END AS text, CASE WHEN error IS NULL THEN least(length(t), 5000) ELSE 0 END::INT AS char_count, error IS NULL AND length(t) > 5000 AS truncated FROM e""",
 )
 def _(spark, sf):
     u = F.when(F.col("page_id") % 10 == 0, "ftp://x/y").when(F.col("page_id") % 10 == 1, "http:///p").otherwise(F.col("url"))
-    out = pg.extract_articles(pages(spark, sf).withColumn("url", u), max_chars=500)
+    out = pg.extract_articles(pages(spark, sf).withColumn("url", u), max_chars=5000)
     return out.select("page_id", "error", "text", "char_count", "truncated")

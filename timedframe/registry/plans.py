@@ -99,9 +99,9 @@ def _(spark, sf):
 
 
 def corpus_parts(spark, sf):
-    c = clips(spark, sf).withColumn("codes", F.transform(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(60))), lambda i: i * 997 % 65536))
+    c = clips(spark, sf).withColumn("codes", F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: i * 997 % 65536))
     ids = F.concat(F.array(F.lit(7), F.lit(1)), F.transform("codes", lambda x: (x + 10).cast("int")))
-    return pl.build_speech_corpus(c, ids, 500, 11, 64)
+    return pl.build_speech_corpus(c, ids, 500, 11)
 
 
 @query("pl7_training_rows")

@@ -221,19 +221,18 @@ FOLD = "regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')"
 @query(
     "sc18_names",
     oracle("doc_lines", rf"""SELECT media_id, seg_id, nullif(substr(regexp_replace(regexp_replace(lower({FOLD}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '') AS slug,
-  nullif(substr(regexp_replace(regexp_replace(text, '[/\\\x00-\x1f]', '', 'g'), '{fx.WS}+', '_', 'g'), 1, 60), '') AS name FROM doc_lines WHERE regexp_matches(text, '^[\x20-\x7E\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{FF}}]*$') AND NOT regexp_matches(text, '[ßæøÆØÞþÐð]')"""),
+  nullif(substr(regexp_replace(regexp_replace(text, '[/\\\x00-\x1f]', '', 'g'), '{fx.WS}+', '_', 'g'), 1, 60), '') AS name FROM doc_lines"""),
 )
 def _(spark, sf):
-    plain = F.col("text").rlike(r"^[\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*$") & ~F.col("text").rlike("[ßæøÆØÞþÐð]")
-    return fx.doc_lines(spark, sf).filter(plain).select("media_id", "seg_id", sc.slugify(F.col("text")).alias("slug"), sc.clean_name(F.col("text")).alias("name"))
+    return fx.doc_lines(spark, sf).select("media_id", "seg_id", sc.slugify(F.col("text")).alias("slug"), sc.clean_name(F.col("text")).alias("name"))
 
 
 @query(
     "sc18_sanitize_filename",
-    oracle("doc_lines", "SELECT media_id, seg_id, translate(regexp_replace(text || ': a/b?', '[\\x00-\\x1f\\x7f]', '', 'g'), '\"*:<>?|/\\', '＂＊：＜＞？｜⧸⧹') AS name FROM doc_lines WHERE NOT regexp_matches(text, '[0-9]:[0-9]')"),
+    oracle("doc_lines", "SELECT media_id, seg_id, translate(regexp_replace(regexp_replace(text || ': a/b?', '([0-9]):([0-9])', '\\1_\\2', 'g'), '[\\x00-\\x1f\\x7f]', '', 'g'), '\"*:<>?|/\\', '＂＊：＜＞？｜⧸⧹') AS name FROM doc_lines"),
 )
 def _(spark, sf):
-    d = fx.doc_lines(spark, sf).filter(~F.col("text").rlike("[0-9]:[0-9]"))
+    d = fx.doc_lines(spark, sf)
     return d.select("media_id", "seg_id", sc.sanitize_filename(F.concat("text", F.lit(": a/b?"))).alias("name"))
 
 
@@ -317,12 +316,12 @@ def _(spark, sf):
 
 @query(
     "sc30_template",
-    oracle("ord_entries", """SELECT id, printf('%03d', playlist_index) || ' - ' || title || ' [' || coalesce(age_limit::VARCHAR, 'none') || '] ' || strftime(upload_date, '%Y.%m.%d') || ' ' || (view_count + 1 - playlist_index) || coalesce(' lasts ' || printf('%.1f', floor(duration * 10) / 10), '') || ' 100% ' || CASE WHEN age_limit IS NULL THEN status ELSE age_limit::VARCHAR END || ' ' || (view_count // 1000) || 'k NA' AS name FROM ord_entries WHERE view_count BETWEEN 1000 AND 999999"""),
+    oracle("ord_entries", """SELECT id, printf('%03d', playlist_index) || ' - ' || title || ' [' || coalesce(age_limit::VARCHAR, 'none') || '] ' || strftime(upload_date, '%Y.%m.%d') || ' ' || (view_count + 1 - playlist_index) || coalesce(' lasts ' || printf('%.1f', floor(duration * 10) / 10), '') || ' 100% ' || CASE WHEN age_limit IS NULL THEN status ELSE age_limit::VARCHAR END || ' ' || CASE WHEN view_count < 1000 THEN view_count || '' WHEN view_count < 1000000 THEN (view_count // 1000) || 'k' ELSE (view_count // 1000000) || 'M' END || ' NA' AS name FROM ord_entries"""),
 )
 def _(spark, sf):
     from timedframe.functions.templates import template
 
-    df = fx.ord_entries(spark, sf).filter(F.col("view_count").between(1000, 999999)).withColumn("duration", F.floor(F.col("duration") * 10) / 10)
+    df = fx.ord_entries(spark, sf).withColumn("duration", F.floor(F.col("duration") * 10) / 10)
     text = "%(playlist_index)03d - %(title)s [%(age_limit|none)s] %(upload_date>%Y.%m.%d)s %(view_count+1-playlist_index)d%(duration& lasts {}|).1f 100%% %(age_limit,status)s %(view_count)D %(nothing)s"
     return df.select("id", template(df, text).alias("name"))
 
@@ -341,7 +340,7 @@ def _(spark, sf):
 
 @query(
     "sc29_traverse",
-    """SELECT user_id AS id, max(event_id) AS last_id, string_agg(event_type, ',' ORDER BY event_id) FILTER (value > 50) AS big, min(event_id) AS first_id FROM events GROUP BY user_id HAVING count(*) FILTER (value > 50) > 0""",
+    """SELECT user_id AS id, max(event_id) AS last_id, string_agg(event_type, ',' ORDER BY event_id) FILTER (value > 50) AS big, min(event_id) AS first_id FROM events GROUP BY user_id""",
 )
 def _(spark, sf):
     from timedframe.functions.traverse import traverse
@@ -349,6 +348,5 @@ def _(spark, sf):
     e = fx.table(spark, sf, "events")
     rows = F.array_sort(F.collect_list(F.struct("event_id", F.struct(F.col("event_type").alias("kind"), F.col("value").alias("amount")).alias("info"))))
     df = e.groupBy(F.col("user_id").alias("id")).agg(rows.alias("log")).withColumn("meta", F.create_map(F.lit("seen"), F.col("log")))
-    df = df.filter(F.exists("log", lambda x: x["info"]["amount"] > 50))
     big = traverse(df, ("nope", 1), ("meta", "seen", lambda x: x["info"]["amount"] > 50, "info", ("missing", "kind")))
     return df.select("id", traverse(df, ("log", -1, "event_id")).alias("last_id"), F.array_join(big, ",").alias("big"), traverse(df, ("meta", "other", 0, "event_id"), ("meta", "seen", 0, "event_id")).alias("first_id"))

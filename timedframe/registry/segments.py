@@ -210,19 +210,19 @@ def _(spark, sf):
 
 @query(
     "ag13_media_text",
-    oracle("conv_segments", "SELECT media_id, substr(string_agg(text, ' ' ORDER BY seg_id), 1, 600) AS text FROM conv_segments GROUP BY media_id"),
+    oracle("conv_segments", "SELECT media_id, substr(string_agg(text, ' ' ORDER BY seg_id), 1, 6000) AS text FROM conv_segments GROUP BY media_id"),
 )
 def _(spark, sf):
-    return sg.media_text(fx.conv_segments(spark, sf), 600)
+    return sg.media_text(fx.conv_segments(spark, sf))
 
 
 @query(
     "ag14_book_text",
     oracle("conv_segments", """, l AS (SELECT media_id, string_agg(CASE WHEN speaker = 'narrator' THEN text ELSE '[' || speaker || '] ' || text END, chr(10) ORDER BY seg_id) AS t FROM conv_segments GROUP BY media_id)
-SELECT media_id, length(t)::BIGINT AS n_chars, CASE WHEN length(t) <= 2000 THEN t END AS preview FROM l"""),
+SELECT media_id, length(t)::BIGINT AS n_chars, CASE WHEN length(t) <= 6000 THEN t END AS preview FROM l"""),
 )
 def _(spark, sf):
-    return sg.book_text(fx.conv_segments(spark, sf), 2000)
+    return sg.book_text(fx.conv_segments(spark, sf))
 
 
 def page_boxes(spark, sf):
@@ -248,11 +248,11 @@ def _(spark, sf):
 
 @query(
     "wn28_page_text",
-    oracle("doc_lines", "SELECT media_id AS page_id, substr(string_agg(text, ' ' ORDER BY seg_id), 1, 500) AS text FROM doc_lines GROUP BY media_id"),
+    oracle("doc_lines", "SELECT media_id AS page_id, string_agg(text, ' ' ORDER BY seg_id) AS text FROM doc_lines GROUP BY media_id"),
 )
 def _(spark, sf):
     lines = fx.doc_lines(spark, sf).select(F.col("media_id").alias("page_id"), F.col("seg_id").alias("line_idx"), "text")
-    return sg.page_text(lines, cap=500)
+    return sg.page_text(lines)
 
 
 @query(
