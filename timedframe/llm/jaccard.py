@@ -28,13 +28,12 @@ from timedframe.llm.components import connected
 WORDS = 5
 #: Least similarity as a fraction, compared in integers.
 NEAR, OF = 4, 5
-STAR_ROUNDS = 3
-#: Lists whose pairs are no more than this many times their rows are compared in full at once.
-PAIRS_PER_ROW = 4
+STAR_ROUNDS = 2
 #: A shingle is frequent if it is in more than this many documents, and in more than one per so many characters of the corpus.
 FREQUENT_DOCS = 50
 FREQUENT_CHARS = 1 << 23
 CHUNK = 1 << 20
+SLICE = 2 << 20
 FLUSH = 1 << 20
 FOLD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -160,7 +159,7 @@ def frequent(texts: DataFrame) -> Order:
             return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(c, pa.binary())], names=["b", "once", "more", "c"])
 
         for batch in batches:
-            for part in text_slices(batch.column(0)):
+            for part in text_slices(batch.column(0), SLICE):
                 for found in shingles(part):
                     s = found >> np.uint64(64 - bits)
                     held.append(s)
@@ -204,7 +203,7 @@ def prefixes(docs: DataFrame, order: Order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0), 0
-            for part in text_slices(batch.column(1)):
+            for part in text_slices(batch.column(1), SLICE):
                 rows = []
                 for s in shingles(part):
                     first, light = held.value.prefix(s) if len(s) else (s, 0)
@@ -363,7 +362,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     member = cut_lineage(nodes.join(known, "g").select("gid", "node", "n", "light", "label", "lone"))
     # Elements before the first common one are not in the overlap either; each pair need only pass where it first meets.
     absent = F.greatest("lone", "pos").alias("absent")
-    lists = cut_lineage(shared.join(member, "gid").select("token", "node", "n", "light", "lone", absent, F.col("node").alias("comp")))
+    lists = shared.join(member, "gid").select("token", "node", "n", "light", "lone", absent, F.col("node").alias("comp"))
+    lists = cut_lineage(lists.filter(OF * (F.col("n") - F.col("absent")) >= NEAR * F.col("n")))
 
     wanted = member.select("label").distinct()
     held = base.join(wanted, base["id"] == wanted["label"], "left_semi")
@@ -371,43 +371,40 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     sets = cut_lineage(sets_of(held))
     discard(groups, shared)
 
-    roots = links = None
-    turn = 0
-    while turn <= STAR_ROUNDS:
+    roots = None
+    for turn in range(STAR_ROUNDS + 1):
+        # Lists that hold several components, without classes that can be near no member of the list.
+        sizes = lists.groupBy("token").agg(F.min("n").alias("shortest"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
+        sizes = sizes.select(F.col("token").alias("k"), "shortest")
+        useful = NEAR * F.col("shortest") <= (OF * F.col("n") - (NEAR + OF) * F.col("absent"))
+        was, lists = lists, cut_lineage(lists.join(sizes, F.col("token") == F.col("k")).filter(useful).drop("k", "shortest"))
+        discard(was)
         # At first the class with the fewest elements of its own, which is near most copies of one text; later any.
         central = ["light", F.col("lone").alias("own")] if turn == 0 else []
         first = F.min(F.struct(*central, F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "absent", "comp")).alias("first")
-        open_lists = lists.groupBy("token").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2")
-        open_lists = cut_lineage(open_lists.select(F.col("token").alias("k"), "first", "size"))
-        size = F.col("size").cast("decimal(20,0)")
-        rows_left, pairs_left = open_lists.agg(F.sum(size), F.sum(size * (size - 1) / 2)).first()
-        if not rows_left:
-            break
-        if turn < STAR_ROUNDS and pairs_left > PAIRS_PER_ROW * rows_left:
+        leads = lists.groupBy("token").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select(F.col("token").alias("k"), "first")
+        if turn < STAR_ROUNDS:
             f = F.col("first")
-            tested = lists.join(open_lists, F.col("token") == F.col("k")).filter((F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("absent"), f["n"], f["absent"]))
+            tested = lists.join(leads, F.col("token") == F.col("k")).filter((F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("absent"), f["n"], f["absent"]))
             pairs = tested.select(F.least("node", f["node"]).alias("a"), F.greatest("node", f["node"]).alias("b")).distinct()
-            turn += 1
         else:
-            still = lists.join(open_lists, F.col("token") == F.col("k"), "left_semi")
-            x, y = still.alias("x"), still.alias("y")
+            x, y = lists.alias("x"), lists.alias("y")
             meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
             meet &= may_link(F.col("x.n"), F.col("x.absent"), F.col("y.n"), F.col("y.absent"))
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            turn = STAR_ROUNDS + 1
         found = cut_lineage(verify(pairs, sets))
         if found.isEmpty():
-            discard(open_lists, found)
+            discard(found)
             continue
-        links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        old, roots = roots, connected(links)
-        if turn <= STAR_ROUNDS:
-            # Only lists that held several components go on, with the components as they are now.
+        old = roots
+        roots = connected(found if old is None else found.unionByName(old.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if turn < STAR_ROUNDS:
             named = roots.withColumnRenamed("node", "k2")
-            going = lists.join(open_lists.select("k"), F.col("token") == F.col("k"), "left_semi").join(named, F.col("node") == F.col("k2"), "left")
-            was, lists = lists, cut_lineage(going.select("token", "node", "n", "light", "lone", "absent", F.coalesce("root", "comp").alias("comp")))
+            now = lists.join(named, F.col("node") == F.col("k2"), "left")
+            was, lists = lists, cut_lineage(now.select("token", "node", "n", "light", "lone", "absent", F.coalesce("root", "comp").alias("comp")))
             discard(was)
-        discard(open_lists, found, old)
+        discard(found, old)
+    discard(sets)
     if roots is None:
         roots = lists.select("node", F.col("node").alias("root")).limit(0)
 
@@ -423,7 +420,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch.column(0)):
+            for part in text_slices(batch.column(0), SLICE):
                 found = shingles(part)
                 s1, s2 = zip(*[identity(s) for s in found])
                 cols = [pa.array([len(s) for s in found], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([packed(s) for s in found], pa.binary())]
