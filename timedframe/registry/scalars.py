@@ -10,7 +10,8 @@ from timedframe.operators.formats import format_bytes
 from timedframe.registry.core import query
 from timedframe.semantics import r4
 
-K = F.col("o_orderkey")
+def key():
+    return F.col("o_orderkey")
 
 
 def orders(spark, sf):
@@ -35,7 +36,7 @@ def cat(*parts):
 SELECT k AS id, round(CASE form WHEN 0 THEN h * 3600 + (m % 60) * 60 + sec + 0.5 WHEN 1 THEN 86400 + h * 3600 + sec WHEN 2 THEN h * 3600 + (m % 60) * 60 WHEN 3 THEN (h + 0.5) * 3600 WHEN 4 THEN m * 60 + sec WHEN 5 THEN (m % 60) * 60 + sec END, 4) AS seconds FROM k""",
 )
 def _(spark, sf):
-    m, sec, h, form = K % 90 + 100, K % 60, K % 24, K % 7
+    m, sec, h, form = key() % 90 + 100, key() % 60, key() % 24, key() % 7
     text = (
         F.when(form == 0, cat(s(h), ":", pad(m % 60), ":", pad(sec), ".5"))
         .when(form == 1, cat("P1DT", s(h), "H", s(sec), "S"))
@@ -45,7 +46,7 @@ def _(spark, sf):
         .when(form == 5, cat("P3M2W0DT", s(m % 60), "M", s(sec), "S"))
         .otherwise("soon")
     )
-    return orders(spark, sf).select(K.alias("id"), r4(sc.parse_duration(text)).alias("seconds"))
+    return orders(spark, sf).select(key().alias("id"), r4(sc.parse_duration(text)).alias("seconds"))
 
 
 @query(
@@ -53,9 +54,9 @@ def _(spark, sf):
     """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 500) * 1048576 + 524288 WHEN 1 THEN (o_orderkey % 900) * 1000 WHEN 2 THEN (o_orderkey % 900) * 1024 WHEN 3 THEN (o_orderkey % 9) * 1000000000 + 250000000 END::BIGINT AS bytes FROM orders""",
 )
 def _(spark, sf):
-    f = K % 5
-    text = F.when(f == 0, cat(s(K % 500), ".5 MiB")).when(f == 1, cat(s(K % 900), "KB")).when(f == 2, cat(s(K % 900), "kB total")).when(f == 3, cat(s(K % 9), ",25 gigabytes")).otherwise(cat(s(K), " things"))
-    return orders(spark, sf).select(K.alias("id"), sc.parse_filesize(text).alias("bytes"))
+    f = key() % 5
+    text = F.when(f == 0, cat(s(key() % 500), ".5 MiB")).when(f == 1, cat(s(key() % 900), "KB")).when(f == 2, cat(s(key() % 900), "kB total")).when(f == 3, cat(s(key() % 9), ",25 gigabytes")).otherwise(cat(s(key()), " things"))
+    return orders(spark, sf).select(key().alias("id"), sc.parse_filesize(text).alias("bytes"))
 
 
 @query(
@@ -63,9 +64,9 @@ def _(spark, sf):
     """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 80) * 1000000 + 200000 WHEN 1 THEN 1000 + o_orderkey % 900 WHEN 2 THEN (o_orderkey % 50) * 1000 WHEN 3 THEN o_orderkey END::BIGINT AS n FROM orders""",
 )
 def _(spark, sf):
-    f = K % 5
-    text = F.when(f == 0, cat(s(K % 80), ".2M views")).when(f == 1, cat("1,", F.lpad(s(K % 900), 3, "0"))).when(f == 2, cat("about ", s(K % 50), "k")).when(f == 3, cat(s(K), " views")).otherwise("none")
-    return orders(spark, sf).select(K.alias("id"), sc.parse_count(text).alias("n"))
+    f = key() % 5
+    text = F.when(f == 0, cat(s(key() % 80), ".2M views")).when(f == 1, cat("1,", F.lpad(s(key() % 900), 3, "0"))).when(f == 2, cat("about ", s(key() % 50), "k")).when(f == 3, cat(s(key()), " views")).otherwise("none")
+    return orders(spark, sf).select(key().alias("id"), sc.parse_count(text).alias("n"))
 
 
 @query(
@@ -73,15 +74,15 @@ def _(spark, sf):
     """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 2000 + 100 END::INT AS width, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 1000 + 50 WHEN 1 THEN 720 WHEN 2 THEN 2160 END::INT AS height, CASE o_orderkey % 4 WHEN 1 THEN 60 END::INT AS fps FROM orders""",
 )
 def _(spark, sf):
-    f = K % 4
-    text = F.when(f == 0, cat("size ", s(K % 2000 + 100), " x ", s(K % 1000 + 50))).when(f == 1, "HD 720p60").when(f == 2, "in 4K").otherwise("a720px")
-    return orders(spark, sf).select(K.alias("id"), sc.parse_resolution(text).alias("r")).select("id", "r.*")
+    f = key() % 4
+    text = F.when(f == 0, cat("size ", s(key() % 2000 + 100), " x ", s(key() % 1000 + 50))).when(f == 1, "HD 720p60").when(f == 2, "in 4K").otherwise("a720px")
+    return orders(spark, sf).select(key().alias("id"), sc.parse_resolution(text).alias("r")).select("id", "r.*")
 
 
 @query("sc5_parse_bitrate", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 320 END AS kbps FROM orders")
 def _(spark, sf):
-    text = F.when(K % 3 == 0, "loud").otherwise(cat("audio ", s(K % 320), " kbps"))
-    return orders(spark, sf).select(K.alias("id"), sc.parse_bitrate(text).alias("kbps"))
+    text = F.when(key() % 3 == 0, "loud").otherwise(cat("audio ", s(key() % 320), " kbps"))
+    return orders(spark, sf).select(key().alias("id"), sc.parse_bitrate(text).alias("kbps"))
 
 
 @query(
@@ -111,14 +112,14 @@ def _(spark, sf):
 def _(spark, sf):
     d = F.col("o_orderdate")
     text = (
-        F.when(K % 6 == 0, F.date_format(d, "d MMMM yyyy"))
-        .when(K % 6 == 1, F.date_format(d, "MMM d, yyyy"))
-        .when(K % 6 == 2, F.date_format(d, "d/M/yyyy"))
-        .when(K % 6 == 3, F.date_format(d, "yyyyMMdd"))
-        .when(K % 6 == 4, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+        F.when(key() % 6 == 0, F.date_format(d, "d MMMM yyyy"))
+        .when(key() % 6 == 1, F.date_format(d, "MMM d, yyyy"))
+        .when(key() % 6 == 2, F.date_format(d, "d/M/yyyy"))
+        .when(key() % 6 == 3, F.date_format(d, "yyyyMMdd"))
+        .when(key() % 6 == 4, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.date_format(d, "d.M.yyyy HH:mm"))
     )
-    return orders(spark, sf).select(K.alias("id"), sc.unified_date(text).alias("day"))
+    return orders(spark, sf).select(key().alias("id"), sc.unified_date(text).alias("day"))
 
 
 @query("sc9_unified_timestamp", "SELECT event_id AS id, (epoch_us(ts) // 60000000 * 60 + CASE event_id % 2 WHEN 0 THEN 18000 ELSE 0 END)::BIGINT AS epoch FROM events")
@@ -131,7 +132,7 @@ def _(spark, sf):
 @query("sc10_month_arithmetic", "SELECT o_orderkey AS id, strftime(o_orderdate - INTERVAL 5 MONTH, '%Y-%m-%d') AS earlier, strftime(o_orderdate + INTERVAL 13 MONTH, '%Y-%m-%d') AS later FROM orders")
 def _(spark, sf):
     d = F.col("o_orderdate").cast("date")
-    return orders(spark, sf).select(K.alias("id"), sc.add_months(d, -5).cast("string").alias("earlier"), sc.add_months(d, 13).cast("string").alias("later"))
+    return orders(spark, sf).select(key().alias("id"), sc.add_months(d, -5).cast("string").alias("earlier"), sc.add_months(d, 13).cast("string").alias("later"))
 
 
 @query("sc10_round_time", "SELECT event_id AS id, ((epoch_us(ts) + 1800000000) // 3600000000 * 3600)::BIGINT AS hour, ((epoch_us(ts) + 43200000000) // 86400000000 * 86400)::BIGINT AS day FROM events")
@@ -144,9 +145,9 @@ def _(spark, sf):
     """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 30 WHEN 1 THEN 13 WHEN 2 THEN 17 WHEN 3 THEN 7 END::INT AS age FROM orders""",
 )
 def _(spark, sf):
-    f = K % 5
-    text = F.when(f == 0, cat(s(K % 30), "+")).when(f == 1, "pg-13").when(f == 2, "TV_MA").when(f == 3, "TVY7").otherwise("unrated")
-    return orders(spark, sf).select(K.alias("id"), sc.parse_age(text).alias("age"))
+    f = key() % 5
+    text = F.when(f == 0, cat(s(key() % 30), "+")).when(f == 1, "pg-13").when(f == 2, "TV_MA").when(f == 3, "TVY7").otherwise("unrated")
+    return orders(spark, sf).select(key().alias("id"), sc.parse_age(text).alias("age"))
 
 
 @query("sc12_language_codes", "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END AS long_code, lang AS short_code FROM documents")
@@ -160,10 +161,10 @@ def _(spark, sf):
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 10 END AS scaled, CASE WHEN o_orderkey % 3 <> 0 THEN round(o_orderkey / 1000, 4) END AS fl, o_orderkey * 1000 + 5 AS n, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS flag FROM orders""",
 )
 def _(spark, sf):
-    text = F.when(K % 3 == 0, "n/a").otherwise(cat(" ", s(K), " "))
-    flag = F.when(K % 3 == 0, "maybe").when(K % 3 == 1, "True").otherwise("FALSE")
+    text = F.when(key() % 3 == 0, "n/a").otherwise(cat(" ", s(key()), " "))
+    flag = F.when(key() % 3 == 0, "maybe").when(key() % 3 == 1, "True").otherwise("FALSE")
     return orders(spark, sf).select(
-        K.alias("id"), sc.int_or_none(text, invscale=10).alias("scaled"), r4(sc.float_or_none(text, scale=1000)).alias("fl"), sc.str_to_int(cat(s(K), ",005")).alias("n"), sc.bool_or_none(flag).alias("flag")
+        key().alias("id"), sc.int_or_none(text, invscale=10).alias("scaled"), r4(sc.float_or_none(text, scale=1000)).alias("fl"), sc.str_to_int(cat(s(key()), ",005")).alias("n"), sc.bool_or_none(flag).alias("flag")
     )
 
 
@@ -174,8 +175,8 @@ def _(spark, sf):
 FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 7 + 3 AS n, o_orderkey % 9000 AS t FROM orders)""",
 )
 def _(spark, sf):
-    n = K * K * 7 + 3
-    return orders(spark, sf).select(K.alias("id"), format_bytes(n).alias("bytes"), sc.decimal_suffix(n).alias("short"), sc.clock_text(K % 9000).alias("clock"))
+    n = key() * key() * 7 + 3
+    return orders(spark, sf).select(key().alias("id"), format_bytes(n).alias("bytes"), sc.decimal_suffix(n).alias("short"), sc.clock_text(key() % 9000).alias("clock"))
 
 
 @query(
@@ -188,16 +189,16 @@ SELECT id, CASE WHEN title = '' THEN 'a-b video #' || id ELSE title END AS title
 )
 def _(spark, sf):
     m = orders(spark, sf).select(
-        K.alias("id"),
+        key().alias("id"),
         F.lit("a:b").alias("extractor"),
-        F.when(K % 4 != 0, F.col("o_orderpriority")).otherwise("").alias("title"),
-        s(K % 7000 - 50).alias("duration"),
+        F.when(key() % 4 != 0, F.col("o_orderpriority")).otherwise("").alias("title"),
+        s(key() % 7000 - 50).alias("duration"),
         F.unix_seconds("o_orderdate").alias("timestamp"),
         F.lit(None).cast("string").alias("upload_date"),
-        F.when(K % 3 == 0, True).when(K % 3 == 1, False).alias("is_live"),
-        (K % 2 == 0).alias("was_live"),
-        F.when(K % 5 == 0, "post_live").alias("live_status"),
-        F.when(K % 6 != 0, K % 12).alias("season_number"),
+        F.when(key() % 3 == 0, True).when(key() % 3 == 1, False).alias("is_live"),
+        (key() % 2 == 0).alias("was_live"),
+        F.when(key() % 5 == 0, "post_live").alias("live_status"),
+        F.when(key() % 6 != 0, key() % 12).alias("season_number"),
         F.lit(None).cast("string").alias("season"),
     )
     return sc.normalize_media(m).select("id", "title", "duration", "upload_date", "live_status", "is_live", "was_live", "season")
@@ -209,8 +210,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     m = orders(spark, sf).select(
-        K.alias("id"), F.when(K % 3 == 0, "many").otherwise(s(K)).alias("view_count"), F.when(K % 5 == 0, -1.0).otherwise(F.col("o_totalprice")).alias("duration"),
-        F.when(K % 2 == 0, 10.0).alias("section_start"), F.when(K % 2 == 0, 22.5).alias("section_end"),
+        key().alias("id"), F.when(key() % 3 == 0, "many").otherwise(s(key())).alias("view_count"), F.when(key() % 5 == 0, -1.0).otherwise(F.col("o_totalprice")).alias("duration"),
+        F.when(key() % 2 == 0, 10.0).alias("section_start"), F.when(key() % 2 == 0, 22.5).alias("section_end"),
     )
     return sc.coerce_fields(m).select("id", "view_count", r4("duration").alias("duration"))
 
@@ -262,9 +263,9 @@ def _(spark, sf):
     """SELECT o_orderkey AS id, (o_orderkey % 5) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59 + 0.0::DOUBLE AS start_s, CASE WHEN o_orderkey % 9 = 0 THEN 'invalid time' WHEN (o_orderkey % 7) * 60 + 5 <= (o_orderkey % 5) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59 THEN 'end must come after start' END AS error FROM orders""",
 )
 def _(spark, sf):
-    a = cat(pad(K % 5), ":", pad(K % 60), ":", pad(K % 59))
-    b = F.when(K % 9 == 0, "later").otherwise(cat(s(K % 7), ":05"))
-    return orders(spark, sf).select(K.alias("id"), sc.hms_seconds(a).alias("start_s"), sc.trim_error(a, b).alias("error"))
+    a = cat(pad(key() % 5), ":", pad(key() % 60), ":", pad(key() % 59))
+    b = F.when(key() % 9 == 0, "later").otherwise(cat(s(key() % 7), ":05"))
+    return orders(spark, sf).select(key().alias("id"), sc.hms_seconds(a).alias("start_s"), sc.trim_error(a, b).alias("error"))
 
 
 @query(
@@ -307,8 +308,8 @@ def _(spark, sf):
 SELECT id, CASE WHEN a THEN 'private' WHEN b THEN 'premium_only' WHEN c THEN 'subscriber_only' WHEN d THEN 'needs_auth' WHEN e THEN 'unlisted' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'public' END AS availability FROM f""",
 )
 def _(spark, sf):
-    flags = [F.when(K % 11 != 10, K % 11 == 0), F.when(K % 7 != 6, K % 7 == 0), K % 5 == 0, K % 3 == 0, K % 2 == 0]
-    return orders(spark, sf).select(K.alias("id"), sc.availability(*flags).alias("availability"))
+    flags = [F.when(key() % 11 != 10, key() % 11 == 0), F.when(key() % 7 != 6, key() % 7 == 0), key() % 5 == 0, key() % 3 == 0, key() % 2 == 0]
+    return orders(spark, sf).select(key().alias("id"), sc.availability(*flags).alias("availability"))
 
 
 # ---- templates, metadata rules, paths ------------------------------------------------------------
@@ -333,7 +334,7 @@ def _(spark, sf):
 def _(spark, sf):
     from timedframe.operators.extensions import apply_actions
 
-    df = orders(spark, sf).select(K.alias("id"), F.col("o_orderpriority").alias("title"))
+    df = orders(spark, sf).select(key().alias("id"), F.col("o_orderpriority").alias("title"))
     out = apply_actions(df, [("interpret", "title", "%(level)s-%(label)s"), ("replace", "title", "([A-Z])([A-Z]+)", r"\2\1")])
     return out.select("id", "level", "label", "title")
 

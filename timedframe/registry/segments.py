@@ -8,11 +8,9 @@ from timedframe.operators import segments as sg
 from timedframe.registry.core import query
 from timedframe.semantics import r4
 
-SPOKEN = F.length("text") / F.lit(11.0)
-
 
 def spoken(spark, sf):
-    return fx.doc_segments(spark, sf).withColumn("dur", SPOKEN)
+    return fx.doc_segments(spark, sf).withColumn("dur", F.length("text") / F.lit(11.0))
 
 
 def skip_doc():
