@@ -28,7 +28,7 @@ from timedframe.llm.components import connected
 WORDS = 5
 #: Least similarity as a fraction, compared in integers.
 NEAR, OF = 4, 5
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 #: A shingle is frequent if it is in more than this many documents, and in more than one per so many characters of the corpus.
 FREQUENT_DOCS = 50
 FREQUENT_CHARS = 1 << 23
