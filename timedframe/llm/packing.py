@@ -32,8 +32,9 @@ TIERS = (512, 1024, 2048, 4096)
 BUFFER_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 16
 CACHED_WORDS = 1_000_000
-#: Latin-1 letters, then ASCII marks: forms whose case and composition fold one letter at a time.
-LETTERS_AND_MARKS = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+#: ASCII marks, and the letters whose case and composition fold one at a time.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -41,55 +42,64 @@ class Ids(dict):
     """Ids of words as little-endian 32-bit bytes; the pattern drops white space, so words between blanks are independent.
 
     A word of Latin letters with marks after it is two words for the pattern, and letter case is folded; so letters and
-    marks are looked up by themselves.  Plain words are encoded many at a time in one text.
+    marks are looked up by themselves in ``parts``.  Plain words are encoded many at a time in one text.
     """
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
+        self.parts: dict[str, bytes] = {}
 
-    def encode_each(self, words: list[str]) -> None:
+    def encode_each(self, words: list[str], into: dict[str, bytes]) -> None:
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+                into[w] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode_plain(self, words: list[str], size: int = 1000) -> None:
         """Words of letters only, each of which is one word for the pattern."""
         for a in range(0, len(words), size):
             part = words[a : a + size]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            cuts = 4 * (np.flatnonzero(np.diff(found.word_ids)) + 1)
+            cuts = (4 * (np.flatnonzero(np.diff(found.word_ids)) + 1)).tolist()
             raw = np.asarray(found.ids, "<u4").tobytes()
             if len(cuts) + 1 != len(part):
-                self.encode_each(part)
+                self.encode_each(part, self.parts)
                 continue
-            for w, x, y in zip(part, [0, *cuts.tolist()], [*cuts.tolist(), len(raw)], strict=True):
-                self[w] = raw[x:y]
+            self.parts.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], [*cuts, len(raw)])), strict=True))
 
     def learn(self, words: set[str]) -> None:
-        new = words.difference(self)
-        if len(self) + len(new) > CACHED_WORDS:
+        if len(self) + len(words) > CACHED_WORDS:
             self.clear()
-            new = words
-        parts: dict[str, tuple[str, str]] = {}
-        other = []
-        for w in new:
-            m = LETTERS_AND_MARKS.fullmatch(w)
-            if m and m[1].isalpha():
-                parts[w] = m[1].lower(), m[2]
+        if len(self.parts) + 2 * len(words) > CACHED_WORDS:
+            self.parts.clear()
+        plain, letters, marks, other = [], [], [], []
+        for w in words:
+            a = w.rstrip(MARKS)
+            if a.isalpha() and (a.isascii() or LATIN.fullmatch(a)):
+                plain.append(w)
+                letters.append(a.lower())
+                marks.append(w[len(a) :])
             else:
                 other.append(w)
-        self.encode_each(other)
-        self.encode_plain([w for w in {a for a, _ in parts.values()} if w not in self])
-        self.encode_each([w for w in {b for _, b in parts.values()} if w and w not in self])
-        for w, (a, b) in parts.items():
-            self[w] = self[a] + self[b] if b else self[a]
+        self.encode_each(other, self)
+        self.encode_plain(list(set(letters).difference(self.parts)))
+        self.encode_each(list(set(marks).difference(self.parts)), self.parts)
+        parts = self.parts
+        for w, a, b in zip(plain, letters, marks, strict=True):
+            self[w] = parts[a] + parts[b]
 
     def texts(self, texts: list[str], end: int) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
+        found = [list(map(self.get, s)) for s in split]
+        unknown: set[str] = set()
+        for s, f in zip(split, found, strict=True):
+            if None in f:
+                unknown.update([w for w, b in zip(s, f, strict=True) if b is None])
+        if unknown:
+            self.learn(unknown)
+            found = [[self[w] if b is None else b for w, b in zip(s, f, strict=True)] if None in f else f for s, f in zip(split, found, strict=True)]
         last = np.asarray([end], "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, s)) + last for s in split]
+        return [b"".join(f) + last for f in found]
 
 
 _held: dict[str, Ids] = {}
