@@ -72,10 +72,12 @@ def fits(df: DataFrame, keys: Sequence[str], factor: int = 1) -> bool:
     """Whether every key, with up to ``factor`` derived rows per row, stays within one task's limit.
 
     Tables that are small as a whole need no look at their groups, so that no job starts while a plan over them is built;
-    larger ones are measured by one count.  Operators with several ordered steps ask once and hand the answer to each step.
+    larger ones are measured by one count, and so is every table where the session sets a limit of its own.
+    Operators with several ordered steps ask once and hand the answer to each step.
     """
     limit = group_limit(df.sparkSession)
-    return input_bytes(df) * factor <= ROW_BYTES * limit or largest_group(df, keys) * factor <= limit
+    own = df.sparkSession.conf.get(GROUP_LIMIT_CONF, None) is not None
+    return not own and input_bytes(df) * factor <= ROW_BYTES * limit or largest_group(df, keys) * factor <= limit
 
 
 @dataclass(frozen=True)
