@@ -24,6 +24,7 @@ UNKNOWN = "und"
 #: Training documents per language, taken in the order of a hash of id and text, and their largest size.
 TRAIN_DOCS = 600
 TRAIN_CHARS = 50_000
+BROADCAST_LANGUAGES = 10_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SLOTS = 20
 
@@ -135,6 +136,8 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", id_co
     if not cuts:
         return Model({})
     known = labelled.sparkSession.createDataFrame([(c.l, c.cut) for c in cuts], "cl string, cut long")
+    # One short row per language, counted here.
+    known = F.broadcast(known) if len(cuts) <= BROADCAST_LANGUAGES else known
     sample = usable.join(known, (F.col("l") == F.col("cl")) & (F.col("r") <= F.col("cut"))).select("l", "t").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
