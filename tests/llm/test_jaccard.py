@@ -84,6 +84,23 @@ def test_components_equal_all_pairs(shared, monkeypatch, seed, often, stars):
     assert len(set(expected.values())) < len(expected)
 
 
+def test_links_of_cut_and_lengthened_texts(shared):
+    """Pairs without other near copies, of which one is the other with words cut off at one end."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        words = [f"{i}x{k}" for k in range(rng.randrange(90, 130))]
+        n = len(words) - 4
+        cut = n - (4 * n + 4) // 5 - rng.randrange(0, n // 25)
+        at = rng.choice([0, len(words) - cut])
+        rows += [" ".join(words), " ".join(words[:at] + words[at + cut :])]
+    rows = list(enumerate(rows))
+    found = jaccard.classes(shared.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute(rows)
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert all(expected[k + 1] == k for k in range(0, len(rows), 2))
+
+
 def test_awkward_rows(awkward, nothing):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     found = jaccard.classes(awkward.withColumnRenamed("lang", "n").withColumnRenamed("source", "node")).collect()

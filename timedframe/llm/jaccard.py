@@ -331,9 +331,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(check("sa", "sb")).select("a", "b")
 
 
-def may_link(n: Column, absent: Column, m: Column, missing: Column) -> Column:
-    """Whether sets of n and m elements can be near, of which so many at least are not in the other one."""
-    return (NEAR + OF) * F.least(n - absent, m - missing) >= NEAR * (n + m)
+def may_link(n: Column, pos: Column, lone: Column, m: Column, at: Column, alone: Column) -> Column:
+    """Whether sets of n and m elements can be near, whose first common prefix elements are at ``pos`` and ``at``.
+
+    Elements before the first common one are not in the other set.  The ``lone`` and ``alone`` ones are not in the other prefix,
+    but those of the smaller set can lie behind the prefix of the larger one, whose rest is longer by the difference of ``needed``.
+    """
+    more = F.ceil(m * NEAR / OF) - F.ceil(n * NEAR / OF)
+    most = F.least(n - pos, n - lone + F.greatest(more, F.lit(0)), m - at, m - alone + F.greatest(-more, F.lit(0)))
+    return (NEAR + OF) * most >= NEAR * (n + m)
+
+
+def may_link_any(n: Column, pos: Column, lone: Column, shortest: Column, longest: Column) -> Column:
+    """Whether a set can be near any set of a size from shortest to longest; true wherever ``may_link`` is for one of them."""
+    # 5 times ``needed`` is 4 n to 4 n + 4, so the bound grows with the larger partner's size, which is at most 5/4 of n.
+    largest = F.least(longest, F.floor(n * OF / NEAR))
+    behind = (NEAR + OF) * (OF * (n - lone) + NEAR * (largest - n) + OF - 1) >= NEAR * OF * (n + largest)
+    alike = (NEAR + OF) * (n - lone) >= NEAR * (n + shortest)
+    return ((NEAR + OF) * (n - pos) >= NEAR * (n + shortest)) & (alike | (largest > n) & behind)
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -351,7 +366,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     groups = usable.groupBy("g", "n", "light").agg(F.first("prefix").alias("prefix"), F.min("node").alias("least"), F.max("node").alias("most"))
     groups = cut_lineage(groups.select("g", "n", "light", "prefix", (F.when(F.col("least") == F.col("most"), 1).otherwise(2)).alias("members"), F.monotonically_increasing_id().alias("gid")))
     shared = cut_lineage(shared_elements(groups))
-    # Elements of a prefix that no other document has cannot be in an overlap.
+    # Elements of a prefix that are in no other prefix bound the overlap by ``may_link``.
     counted = shared.filter("token >= 0").groupBy("gid").agg(F.count("*").alias("met"))
     reached = shared.select("gid").distinct()
     size = (F.octet_length("prefix") / 8).cast("long")
@@ -360,10 +375,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     known = groups.select("gid", "g", "members", size.alias("p")).join(reached, "gid").join(counted, "gid", "left").select("gid", "g", lone.alias("lone"))
     nodes = cut_lineage(nodes)
     member = cut_lineage(nodes.join(known, "g").select("gid", "node", "n", "light", "label", "lone"))
-    # Elements before the first common one are not in the overlap either; each pair need only pass where it first meets.
-    absent = F.greatest("lone", "pos").alias("absent")
-    lists = shared.join(member, "gid").select("token", "node", "n", "light", "lone", absent, F.col("node").alias("comp"))
-    lists = cut_lineage(lists.filter(OF * (F.col("n") - F.col("absent")) >= NEAR * F.col("n")))
+    # Elements before the first common one are not in the overlap; each pair need only pass where it first meets.
+    lists = cut_lineage(shared.join(member, "gid").select("token", "node", "n", "light", "pos", "lone", F.col("node").alias("comp")))
 
     wanted = member.select("label").distinct()
     held = base.join(wanted, base["id"] == wanted["label"], "left_semi")
@@ -374,23 +387,24 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     roots = None
     for turn in range(STAR_ROUNDS + 1):
         # Lists that hold several components, without classes that can be near no member of the list.
-        sizes = lists.groupBy("token").agg(F.min("n").alias("shortest"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
-        sizes = sizes.select(F.col("token").alias("k"), "shortest")
-        useful = NEAR * F.col("shortest") <= (OF * F.col("n") - (NEAR + OF) * F.col("absent"))
-        was, lists = lists, cut_lineage(lists.join(sizes, F.col("token") == F.col("k")).filter(useful).drop("k", "shortest"))
+        span = [F.min("n").alias("shortest"), F.max("n").alias("longest")]
+        sizes = lists.groupBy("token").agg(*span, F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
+        sizes = sizes.select(F.col("token").alias("k"), "shortest", "longest")
+        useful = may_link_any(*[F.col(c) for c in ("n", "pos", "lone", "shortest", "longest")])
+        was, lists = lists, cut_lineage(lists.join(sizes, F.col("token") == F.col("k")).filter(useful).drop("k", "shortest", "longest"))
         discard(was)
         # At first the class with the fewest elements of its own, which is near most copies of one text; later any.
         central = ["light", F.col("lone").alias("own")] if turn == 0 else []
-        first = F.min(F.struct(*central, F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "absent", "comp")).alias("first")
+        first = F.min(F.struct(*central, F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "pos", "lone", "comp")).alias("first")
         leads = lists.groupBy("token").agg(first, F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select(F.col("token").alias("k"), "first")
         if turn < STAR_ROUNDS:
             f = F.col("first")
-            tested = lists.join(leads, F.col("token") == F.col("k")).filter((F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("absent"), f["n"], f["absent"]))
+            tested = lists.join(leads, F.col("token") == F.col("k")).filter((F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("pos"), F.col("lone"), f["n"], f["pos"], f["lone"]))
             pairs = tested.select(F.least("node", f["node"]).alias("a"), F.greatest("node", f["node"]).alias("b")).distinct()
         else:
             x, y = lists.alias("x"), lists.alias("y")
             meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-            meet &= may_link(F.col("x.n"), F.col("x.absent"), F.col("y.n"), F.col("y.absent"))
+            meet &= may_link(*[F.col(f"{side}.{c}") for side in "xy" for c in ("n", "pos", "lone")])
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         found = cut_lineage(verify(pairs, sets))
         if found.isEmpty():
@@ -401,7 +415,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
         if turn < STAR_ROUNDS:
             named = roots.withColumnRenamed("node", "k2")
             now = lists.join(named, F.col("node") == F.col("k2"), "left")
-            was, lists = lists, cut_lineage(now.select("token", "node", "n", "light", "lone", "absent", F.coalesce("root", "comp").alias("comp")))
+            was, lists = lists, cut_lineage(now.select("token", "node", "n", "light", "pos", "lone", F.coalesce("root", "comp").alias("comp")))
             discard(was)
         discard(found, old)
     discard(sets)
