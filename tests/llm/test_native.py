@@ -90,6 +90,26 @@ def test_distances_equal_numpy(shared, monkeypatch):
     assert np.allclose([found[i].distance for i in en], expected, rtol=1e-6)
 
 
+def test_each_statistic_rejects_alone(shared):
+    """One outlier in each statistic among clean documents, all within the base limits."""
+    fresh = iter(range(10_000, 100_000))
+    lines = lambda n, form="{}": [[form.format(next(fresh)) for _ in range(10)] for _ in range(n)]
+    text = lambda held: "\n".join(" ".join(x) for x in held)
+    rows = [text(lines(20)) for _ in range(150)]
+    repeated = [f"{k}rep" for k in range(10, 15)]
+    marked = [[w + "#" * (i % 20 < 7) for i, w in enumerate(x, 10 * k)] for k, x in enumerate(lines(20))]
+    planted = {
+        "length": text(lines(20, "{}abcde")),
+        "symbols": text(marked),
+        "lines": text([y for x in lines(10) for y in (x, ["again"])]),
+        "repeats": text([x[:3] + repeated + x[3:] for x in lines(10)]),
+    }
+    docs = [(i, t, "en", "s0") for i, t in enumerate([*rows, *planted.values()])]
+    found = {r.doc_id: r for r in rules.judge(shared.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert {k for k, r in found.items() if not r.kept} == set(range(150, 150 + len(planted)))
+
+
 def test_quantiles():
     assert rules.chi_square_quantile(0.95, 2) == pytest.approx(9.487729, abs=1e-5)
     assert rules.chi_square_quantile(0.75, 2) == pytest.approx(5.385269, abs=1e-5)
