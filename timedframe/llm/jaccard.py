@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -29,6 +29,8 @@ WORDS = 5
 #: Least similarity as a fraction, compared in integers.
 NEAR, OF = 4, 5
 STAR_ROUNDS = 4
+#: Elements before a common one that tell whether two classes have met already.
+RECENT = 8
 #: A shingle is frequent if it is in more than this many documents, and in more than one per so many characters of the corpus.
 FREQUENT_DOCS = 50
 FREQUENT_CHARS = 1 << 23
@@ -402,9 +404,13 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
             tested = lists.join(leads, F.col("token") == F.col("k")).filter((F.col("comp") != f["comp"]) & may_link(F.col("n"), F.col("pos"), F.col("lone"), f["n"], f["pos"], f["lone"]))
             pairs = tested.select(F.least("node", f["node"]).alias("a"), F.greatest("node", f["node"]).alias("b")).distinct()
         else:
-            x, y = lists.alias("x"), lists.alias("y")
+            # Two classes need only pass where they first meet; they aren't paired again where an element shortly before is common too.
+            recent = Window.partitionBy("node").orderBy("pos", "token").rowsBetween(-RECENT, -1)
+            placed = lists.withColumn("before", F.collect_list("token").over(recent))
+            x, y = placed.alias("x"), placed.alias("y")
             meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
             meet &= may_link(*[F.col(f"{side}.{c}") for side in "xy" for c in ("n", "pos", "lone")])
+            meet &= ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         found = cut_lineage(verify(pairs, sets))
         if found.isEmpty():
