@@ -307,3 +307,21 @@ def test_awkward_rows(shared, awkward, nothing):
     clean = {r.doc_id: r.text for r in pii.redact(awkward, None).collect()}
     assert clean[1] is None and clean[8] == "9" * 20_000 + " <ip> <email>"
     assert toxicity.train(nothing, shared.createDataFrame([], "doc_id long, toxic int")).score([""])[0] < 0.7
+
+
+def test_number_signs_are_no_letters(shared, documents):
+    model = language.train(documents, per_language=40)
+    rows = shared.createDataFrame([(1, "½ ² ③ 12"), (2, "½ the words and the other"), (3, "_-_ 9")], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, model).collect()}
+    assert found[1] == found[3] == ("und", 0.0) and found[2][0] in model.languages
+
+
+def test_language_of_long_texts_only_is_learned(shared, monkeypatch):
+    """A language whose texts are all longer than what one text teaches, and one that holds most rows."""
+    monkeypatch.setattr(language, "TRAIN_CHARS", 400)
+    rng = random.Random(2)
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(i, words("abcdefg", 20), "aa") for i in range(900)] + [(1000 + i, words("uvwxyz", 200), "zz") for i in range(30)]
+    model = language.train(shared.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=25)
+    assert model.languages == ["aa", "zz"]
+    assert model.predict([words("abcdefg", 9), words("uvwxyz", 9)])[0] == ["aa", "zz"]

@@ -216,3 +216,20 @@ def test_fingerprints_awkward_rows(awkward, nothing):
     assert syncmers.compare_with_edited(nothing).count() == 0
     one = syncmers.compare_with_edited(awkward.filter("doc_id = 4").limit(1)).collect()
     assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_rows_are_not_dealt_by_group(documents, capsys, monkeypatch):
+    """No step of the fit or the verdict shuffles rows by their group; only aggregates of groups are."""
+    plans = []
+    write = rules.cut_lineage
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(rules, "cut_lineage", kept)
+    judged = rules.judge(documents, keep=["doc_id"])
+    plans.append(judged._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 * rules.STEPS
+    assert not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    assert any("BroadcastHashJoin" in p for p in plans)

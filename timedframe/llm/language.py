@@ -9,11 +9,11 @@ over its n-grams.  The language with the shortest code wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +21,12 @@ from timedframe.llm.common import joined_bytes, text_function, text_slices
 
 ORDER = 3
 UNKNOWN = "und"
-#: Training documents per language, taken in the order of a hash of id and text, and their largest size.
+#: Training documents per language, taken in the order of a hash of id and text, and the characters that one of them teaches.
 TRAIN_DOCS = 600
 TRAIN_CHARS = 50_000
 BROADCAST_LANGUAGES = 10_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of any script; number signs such as a half are none.
+LETTERS = regex.compile(r"\p{L}+")
 SLOTS = 20
 
 
@@ -123,14 +124,21 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", language: str = "lang", id_column: str = "doc_id", per_language: int = TRAIN_DOCS) -> Model:
-    """Trees from up to ``per_language`` documents of each language, chosen by a hash, of at most ``TRAIN_CHARS`` characters.
+    """Trees from up to ``per_language`` documents of each language, chosen by a hash.
 
-    Rows with a null text or language teach nothing, copies of a chosen text count once.  Counting is spread over tasks;
-    the driver holds one row per language and the counts of distinct n-grams of the bounded sample.
+    Rows with a null text or language teach nothing, copies of a chosen text count once.  A longer text teaches with a stretch of
+    ``TRAIN_CHARS`` characters at a hashed place.  Counting is spread over tasks; the driver holds one row per language and
+    the counts of distinct n-grams of the bounded sample.
     """
     place = F.xxhash64(F.col(id_column), F.col(text))
-    usable = labelled.select(F.col(language).alias("l"), F.col(text).alias("t"), place.alias("r")).filter(F.col("l").isNotNull() & (F.length("t") <= TRAIN_CHARS))
-    # Each task cuts its rows to the lowest hashes before the ranking; only the highest chosen hash of a language is collected.
+    usable = labelled.select(F.col(language).alias("l"), F.col(text).alias("t"), place.alias("r")).filter(F.col("l").isNotNull() & F.col("t").isNotNull())
+    # One count tells below which hash the wanted rows lie, so only about twice as many are ranked, whatever a language's share.
+    bounds = [(r.l, -(1 << 63) + (1 << 64) * 2 * per_language // r.n) for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect() if r.n > 2 * per_language]
+    if bounds:
+        below = labelled.sparkSession.createDataFrame(bounds, "bl string, bound long")
+        below = F.broadcast(below) if len(bounds) <= BROADCAST_LANGUAGES else below
+        usable = usable.join(below, F.col("l") == F.col("bl"), "left").filter(F.col("bound").isNull() | (F.col("r") < F.col("bound"))).drop("bl", "bound")
+    # Only the highest chosen hash of a language is collected.
     ranked = usable.select("l", "r", F.row_number().over(Window.partitionBy("l").orderBy("r")).alias("n")).filter(F.col("n") <= per_language)
     cuts = ranked.groupBy("l").agg(F.max("r").alias("cut")).collect()
     if not cuts:
@@ -138,7 +146,9 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", id_co
     known = labelled.sparkSession.createDataFrame([(c.l, c.cut) for c in cuts], "cl string, cut long")
     # One short row per language, counted here.
     known = F.broadcast(known) if len(cuts) <= BROADCAST_LANGUAGES else known
-    sample = usable.join(known, (F.col("l") == F.col("cl")) & (F.col("r") <= F.col("cut"))).select("l", "t").distinct()
+    sample = usable.join(known, (F.col("l") == F.col("cl")) & (F.col("r") <= F.col("cut")))
+    start = F.pmod("r", F.greatest(F.length("t") - TRAIN_CHARS, F.lit(0)) + 1) + 1
+    sample = sample.select("l", F.substring("t", start.cast("int"), F.lit(TRAIN_CHARS)).alias("t")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

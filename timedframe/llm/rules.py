@@ -4,8 +4,8 @@ Each document has a vector of transformed statistics.  Per language and source,
 determinant is approached by concentration steps: measure every document's Mahalanobis distance under the
 current mean and covariance, keep the share of documents that lie nearest, and estimate anew from those.
 Documents beyond a quantile of the distances' expected distribution are rejected.  All of it is DataFrame
-operations: counts come from array functions within a row, every step is a partially aggregated group-by, so
-that a source with a third of all documents needs no special treatment.
+operations: counts come from array functions within a row, every step is a partially aggregated group-by, and what a step
+hands to the next is one row per group, broadcast where Spark finds it small, so that rows are never dealt by group.
 """
 
 from __future__ import annotations
@@ -137,6 +137,8 @@ def grouped(stats: DataFrame, language: str, source: str) -> DataFrame:
         "_s",
         F.when(~small, key("source", F.col("_l"), F.col("_s"))).when(F.col("_pn") >= MIN_GROUP, key("language", F.col("_l"))).otherwise(F.lit("all")).alias("_g"),
     )
+    # One row per language and source; written, so that Spark sees its size before it chooses a join.
+    groups = cut_lineage(groups)
     return stats.join(groups, F.col(language).eqNullSafe(F.col("_l")) & F.col(source).eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
@@ -188,7 +190,8 @@ def fit(stats: DataFrame) -> DataFrame:
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("b")),
             lambda a, e: F.struct((a["n"] + e["_c"]).alias("n"), F.when(a["n"] < F.col("_all") * CORE_SHARE, e["_b"]).otherwise(a["b"]).alias("b")),
         )
-        cuts = held.select("_g", reach["b"].alias("_cut"))
+        # One row per group: with its size known Spark broadcasts it, and rows stay where they are.
+        cuts = cut_lineage(held.select("_g", reach["b"].alias("_cut")))
         core = near.join(cuts, "_g").filter(F.floor(F.log2(F.col("_d") + 1e-9) * 64) <= F.col("_cut"))
         model = cut_lineage(estimates(core))
     return model
@@ -205,13 +208,9 @@ def judge(docs: DataFrame, text: str = "text", language: str = "lang", source: s
     """
     added = [*COUNTS, "base_failed", "distance", "kept"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    stats = _stats(docs, names, text, language, source)
-    if text in names:
-        # The fit reads a copy without texts; judged rows measure their texts again instead of writing them out.
-        basis = cut_lineage(stats.select("_lang", "_source", "_used", *[f"_x{i}" for i in range(D)]))
-    else:
-        basis = stats = cut_lineage(stats)
-    return _judged(stats, basis, names)
+    # Texts are measured once; the copy holds the counts next to the columns that are kept.
+    stats = cut_lineage(_stats(docs, names, text, language, source))
+    return _judged(stats, names)
 
 
 def _stats(docs: DataFrame, names: list[str], text: str, language: str, source: str) -> DataFrame:
@@ -221,8 +220,8 @@ def _stats(docs: DataFrame, names: list[str], text: str, language: str, source:
     return flagged.select("*", (~F.col("_failed")).alias("_used"), *[x[n].alias(f"_x{i}") for i, n in enumerate(VECTOR)])
 
 
-def _judged(stats: DataFrame, basis: DataFrame, names: list[str]) -> DataFrame:
-    basis = grouped(basis, "_lang", "_source")
+def _judged(stats: DataFrame, names: list[str]) -> DataFrame:
+    basis = cut_lineage(grouped(stats.select("_lang", "_source", "_used", *[f"_x{i}" for i in range(D)]), "_lang", "_source"))
     model = fit(basis)
     keys = basis.select("_lang", "_source", "_g").distinct()
     groups = cut_lineage(keys.join(model, "_g").select(F.col("_lang").alias("_ml"), F.col("_source").alias("_ms"), *[F.col(c) for c in model.columns if c != "_g"]))
