@@ -328,9 +328,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     check = arrow_udf(near, returnType="boolean")
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").filter(check("sa", "sb")).select("a", "b")
+    # Each set goes to the pairs that ask for it: while pairs are few they are broadcast, and only the sets asked for move.
+    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    held = sets.join(wanted, "node").groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("s"))).alias("sa"), F.max(F.when(F.col("node") == F.col("b"), F.col("s"))).alias("sb"))
+    return held.filter(F.col("sa").isNotNull() & F.col("sb").isNotNull()).filter(check("sa", "sb")).select("a", "b")
 
 
 def may_link(n: Column, pos: Column, lone: Column, m: Column, at: Column, alone: Column) -> Column:
@@ -412,7 +413,9 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
             meet &= may_link(*[F.col(f"{side}.{c}") for side in "xy" for c in ("n", "pos", "lone")])
             meet &= ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        pairs = cut_lineage(pairs)  # now their size is known
         found = cut_lineage(verify(pairs, sets))
+        discard(pairs)
         if found.isEmpty():
             discard(found)
             continue
