@@ -71,9 +71,11 @@ def made(seed):
     return [(i * 7 + 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,often,stars", [(1, 50, 3), (2, 3, 1), (3, 3, 0)])
-def test_components_equal_all_pairs(shared, monkeypatch, seed, often, stars):
+@pytest.mark.parametrize("seed,often,stars,recent,few", [(1, 50, 3, 8, 500_000), (2, 3, 1, 1, 0), (3, 3, 0, 8, 500_000), (4, 50, 0, 2, 500_000)])
+def test_components_equal_all_pairs(shared, monkeypatch, seed, often, stars, recent, few):
     monkeypatch.setattr(jaccard, "FREQUENT_DOCS", often)
+    monkeypatch.setattr(jaccard, "RECENT", recent)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", few)
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", stars)
     rows = made(seed)
     found = jaccard.classes(shared.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -34,6 +34,8 @@ RECENT = 8
 #: A shingle is frequent if it is in more than this many documents, and in more than one per so many characters of the corpus.
 FREQUENT_DOCS = 50
 FREQUENT_CHARS = 1 << 23
+#: Pairs or ids that are broadcast at most (a few dozen bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 CHUNK = 1 << 20
 SLICE = 2 << 20
 FLUSH = 1 << 20
@@ -328,10 +330,35 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     check = arrow_udf(near, returnType="boolean")
-    # Each set goes to the pairs that ask for it: while pairs are few they are broadcast, and only the sets asked for move.
-    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    held = sets.join(wanted, "node").groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("s"))).alias("sa"), F.max(F.when(F.col("node") == F.col("b"), F.col("s"))).alias("sb"))
-    return held.filter(F.col("sa").isNotNull() & F.col("sb").isNotNull()).filter(check("sa", "sb")).select("a", "b")
+    held = both_sides(pairs, sets, "s")
+    return held.filter(check("sa", "sb")).select("a", "b")
+
+
+def checked_broadcast(rows: DataFrame) -> DataFrame:
+    """Short rows, marked for a broadcast if a count of them allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def both_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Each pair (a, b) with the columns of ``table`` of both nodes, as sa and sb and so on; only rows that a pair asks for move."""
+    wanted = checked_broadcast(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")))
+    side = lambda c, end: F.max(F.when(F.col("node") == F.col(end), F.col(c))).alias(c + end)
+    held = table.join(wanted, "node").groupBy("a", "b").agg(*[side(c, end) for c in columns for end in "ab"])
+    return held.filter(F.col(columns[0] + "a").isNotNull() & F.col(columns[0] + "b").isNotNull())
+
+
+def plausible(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """The pairs whose prefixes have enough in common; ``elements``: node, n and the shared elements ``e`` of its prefix.
+
+    Of the two sets, the one whose prefix ends first in the order has all its elements that lie in both prefixes or behind its own.
+    So the overlap is at most the number of common prefix elements plus the larger of the two rests.  Sets of one group (they
+    share an element of the group's own, which is negative) have whole prefixes in common.
+    """
+    held = both_sides(pairs, elements, "e", "n")
+    common = F.array_intersect("ea", "eb")
+    rest = F.greatest(F.ceil(F.col("na") * NEAR / OF), F.ceil(F.col("nb") * NEAR / OF)) - 1
+    enough = (NEAR + OF) * (F.size(common) + rest) >= NEAR * (F.col("na") + F.col("nb"))
+    return held.filter(enough | F.exists(common, lambda x: x < 0)).select("a", "b")
 
 
 def may_link(n: Column, pos: Column, lone: Column, m: Column, at: Column, alone: Column) -> Column:
@@ -381,7 +408,9 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     # Elements before the first common one are not in the overlap; each pair need only pass where it first meets.
     lists = cut_lineage(shared.join(member, "gid").select("token", "node", "n", "light", "pos", "lone", F.col("node").alias("comp")))
 
-    wanted = member.select("label").distinct()
+    elements = cut_lineage(lists.groupBy("node", "n").agg(F.collect_set("token").alias("e")))
+
+    wanted = checked_broadcast(cut_lineage(member.select("label").distinct()))
     held = base.join(wanted, base["id"] == wanted["label"], "left_semi")
     # Repeated rows give a set twice and other texts of the same id one that nobody asks for; neither changes a verdict.
     sets = cut_lineage(sets_of(held))
@@ -413,9 +442,10 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
             meet &= may_link(*[F.col(f"{side}.{c}") for side in "xy" for c in ("n", "pos", "lone")])
             meet &= ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = cut_lineage(pairs)  # now their size is known
+        met = cut_lineage(pairs)
+        pairs = cut_lineage(plausible(met, elements))
         found = cut_lineage(verify(pairs, sets))
-        discard(pairs)
+        discard(met, pairs)
         if found.isEmpty():
             discard(found)
             continue
@@ -427,7 +457,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
             was, lists = lists, cut_lineage(now.select("token", "node", "n", "light", "pos", "lone", F.coalesce("root", "comp").alias("comp")))
             discard(was)
         discard(found, old)
-    discard(sets)
+    discard(sets, elements)
     if roots is None:
         roots = lists.select("node", F.col("node").alias("root")).limit(0)
 
