@@ -10,7 +10,7 @@ from timedframe.operators import jobs as jb
 from timedframe.sources import captions as cap
 from timedframe.sources import logs
 from timedframe.streaming import jobs as sj
-from timedframe.streaming.run import drain, read_stream
+from timedframe.streaming.run import Merged, drain, read_stream
 
 EV = "event_id long, ts timestamp, job_id long, status string, stage string, elapsed_s double"
 
@@ -37,15 +37,72 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def last(df, at="updated_us"):
-    rest = [c for c in df.columns if c != "job_id"]
-    return df.groupBy("job_id").agg(F.max_by(F.struct(*rest), at).alias("r")).select("job_id", "r.*")
+def merged(stream, keys, tmp_path, **more):
+    return Merged(stream, keys, str(tmp_path / "merged"), **more)
 
 
-def test_job_state(spark, events):
+def test_job_state(spark, events, tmp_path):
     batch, stream = both(spark, events)
     want = jb.job_state(batch).select("job_id", "status", F.unix_micros("created_at"), F.unix_micros("updated_at"), "submissions")
-    assert rows_of(last(drain(sj.job_state(stream), "t"))) == rows_of(want)
+    assert rows_of(merged(sj.job_state(stream), ["job_id"], tmp_path).drain()) == rows_of(want)
+
+
+def flat(df):
+    return {r.job_id: ({k: (v.status, v.elapsed_s) for k, v in r.stages.items()}, r.current_stage) for r in df.collect()}
+
+
+def test_stage_map_survives_a_restart(spark, events, tmp_path):
+    """Half of the files, then the others with the same checkpoint: the map with elapsed times is that of the batch twin."""
+    batch, _ = both(spark, events)
+    folder = str(tmp_path / "in")
+    halves = [batch.filter("event_id < 70"), batch.filter("event_id >= 70")]
+    for half in halves:
+        half.coalesce(1).write.mode("append").parquet(folder)
+        table = merged(sj.stage_progress(read_stream(spark, folder, files_per_trigger=1)), ["job_id"], tmp_path).drain()
+    assert flat(table) == flat(jb.stage_progress(batch))
+
+
+def test_old_state_is_dropped_and_late_events_change_nothing(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, t0, 1, "pending"), (2, t0 + timedelta(days=9), 2, "pending"), (3, t0 + timedelta(days=10), 2, "started"), (4, t0, 1, "failed"), (5, t0 + timedelta(days=11), 1, "finished")]
+    folder = str(tmp_path / "in")
+    for r in rows:
+        spark.createDataFrame([r], "event_id long, ts timestamp, job_id long, status string").coalesce(1).write.mode("append").parquet(folder)
+        table = merged(sj.job_state(read_stream(spark, folder)), ["job_id"], tmp_path).drain()
+    found = {r.job_id: (r.status, r.submissions) for r in table.collect()}
+    # Job 1 was forgotten after 48 hours and its late failure is behind the watermark: it begins anew.
+    assert found == {1: ("finished", 0), 2: ("started", 1)}
+
+
+def test_open_windows_come_out_and_replays_change_nothing(spark, events, tmp_path):
+    batch, stream = both(spark, events)
+    numbered = lambda df: df.withColumn("tokens", F.col("event_id"))
+    table = merged(sj.daily_tokens(numbered(stream)), ["day"], tmp_path, compact=2)
+    want = rows_of(jb.daily_tokens(numbered(batch)))
+    assert rows_of(table.drain()) == want
+    assert table._epochs("whole") and len(table._epochs("changes")) >= 4
+    # A batch that is repeated after a failure overwrites what it wrote.
+    for epoch in table._epochs("changes")[:3]:
+        again = spark.read.parquet(f"{table.base}/changes/{epoch:012d}").drop("epoch").collect()
+        table.write(spark.createDataFrame(again, table.stream.schema), epoch)
+        assert rows_of(table.read()) == want
+    assert rows_of(table.drain()) == want
+
+
+def test_throughput_with_weeks_and_months(spark, events, tmp_path):
+    batch, stream = both(spark, events)
+    days = merged(sj.throughput(stream), ["day"], tmp_path).drain()
+    assert rows_of(jb.roll_up(days)) == rows_of(jb.throughput(batch))
+
+
+def test_last_beats(spark, events, tmp_path):
+    batch, stream = both(spark, events)
+    beats = lambda df: df.select(F.col("job_id").alias("worker"), "ts")
+    last = merged(sj.last_beats(beats(stream)), ["worker"], tmp_path).drain()
+    now = batch.agg(F.max("ts")).first()[0]
+    want = jb.liveness(beats(batch), now.isoformat())
+    assert rows_of(sj.alive_at(last, F.lit(now))) == rows_of(want)
+    assert {r.alive for r in want.collect()} == {True, False}
 
 
 def test_rate_limit(spark, events):

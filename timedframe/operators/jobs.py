@@ -297,13 +297,17 @@ def daily_tokens(usage: DataFrame, value: str = "tokens") -> DataFrame:
 
 def throughput(events: DataFrame) -> DataFrame:
     """Finished events per day, week and month: one pass to days, then roll-ups of the small daily table."""
-    daily = events.filter(F.col("status") == "finished").groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
+    return roll_up(events.filter(F.col("status") == "finished").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("finished")))
+
+
+def roll_up(daily: DataFrame) -> DataFrame:
+    """Sums of ``finished`` per day, week and month, from rows per day."""
     spans = F.explode(
         F.array(
-            *[F.struct(F.lit(unit).alias("unit"), F.to_date(F.date_trunc(unit, F.col("d"))).alias("period")) for unit in ["day", "week", "month"]]
+            *[F.struct(F.lit(unit).alias("unit"), F.to_date(F.date_trunc(unit, F.col("day"))).alias("period")) for unit in ["day", "week", "month"]]
         )
     )
-    return daily.select(spans.alias("s"), "n").groupBy("s.unit", "s.period").agg(F.sum("n").alias("finished"))
+    return daily.select(spans.alias("s"), "finished").groupBy("s.unit", "s.period").agg(F.sum("finished").alias("finished"))
 
 
 def prune(logs: DataFrame, today: str, days: int = RETENTION_DAYS, name: str = "date") -> DataFrame:

@@ -7,7 +7,8 @@ from timedframe.fixtures import oracle
 from timedframe.registry.core import query
 from timedframe.registry.jobs import STAGES_SQL, STATE_SQL
 from timedframe.streaming import jobs as sj
-from timedframe.streaming.run import drain, read_stream
+from timedframe.operators.jobs import roll_up
+from timedframe.streaming.run import drain, drain_merged, read_stream
 
 
 def events(spark, sf):
@@ -21,20 +22,25 @@ def job_events(spark, sf):
     )
 
 
-def latest(df, at="updated_us"):
-    """Last emitted row per job."""
-    rest = [c for c in df.columns if c != "job_id"]
-    return df.groupBy("job_id").agg(F.max_by(F.struct(*rest), at).alias("r")).select("job_id", "r.*")
+@query("st1_stream_job_state", oracle("job_events", STATE_SQL + " SELECT job_id, status, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us, submissions FROM state"))
+def _(spark, sf):
+    return drain_merged(sj.job_state(job_events(spark, sf)), "job_state", ["job_id"])
 
 
-@query("st1_stream_job_state", oracle("job_events", STATE_SQL + " SELECT job_id, status, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us, submissions FROM state"))
+@query("st2_stream_stage_progress", oracle("job_events", STAGES_SQL + " SELECT job_id, stage, status, elapsed_s, last_value(stage) OVER (PARTITION BY job_id ORDER BY seen ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS current_stage FROM latest"))
 def _(spark, sf):
-    return latest(drain(sj.job_state(job_events(spark, sf)), "job_state"))
+    jobs = drain_merged(sj.stage_progress(job_events(spark, sf)), "stage_progress", ["job_id"])
+    return jobs.select("job_id", "current_stage", F.explode("stages").alias("stage", "entry")).select("job_id", "stage", "entry.status", "entry.elapsed_s", "current_stage")
 
 
-@query("st2_stream_stage_progress", oracle("job_events", STAGES_SQL + " SELECT job_id, string_agg(stage || ':' || status, ';' ORDER BY stage) AS stages, arg_max(stage, seen) AS current_stage FROM latest GROUP BY job_id"))
+@query(
+    "st3_stream_last_beats",
+    "WITH b AS (SELECT user_id AS worker, max(ts) AS last FROM events GROUP BY 1) SELECT worker, epoch_us(last) AS last_us, epoch_us((SELECT max(last) FROM b)) - epoch_us(last) <= 30000000 AS alive FROM b",
+)
 def _(spark, sf):
-    return latest(drain(sj.stage_progress(job_events(spark, sf)), "stage_progress")).select("job_id", "stages", "current_stage")
+    last = drain_merged(sj.last_beats(events(spark, sf).select(F.col("user_id").alias("worker"), "ts")), "last_beats", ["worker"])
+    now = last.agg(F.max("last_beat").alias("now"))
+    return sj.alive_at(last.crossJoin(F.broadcast(now)), F.col("now")).select("worker", F.unix_micros("last_beat").alias("last_us"), "alive")
 
 
 @query("st3_stream_liveness")
@@ -50,17 +56,19 @@ def _(spark, sf):
     return out.select("domain", "event_id", F.round("admitted_at", 3).alias("admitted_at"), F.round("waited_s", 3).alias("waited_s"), "warned")
 
 
-@query(
-    "st7_stream_daily_tokens",
-    oracle("job_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, sum(k)::BIGINT AS tokens FROM job_events WHERE ts::DATE + 2 <= (SELECT max(ts) FROM job_events) GROUP BY 1"),
-)
+@query("st7_stream_daily_tokens", oracle("job_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, sum(k)::BIGINT AS tokens FROM job_events GROUP BY 1"))
 def _(spark, sf):
-    return drain(sj.daily_tokens(job_events(spark, sf)), "daily_tokens").select(F.col("day").cast("string").alias("day"), "tokens")
+    return drain_merged(sj.daily_tokens(job_events(spark, sf)), "daily_tokens", ["day"]).select(F.col("day").cast("string").alias("day"), "tokens")
 
 
-@query("st13_stream_throughput", oracle("job_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS finished FROM job_events WHERE status = 'finished' AND ts::DATE + 2 <= (SELECT max(ts) FROM job_events WHERE status = 'finished') GROUP BY 1"))
+@query(
+    "st13_stream_throughput",
+    oracle("job_events", """, f AS (SELECT ts FROM job_events WHERE status = 'finished')
+SELECT unit, strftime(date_trunc(unit, ts), '%Y-%m-%d') AS period, count(*) AS finished FROM f, (VALUES ('day'), ('week'), ('month')) u(unit) GROUP BY 1, 2"""),
+)
 def _(spark, sf):
-    return drain(sj.throughput(job_events(spark, sf)), "throughput").select(F.col("day").cast("string").alias("day"), "finished")
+    days = drain_merged(sj.throughput(job_events(spark, sf)), "throughput", ["day"])
+    return roll_up(days).select("unit", F.col("period").cast("string").alias("period"), "finished")
 
 
 @query(

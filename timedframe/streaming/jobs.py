@@ -1,7 +1,8 @@
 """Streaming forms of the event operators.  Each has a batch twin in ``operators`` with the same result.
 
 All take a streaming (or batch-shaped) table with an event-time column ``ts`` and set their own watermark.
-State per key is small and fixed in shape; rows of a key within one trigger are put in event order first.
+State per key is small and fixed in shape.  Where the result depends on order, rows of a key within one trigger are put in event
+order first.  Streams in update mode are kept by ``run.Merged``, which holds windows and keys that are still open.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timedframe.operators.jobs import BEAT_TTL_S, MAX_WAIT_S, POLL_S, STATE_TTL_S
+from timedframe.streaming.processors import JobState, StageMap
 
 APPEND = "append"
 
@@ -31,67 +33,32 @@ def _micros(df: DataFrame) -> DataFrame:
 # ---- job and stage state -------------------------------------------------------------------------
 
 
+def _processed(events: DataFrame, columns: list[str], processor, watermark: str) -> DataFrame:
+    rows = _micros(events.select(*columns).withWatermark("ts", watermark))
+    return rows.groupBy("job_id").transformWithState(processor, processor.OUTPUT, "Update", "EventTime")
+
+
 def job_state(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """A row per job and trigger with its state so far; an older event never overwrites a newer one.
+    """The state of each job that a trigger changes (update mode); an older event never overwrites a newer one.
 
     State is dropped 48 hours after a job's last event.
     """
+    return _processed(events, ["job_id", "event_id", "ts", "status"], JobState(), watermark)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, us, event_id, created, n = state.get if state.exists else ("", -1, -1, 2**62, 0)
-        for pdf in batches:
-            top = pdf.sort_values(["us", "event_id"]).iloc[-1]
-            if (int(top["us"]), int(top["event_id"])) > (us, event_id):
-                status, us, event_id = top["status"], int(top["us"]), int(top["event_id"])
-            created = min(created, int(pdf["us"].min()))
-            n += int((pdf["status"] == "pending").sum())
-        state.update((status, us, event_id, created, n))
-        state.setTimeoutTimestamp(max(us // 1000 + STATE_TTL_S * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], status, created, us, n)], columns=["job_id", "status", "created_us", "updated_us", "submissions"])
 
-    return (
-        _micros(events.select("job_id", "event_id", "ts", "status").withWatermark("ts", watermark))
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            update, "job_id bigint, status string, created_us bigint, updated_us bigint, submissions bigint",
-            "status string, us bigint, event_id bigint, created bigint, n bigint", APPEND, GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+def stage_progress(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """The stage map of each job that a trigger changes (update mode), with status and elapsed time of every stage."""
+    return _processed(events, ["job_id", "event_id", "ts", "stage", "status", "elapsed_s"], StageMap(), watermark)
 
 
-def stage_progress(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """A row per job and trigger: its stage map and the stage it is in."""
+def last_beats(beats: DataFrame, key: str = "worker", watermark: str = "30 seconds") -> DataFrame:
+    """The last beat of each worker that a trigger changes (update mode); ``alive_at`` reads who is alive from the merged table."""
+    return beats.withWatermark("ts", watermark).groupBy(key).agg(F.max("ts").alias("last_beat"))
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        entries: dict[str, tuple] = {}
-        if state.exists:
-            entries = {s: (u, e, st, el) for s, u, e, st, el in zip(*state.get)}
-        for pdf in batches:
-            latest = pdf.sort_values(["us", "event_id"]).groupby("stage").tail(1)
-            for s, u, e, st, el in zip(latest["stage"], latest["us"], latest["event_id"], latest["status"], latest["elapsed_s"]):
-                if s not in entries or (int(u), int(e)) > entries[s][:2]:
-                    entries[s] = (int(u), int(e), st, float(el))
-        names = sorted(entries)
-        state.update((names, *([entries[s][i] for s in names] for i in range(4))))
-        current = max(names, key=lambda s: entries[s][:2])
-        state.setTimeoutTimestamp(max(entries[current][0] // 1000 + STATE_TTL_S * 1000, state.getCurrentWatermarkMs() + 1))
-        text = ";".join(f"{s}:{entries[s][2]}" for s in names)
-        yield pd.DataFrame([(key[0], text, current, entries[current][0])], columns=["job_id", "stages", "current_stage", "updated_us"])
 
-    return (
-        _micros(events.select("job_id", "event_id", "ts", "stage", "status", "elapsed_s").withWatermark("ts", watermark))
-        .groupBy("job_id")
-        .applyInPandasWithState(
-            update, "job_id bigint, stages string, current_stage string, updated_us bigint",
-            "stage array<string>, us array<bigint>, event_id array<bigint>, status array<string>, elapsed array<double>", APPEND, GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+def alive_at(last: DataFrame, now: Column) -> DataFrame:
+    """Each worker with whether its last beat is at most 30 s before ``now``."""
+    return last.withColumn("alive", F.unix_micros(now) - F.unix_micros("last_beat") <= BEAT_TTL_S * 1_000_000)
 
 
 def liveness(beats: DataFrame, watermark: str = "30 seconds") -> DataFrame:
@@ -153,13 +120,13 @@ def apply_cancels(events: DataFrame, cancels: DataFrame, watermark: str = "1 hou
 
 
 def daily_tokens(usage: DataFrame, value: str = "tokens", watermark: str = "1 day") -> DataFrame:
-    """Tokens per day, emitted once a day can get no more events (append) or as they grow (update)."""
+    """Tokens per day: in update mode each trigger gives the days that it changes, in append mode days that are closed."""
     days = usage.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day")).agg(F.sum(value).alias("tokens"))
     return days.select(F.to_date("window.start").alias("day"), "tokens")
 
 
 def throughput(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Finished jobs per day; weeks and months are sums of the daily rows."""
+    """Finished jobs per day, in update mode the days that a trigger changes; weeks and months are sums of the merged days."""
     done = events.filter(F.col("status") == "finished").withWatermark("ts", watermark)
     return done.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("finished")).select(F.to_date("window.start").alias("day"), "finished")
 
