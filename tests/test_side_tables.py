@@ -77,3 +77,14 @@ def test_glossary_of_any_term_length(spark, grouping):
     assert sorted((r.media_id, r.source, r.target) for r in found) == sorted((m, t, t.upper()) for m, text in joined.items() for t in terms if t and t in text)
     none = spark.createDataFrame([], "source string, target string")
     assert lookups.match_glossary(segments, none).count() == 0
+
+
+def test_corpus_lines_with_bars_come_back(spark):
+    from timedframe.sources import transcripts as tr
+
+    rows = [("a", "plain", [1, 2]), ("b", "one|two", None), ("c", "ends|[1,2]", None), ("d", "ends|", None), ("e", "x|y|z", []), ("f", "|", [3]), ("g", "a|[1, -2]|b", None)]
+    df = spark.createDataFrame(rows, "filename string, text string, codes array<int>")
+    assert sorted(map(tuple, tr.parse_corpus(tr.corpus_lines(df)).collect())) == sorted(rows)
+    bare = df.filter("codes is null").drop("codes")
+    assert sorted(tuple(r)[:2] for r in tr.parse_corpus(tr.corpus_lines(bare)).collect()) == sorted(r[:2] for r in rows if r[2] is None)
+    assert tr.parse_corpus(spark.createDataFrame([("no bar",), ("",)], "value string")).count() == 0

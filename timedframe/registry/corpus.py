@@ -129,12 +129,16 @@ def _(spark, sf):
     return d.select("media_id", "seg_id", cp.emotion_tokens(F.concat(lead, F.col("text"), F.lit(" [THỞ DÀI]."))).alias("text"))
 
 
-@query(
-    "sc33_clean_punctuation",
-    oracle("doc_lines", f"""SELECT media_id, seg_id, t || CASE seg_id % 3 WHEN 0 THEN '!' WHEN 1 THEN '?' ELSE '.' END AS text FROM (SELECT media_id, seg_id, {sql_strip("regexp_replace(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g')")} AS t FROM doc_lines)"""),
-)
+BLANK = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MARKS_SQL = f"""SELECT media_id, seg_id, regexp_replace(regexp_replace(array_to_string(list_transform(
+    regexp_extract_all(s, '[.!?]{BLANK}*[.!?]+|[.!?]|[^.!?]+'),
+    lambda t: CASE WHEN NOT regexp_full_match(t, '[.!?]{BLANK}*[.!?]+') THEN t WHEN contains(t, '!') THEN '!' WHEN contains(t, '?') THEN '?' ELSE '.' END), ''), '^{BLANK}+', ''), '{BLANK}+$', '') AS text
+  FROM (SELECT media_id, seg_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    text || CASE seg_id % 3 WHEN 0 THEN ';.. ?!' WHEN 1 THEN '., ..?.' ELSE '.;,,.' END,
+    '([.!?])[.,;:]+', '\\1', 'g'), '[.,;:]+([.!?])', '\\1', 'g'), '{BLANK}+[,;]{BLANK}+', ' ', 'g'), ' {{2,}}', ' ', 'g') AS s FROM doc_lines)"""
+
+
+@query("sc33_clean_punctuation", oracle("doc_lines", MARKS_SQL))
 def _(spark, sf):
-    bare = F.trim(F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z ]", ""), " +", " "))
     tail = F.when(F.col("seg_id") % 3 == 0, ";.. ?!").when(F.col("seg_id") % 3 == 1, "., ..?.").otherwise(".;,,.")
-    d = fx.doc_lines(spark, sf)
-    return d.select("media_id", "seg_id", cp.clean_punctuation(F.concat(bare, tail)).alias("text"))
+    return fx.doc_lines(spark, sf).select("media_id", "seg_id", cp.clean_punctuation(F.concat("text", tail)).alias("text"))

@@ -145,21 +145,23 @@ def _(spark, sf):
 
 @query(
     "io11_parse_hls",
-    oracle("part_formats", """, s AS (SELECT *, CASE WHEN part_id % 2 = 0 THEN 'n' || part_id ELSE floor(tbr)::INT::VARCHAR END AS fid FROM part_formats WHERE height IS NOT NULL)
-SELECT media_id, 'stream' AS kind, fid AS format_id, 'https://h.example/a/v' || part_id || '.m3u8' AS url, round(floor(tbr * 1000) / 1000, 4) AS tbr, width, height, 'avc1.4d' AS vcodec, CASE WHEN part_id % 3 = 0 THEN 'none' ELSE 'mp4a.40.2' END AS acodec FROM s
-UNION ALL SELECT DISTINCT media_id, 'rendition', 'aud-English', 'https://h.example/eng.m3u8', NULL, NULL::INT, NULL::INT, 'none', NULL FROM part_formats"""),
+    oracle("part_formats", """, s AS (SELECT *, CASE WHEN part_id % 2 = 0 THEN 'n' || part_id ELSE floor(tbr)::INT::VARCHAR END AS fid FROM part_formats)
+SELECT media_id, 'stream' AS kind, fid AS format_id, 'https://h.example/a/v' || part_id || '.m3u8' AS url, round(floor(tbr * 1000) / 1000, 4) AS tbr, CASE WHEN height IS NOT NULL THEN width END AS width, CASE WHEN width IS NOT NULL THEN height END AS height, 'avc1.4d' AS vcodec, CASE WHEN part_id % 3 = 0 THEN 'none' ELSE 'mp4a.40.2' END AS acodec FROM s
+UNION ALL SELECT media_id, 'rendition', 'aud-English', 'https://h.example/eng.m3u8', NULL, NULL::INT, NULL::INT, 'none', NULL FROM (SELECT DISTINCT media_id, format_idx // 500 FROM part_formats)"""),
 )
 def _(spark, sf):
     k, n = F.col("part_id"), F.col("part_id").cast("string")
-    s = fx.part_formats(spark, sf).filter(F.col("height").isNotNull())
+    # A playlist of at most 500 streams each, so a brand of any size stays in bounded cells.
+    s = fx.part_formats(spark, sf).withColumn("piece", F.expr("format_idx div 500"))
+    size = F.concat(F.lit(",RESOLUTION="), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
     line = F.concat(
-        F.lit("#EXT-X-STREAM-INF:BANDWIDTH=9,AVERAGE-BANDWIDTH="), F.floor(F.col("tbr") * 1000).cast("string"), F.lit(",RESOLUTION="), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"),
+        F.lit("#EXT-X-STREAM-INF:BANDWIDTH=9,AVERAGE-BANDWIDTH="), F.floor(F.col("tbr") * 1000).cast("string"), F.coalesce(size, F.lit("")),
         F.lit(',CODECS="avc1.4d,mp4a.40.2"'), F.when(k % 2 == 0, F.concat(F.lit(',NAME="n'), n, F.lit('"'))).otherwise(""), F.when(k % 3 == 0, ',AUDIO="aud"').otherwise(',AUDIO="none"'),
         F.lit("\n#EXT-X-NOTE\n\nv"), n, F.lit(".m3u8\n"),
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("format_idx", line.alias("l")))), lambda x: x["l"]), "")
     head = '#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="aud",NAME="English",LANGUAGE="en",URI="/eng.m3u8"\n#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="none",NAME="Muxed"\n'
-    files = s.groupBy("media_id").agg(F.concat(F.lit(head), body).alias("text")).withColumn("base_url", F.lit("https://h.example/a/master.m3u8"))
+    files = s.groupBy("media_id", "piece").agg(F.concat(F.lit(head), body).alias("text")).drop("piece").withColumn("base_url", F.lit("https://h.example/a/master.m3u8"))
     return cat.parse_hls(files).select("media_id", "kind", "format_id", "url", r4("tbr").alias("tbr"), "width", "height", "vcodec", "acodec")
 
 
@@ -183,9 +185,9 @@ def _(spark, sf):
     return cat.read_archive(spark, path)
 
 
-@query("io14_parse_corpus", oracle("doc_lines", "SELECT media_id || '_' || seg_id AS filename, text, CASE WHEN seg_id % 2 = 0 THEN '1,' || seg_id END AS codes FROM doc_lines WHERE NOT contains(text, '|')"))
+@query("io14_parse_corpus", oracle("doc_lines", "SELECT media_id || '_' || seg_id AS filename, text, CASE WHEN seg_id % 2 = 0 THEN '1,' || seg_id END AS codes FROM doc_lines"))
 def _(spark, sf):
-    d = fx.doc_lines(spark, sf).filter(~F.contains("text", F.lit("|"))).select(
+    d = fx.doc_lines(spark, sf).select(
         F.concat_ws("_", F.col("media_id").cast("string"), F.col("seg_id").cast("string")).alias("filename"), "text", F.when(F.col("seg_id") % 2 == 0, F.array(F.lit(1), F.col("seg_id").cast("int"))).alias("codes")
     )
     short = d.select(F.concat(F.lit("x"), "filename").alias("value"))

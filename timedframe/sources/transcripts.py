@@ -65,13 +65,20 @@ def utterance_durations(df: DataFrame, response: str = "response") -> DataFrame:
     return df.select("media_id", F.coalesce(F.col(f"{response}.metadata.duration"), F.when(F.size(spoken) > 0, last), F.lit(0.0)).alias("duration_s"))
 
 
+#: What the last part of a corpus line holds if it isn't text: whole numbers in brackets, or nothing.
+CODES_PART = r"^(\[[0-9,\s-]*\])?$"
+
+
 def parse_corpus(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``file|text[|codes]`` lines; lines with too few parts are dropped."""
-    parts = F.split(strip(F.col(value)), r"\|")
-    rows = lines.withColumn("_p", parts).filter(F.size("_p") >= 2)
+    """``file|text[|codes]`` lines; the text may hold bars.  Lines without a bar are dropped."""
+    line = strip(F.col(value))
+    rows = lines.withColumn("_p", F.split(line, r"\|")).filter(F.size("_p") >= 2)
     keep = [c for c in lines.columns if c != value]
-    codes = F.from_json(F.get("_p", F.lit(2)), "array<int>")
-    return rows.select(*keep, F.get("_p", F.lit(0)).alias("filename"), F.get("_p", F.lit(1)).alias("text"), codes.alias("codes"))
+    last = F.element_at("_p", -1)
+    coded = (F.size("_p") > 2) & last.rlike(CODES_PART)
+    text = F.array_join(F.slice("_p", 2, F.when(coded, F.size("_p") - 2).otherwise(F.size("_p") - 1)), "|")
+    codes = F.from_json(F.when(coded & (last != ""), last), "array<int>")
+    return rows.select(*keep, F.get("_p", F.lit(0)).alias("filename"), text.alias("text"), codes.alias("codes"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +86,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_lines(df: DataFrame) -> DataFrame:
-    codes = F.when(F.col("codes").isNotNull(), F.to_json("codes")) if "codes" in df.columns else F.lit(None).cast("string")
+    """One line per row.  A text without codes that ends as if it had some is followed by an empty last part."""
+    alike = F.when(F.contains("text", F.lit("|")) & F.element_at(F.split("text", r"\|"), -1).rlike(CODES_PART), "")
+    codes = F.when(F.col("codes").isNotNull(), F.to_json("codes")).otherwise(alike) if "codes" in df.columns else alike
     return df.select(F.concat_ws("|", "filename", "text", codes).alias("value"))
 
 
