@@ -6,7 +6,7 @@ Event tables carry ``event_id, ts, job_id, status`` and optional ``stage, elapse
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,7 @@ BEAT_TTL_S = 30
 RECENT_CAP = 200
 PAGE_SIZE = 10
 STAGE_ORDER = [
-    "ytdlp", "transcribe", "ocr", "translate", "tts",
+    "download", "transcribe", "ocr", "translate", "tts",
     "editor_srt", "editor_mix_dialogue", "editor_mix_music", "editor_edit",
 ]
 MODES = ["review", "dialogue", "subtitle", "audio", "video", "book", "mix"]
@@ -137,13 +137,13 @@ def stage_elapsed(jobs: DataFrame, stages: str = "stages") -> DataFrame:
     return jobs.withColumn("total_elapsed_s", F.nullif(F.round(total, 1), F.lit(0.0)))
 
 
-def order_stages(stages: DataFrame) -> DataFrame:
-    """Display order: the fixed stages, with numbered ``ocr_N`` / ``tts_seg_N`` groups sorted in their place.
+def order_stages(stages: DataFrame, order: Sequence[str] = STAGE_ORDER) -> DataFrame:
+    """Display order: the stages of ``order``, with numbered ``ocr_N`` / ``tts_seg_N`` groups sorted in their place.
 
     A plain ``ocr`` or ``tts`` replaces its numbered group; names outside the list are not shown.
     """
     rank = None
-    for i, name in enumerate(STAGE_ORDER):
+    for i, name in enumerate(order):
         hit = F.col("stage") == name
         if name == "ocr":
             hit = hit | F.col("stage").rlike("^ocr_[0-9]+$")
@@ -173,8 +173,9 @@ def plan_resume(stages: DataFrame, outputs: DataFrame) -> DataFrame:
 # ---- listings ------------------------------------------------------------------------------------
 
 
-def recent_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
-    return jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(min(n, RECENT_CAP))
+def recent_jobs(jobs: DataFrame, n: int = 50, most: int | None = RECENT_CAP) -> DataFrame:
+    """The ``n`` newest jobs, but no more than ``most`` (None for no such bound)."""
+    return jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(n if most is None else min(n, most))
 
 
 def list_jobs(jobs: DataFrame) -> DataFrame:

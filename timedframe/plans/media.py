@@ -76,14 +76,16 @@ def chapter_surgery(
 
 
 def operations_monitor(events: DataFrame, today: str, now: str, service: Column) -> DataFrame:
-    """One row: queue depth, finished counts, tokens, elapsed time and live workers."""
+    """One row: queue depth, finished counts, tokens, total elapsed seconds over the stages of all jobs, and live workers."""
     state = jb.job_state(events)
     depth = state.withColumn("service", service).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "started").alias("processing"), F.count("*").alias("jobs"))
     done = jb.finished_since(state, today).select(*[F.col(c).alias(f"finished_{c}") for c in ("today", "this_week", "this_month")])
     spent = jb.token_stats(events, today).select(*[F.col(c).alias(f"tokens_{c}") for c in ("today", "this_week", "this_month")])
     alive = jb.liveness(events.withColumn("worker", service), now).agg(F.count_if("alive").alias("alive_services"))
+    # A decimal sum, so that the order of adding can't show.
+    elapsed = jb.stage_elapsed(jb.stage_progress(events)).agg(F.sum(F.col("total_elapsed_s").cast("decimal(20,1)")).cast("double").alias("elapsed_s"))
     out = depth
-    for one_row in (done, spent, alive):
+    for one_row in (done, spent, elapsed, alive):
         out = out.crossJoin(F.broadcast(one_row))  # each side is a single aggregate row
     return out
 

@@ -151,14 +151,16 @@ def _(spark, sf):
 
 @query(
     "wn30_expand_sections",
-    oracle("ev_intervals", SPANS + """, f AS (SELECT media_id, 'f' || (event_id % 7) AS format_id, event_id FROM ev_intervals WHERE event_id % 10 = 0),
-r AS (SELECT media_id, event_id AS range_no, start_time, CASE WHEN event_id % 2 = 0 THEN end_time * 3 END AS end_time, title FROM spans WHERE event_id % 9 = 0)
+    oracle("ev_intervals", SPANS + """, f AS (SELECT media_id, 'f' || (event_id % 7) AS format_id, event_id FROM ev_intervals),
+r AS (SELECT media_id, event_id % 3 AS range_no, min(start_time) AS start_time, CASE WHEN event_id % 3 > 0 THEN max(end_time) * 3 END AS end_time, min(title) AS title FROM spans GROUP BY media_id, event_id % 3)
 SELECT f.media_id, f.event_id, format_id, range_no AS section_number, round(4 + start_time, 2) AS section_start, round(4 + least(coalesce(end_time, duration), duration), 2) AS section_end, title AS section_title
 FROM f JOIN r USING (media_id) JOIN media USING (media_id)"""),
 )
 def _(spark, sf):
-    f = fx.ev_intervals(spark, sf).filter(F.col("event_id") % 10 == 0).select("media_id", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("format_id"), "event_id")
-    r = spans(spark, sf).filter(F.col("event_id") % 9 == 0).select("media_id", F.col("event_id").alias("range_no"), "start_time", F.when(F.col("event_id") % 2 == 0, F.col("end_time") * 3).alias("end_time"), "title")
+    f = fx.ev_intervals(spark, sf).select("media_id", F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("format_id"), "event_id")
+    # Three ranges for each medium from all its spans, so that sections grow with the formats.
+    r = spans(spark, sf).groupBy("media_id", (F.col("event_id") % 3).alias("range_no")).agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("last"), F.min("title").alias("title"))
+    r = r.select("media_id", "range_no", "start_time", F.when(F.col("range_no") > 0, F.col("last") * 3).alias("end_time"), "title")
     out = iv.expand_sections(f, r, media(spark, sf).withColumn("section_start", F.lit(4.0)))
     return out.select("media_id", "event_id", "format_id", "section_number", F.round("section_start", 2).alias("section_start"), F.round("section_end", 2).alias("section_end"), "section_title")
 

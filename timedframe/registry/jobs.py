@@ -265,9 +265,9 @@ def _(spark, sf):
     return jb.plan_resume(st, outputs).select("job_id", "stage", "action")
 
 
-STAGE_NAMES_SQL = """, named AS (SELECT DISTINCT job_id, CASE stage WHEN 'signup' THEN 'ytdlp' WHEN 'view' THEN 'ocr_' || (k % 12) WHEN 'click' THEN (CASE WHEN job_id % 9 = 0 THEN 'tts' ELSE 'tts_seg_' || lpad((k % 30)::VARCHAR, 4, '0') END)
+STAGE_NAMES_SQL = """, named AS (SELECT DISTINCT job_id, CASE stage WHEN 'signup' THEN 'download' WHEN 'view' THEN 'ocr_' || (k % 12) WHEN 'click' THEN (CASE WHEN job_id % 9 = 0 THEN 'tts' ELSE 'tts_seg_' || lpad((k % 30)::VARCHAR, 4, '0') END)
   WHEN 'purchase' THEN 'editor_edit' ELSE '_speaker_voice_map' END AS stage FROM job_events),
-ranked AS (SELECT *, CASE WHEN stage = 'ytdlp' THEN 0 WHEN starts_with(stage, 'ocr') THEN 2 WHEN starts_with(stage, 'tts') THEN 4 WHEN stage = 'editor_edit' THEN 8 END AS rk,
+ranked AS (SELECT *, CASE WHEN stage = 'download' THEN 0 WHEN starts_with(stage, 'ocr') THEN 2 WHEN starts_with(stage, 'tts') THEN 4 WHEN stage = 'editor_edit' THEN 8 END AS rk,
   coalesce(nullif(regexp_extract(stage, '^(?:ocr|tts_seg)_([0-9]+)$', 1), '')::INT, -1) AS no FROM named)"""
 
 
@@ -276,7 +276,7 @@ def _(spark, sf):
     k = F.col("k")
     seg = F.when(F.col("job_id") % 9 == 0, "tts").otherwise(F.concat(F.lit("tts_seg_"), F.lpad((k % 30).cast("string"), 4, "0")))
     name = (
-        F.when(F.col("stage") == "signup", "ytdlp")
+        F.when(F.col("stage") == "signup", "download")
         .when(F.col("stage") == "view", F.concat(F.lit("ocr_"), (k % 12).cast("string")))
         .when(F.col("stage") == "click", seg)
         .when(F.col("stage") == "purchase", "editor_edit")

@@ -10,7 +10,7 @@ from timedframe.registry import intervals as ri
 from timedframe.registry.core import query
 from timedframe.registry.corpus import clips
 from timedframe.registry.formats import RANK_SQL
-from timedframe.registry.jobs import NOW, STATE_SQL, TODAY, service
+from timedframe.registry.jobs import NOW, STAGES_SQL, STATE_SQL, TODAY, service
 from timedframe.registry.segments import SENT_SQL
 from timedframe.semantics import r4
 
@@ -64,14 +64,16 @@ def _(spark, sf):
 
 @query(
     "pl5_operations_monitor",
-    oracle("job_events", STATE_SQL + """ SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'started') AS processing, count(*) AS jobs,
+    oracle("job_events", STATE_SQL + STAGES_SQL + """ SELECT (SELECT sum(t)::DOUBLE FROM (SELECT round(sum(elapsed_s + 0.003), 1)::DECIMAL(20, 1) AS t FROM latest GROUP BY job_id)) AS elapsed_s,
+  count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'started') AS processing, count(*) AS jobs,
   count(*) FILTER (status = 'finished' AND updated_at >= TIMESTAMP '2024-01-30') AS finished_today, count(*) FILTER (status = 'finished' AND updated_at >= TIMESTAMP '2024-01-29') AS finished_this_week, count(*) FILTER (status = 'finished') AS finished_this_month,
   (SELECT sum(k)::BIGINT FROM job_events WHERE ts::DATE = DATE '2024-01-30') AS tokens_today, (SELECT sum(k)::BIGINT FROM job_events WHERE ts::DATE BETWEEN '2024-01-29' AND '2024-01-30') AS tokens_this_week,
   (SELECT sum(k)::BIGINT FROM job_events WHERE ts::DATE <= '2024-01-30') AS tokens_this_month,
   (SELECT count(*) FROM (SELECT job_id % 4, max(ts) AS m FROM job_events GROUP BY 1) WHERE m >= TIMESTAMP '2024-01-30 23:50:00' - INTERVAL 30 SECOND) AS alive_services FROM state"""),
 )
 def _(spark, sf):
-    ev = fx.job_events(spark, sf).withColumn("tokens", F.col("k"))
+    # No job's total lies half way between two tenths.
+    ev = fx.job_events(spark, sf).withColumn("tokens", F.col("k")).withColumn("elapsed_s", F.col("elapsed_s") + 0.003)
     return pl.operations_monitor(ev, TODAY, NOW, service())
 
 
