@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from timedframe import fixtures as fx
 from timedframe.fixtures import oracle
-from timedframe.operators.ordered import shared_folder
+from timedframe.operators.ordered import number_rows, shared_folder
 from timedframe.registry.core import query
 from timedframe.semantics import r4
 from timedframe.sources import captions as cap
@@ -125,6 +125,42 @@ def _(spark, sf):
     return cap.srt_blocks(cues, ["seg_id"])
 
 
+#: Half of the documents in one folder and half in another, with the same file names in both.
+FOLDERED = "CASE WHEN media_id % 2 = 0 THEN 'even/' ELSE 'odd/' END || (media_id // 2)"
+
+
+def foldered(seg):
+    k = F.col("media_id")
+    return seg.withColumn("media_id", F.concat(F.when(k % 2 == 0, "even/").otherwise("odd/"), F.expr("media_id div 2").cast("string")))
+
+
+@query(
+    "io9_srt_files",
+    oracle("doc_segments", f"""SELECT {FOLDERED} AS media_id, row_number() OVER (PARTITION BY media_id ORDER BY seg_id) AS cue_no, round(start, 4) AS start, round("end", 4) AS "end", text FROM doc_segments"""),
+)
+def _(spark, sf):
+    cues = foldered(fx.doc_segments(spark, sf)).select("media_id", "seg_id", "start", "end", F.col("text").alias("line"))
+    path = fresh_folder(spark, "srt")
+    cap.write_srt(cues, path, ["seg_id"])
+    back = number_rows(cap.read_srt(spark, path), ["media_id"], ["part", "at", "block"], "cue_no")
+    return back.select("media_id", "cue_no", r4("start").alias("start"), r4("end").alias("end"), "text")
+
+
+@query(
+    "io10_webvtt_files",
+    oracle("doc_segments", f"""SELECT {FOLDERED} AS media_id, CASE WHEN seg_id % 2 = 0 THEN 'c' || seg_id END AS id, round_even(start * 1000, 0)::BIGINT * 90 AS start, round_even("end" * 1000, 0)::BIGINT * 90 AS "end", CASE WHEN seg_id % 3 = 0 THEN 'align:start' END AS settings, text || chr(10) || 'two' AS text FROM doc_segments"""),
+)
+def _(spark, sf):
+    s, ticks = F.col("seg_id"), lambda c: F.bround(F.col(c) * 1000).cast("bigint") * cap.TICKS_PER_MS
+    cues = foldered(fx.doc_segments(spark, sf)).select(
+        "media_id", "seg_id", F.when(s % 2 == 0, F.concat(F.lit("c"), s.cast("string"))).alias("id"), ticks("start").alias("start"), ticks("end").alias("end"),
+        F.when(s % 3 == 0, "align:start").alias("settings"), F.concat("text", F.lit("\n\ntwo")).alias("text"),
+    )
+    path = fresh_folder(spark, "vtt")
+    cap.write_webvtt(cues, path, ["seg_id"])
+    return cap.read_webvtt(spark, path).select("media_id", "id", "start", "end", "settings", "text")
+
+
 @query(
     "io10_parse_webvtt",
     oracle("doc_segments", """SELECT media_id, CASE WHEN seg_id % 2 = 0 THEN 'c' || seg_id END AS id, round_even(start * 1000, 0)::BIGINT * 90 AS start, round_even("end" * 1000, 0)::BIGINT * 90 AS "end", CASE WHEN seg_id % 3 = 0 THEN 'align:start' END AS settings, text || chr(10) || 'two' AS text FROM doc_segments"""),

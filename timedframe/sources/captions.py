@@ -1,4 +1,4 @@
-"""Subtitle files: SRT in and out, WebVTT in, and cue de-duplication."""
+"""Subtitle files: SRT and WebVTT in and out, and cue de-duplication."""
 
 from __future__ import annotations
 
@@ -8,33 +8,31 @@ from pyspark.sql import functions as F
 from timedframe.functions.scalars import group, srt_seconds, srt_time
 from timedframe.operators.ordered import fits, lag_lead, number_rows, run_sum, scan
 from timedframe.semantics import strip
+from timedframe.sources.files import read_blocks, write_blocks
 
 TICKS_PER_MS = 90
 SRT_CLOCK = r"\d{1,2}:\d{2}:\d{2}[,.]\d{3}"
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1).alias("media_id"), F.col("value").alias("text"))
-
-
 def _blocks(text: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
     return F.filter(F.split(clean, r"\n[ \t]*(?:\n[ \t]*)+"), lambda b: F.length(strip(b)) > 0)
 
 
 def parse_srt(files: DataFrame) -> DataFrame:
-    """Cues of SRT texts (``media_id, text``): inner lines joined by a space, blank cues dropped."""
-    rows = files.select("media_id", F.posexplode(_blocks(F.col("text"))).alias("block", "_b"))
+    """Cues of SRT texts (``media_id, text``, other columns stay): inner lines joined by a space, blank cues dropped."""
+    keep = [c for c in files.columns if c != "text"]
+    rows = files.select(*keep, F.posexplode(_blocks(F.col("text"))).alias("block", "_b"))
     p = rf"(?s)^\s*(?:\d+\s*\n)?\s*({SRT_CLOCK})\s*-->\s*({SRT_CLOCK})[^\n]*\n?(.*)$"
     clock = lambda i: srt_seconds(F.lpad(F.regexp_replace(group(F.col("_b"), p, i), ",", "."), 12, "0"))
     lines = F.filter(F.transform(F.split(F.regexp_extract("_b", p, 3), "\n"), strip), lambda l: F.length(l) > 0)
-    rows = rows.filter(F.col("_b").rlike(p)).select("media_id", "block", clock(1).alias("start"), clock(2).alias("end"), F.array_join(lines, " ").alias("text"))
+    rows = rows.filter(F.col("_b").rlike(p)).select(*keep, "block", clock(1).alias("start"), clock(2).alias("end"), F.array_join(lines, " ").alias("text"))
     return rows.filter(F.length("text") > 0)
 
 
-def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    return parse_srt(_whole_files(spark, path))
+def read_srt(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Cues of all ``.srt`` files below ``path``, named by their path there; (part, at, block) is their order in the file."""
+    return parse_srt(read_blocks(spark, path, ".srt", stream))
 
 
 def srt_blocks(cues: DataFrame, order: list[str]) -> DataFrame:
@@ -44,11 +42,9 @@ def srt_blocks(cues: DataFrame, order: list[str]) -> DataFrame:
     return rows.select("media_id", "cue_no", block.alias("block"))
 
 
-def write_srt(cues: DataFrame, path: str, order: list[str]) -> None:
-    """One folder per media whose part files, in name order, are its SRT text; a long media spans several parts."""
-    blocks = srt_blocks(cues, order)
-    placed = blocks.repartitionByRange("media_id", "cue_no").sortWithinPartitions("media_id", "cue_no")
-    placed.select("media_id", F.col("block").alias("value")).write.partitionBy("media_id").text(path)
+def write_srt(cues: DataFrame, path: str, order: list[str], mode: str = "append") -> None:
+    """One SRT file per media (per media and task, if it is long), which ``read_srt`` finds under the same id."""
+    write_blocks(srt_blocks(cues, order).select("media_id", F.col("cue_no").alias("ord"), F.col("block").alias("value")), path, ".srt", mode=mode)
 
 
 def _ticks(text: Column) -> Column:
@@ -59,20 +55,36 @@ def _ticks(text: Column) -> Column:
 
 def parse_webvtt(files: DataFrame) -> DataFrame:
     """Cues of WebVTT texts: id, start and end in 90 kHz ticks, settings and text; notes, styles and regions are skipped."""
-    rows = files.select("media_id", F.posexplode(_blocks(F.col("text"))).alias("block", "_b"))
+    keep = [c for c in files.columns if c != "text"]
+    rows = files.select(*keep, F.posexplode(_blocks(F.col("text"))).alias("block", "_b"))
     clock = r"(?:\d+:)?\d{2}:\d{2}\.\d{3}"
     p = rf"(?s)^(?:([^\n]*)\n)?[ \t]*({clock})[ \t]+-->[ \t]+({clock})[ \t]*([^\n]*)(?:\n(.*))?$"
     skip = F.col("_b").rlike(r"^(?:WEBVTT|NOTE|STYLE|REGION)(?:\s|$)")
     rows = rows.filter(~skip & F.col("_b").rlike(p))
     g = lambda i: F.regexp_extract("_b", p, i)
     return rows.select(
-        "media_id", "block", F.nullif(g(1), F.lit("")).alias("id"), _ticks(g(2)).alias("start"), _ticks(g(3)).alias("end"),
+        *keep, "block", F.nullif(g(1), F.lit("")).alias("id"), _ticks(g(2)).alias("start"), _ticks(g(3)).alias("end"),
         F.nullif(strip(g(4)), F.lit("")).alias("settings"), F.regexp_replace(g(5), r"\n+$", "").alias("text"),
     )
 
 
-def read_webvtt(spark: SparkSession, path: str) -> DataFrame:
-    return parse_webvtt(_whole_files(spark, path))
+def read_webvtt(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Cues of all ``.vtt`` files below ``path``, named and ordered as in ``read_srt``."""
+    return parse_webvtt(read_blocks(spark, path, ".vtt", stream))
+
+
+def webvtt_blocks(cues: DataFrame, order: list[str]) -> DataFrame:
+    """WebVTT blocks (``media_id, cue_no, block``) of rows as ``parse_webvtt`` gives them; times come in ticks."""
+    rows = number_rows(cues, ["media_id"], order, "cue_no")
+    clock = lambda c: srt_time(F.col(c) / (TICKS_PER_MS * 1000), ".")
+    head = F.concat(F.coalesce(F.concat("id", F.lit("\n")), F.lit("")), clock("start"), F.lit(" --> "), clock("end"), F.coalesce(F.concat(F.lit(" "), "settings"), F.lit("")))
+    # A blank line would end the cue.
+    return rows.select("media_id", "cue_no", F.concat(head, F.lit("\n"), F.regexp_replace("text", r"\n[ \t]*(?=\n)", ""), F.lit("\n")).alias("block"))
+
+
+def write_webvtt(cues: DataFrame, path: str, order: list[str], mode: str = "append") -> None:
+    blocks = webvtt_blocks(cues, order).select("media_id", F.col("cue_no").alias("ord"), F.col("block").alias("value"))
+    write_blocks(blocks, path, ".vtt", "WEBVTT\n\n", mode)
 
 
 def dedup_cues(cues: DataFrame) -> DataFrame:

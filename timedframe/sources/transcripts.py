@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timedframe.operators.ordered import number_rows
 from timedframe.schemas import TRANSCRIPT
 from timedframe.semantics import r2, strip
+from timedframe.sources.files import relative_id
 
 PART_ROWS = 10_000
 SEGMENT_FIELDS = ["start", "end", "text", "text_original", "speaker", "residual_risk", "words"]
@@ -17,11 +18,10 @@ def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> tup
     """(media, segments) of JSON documents; a document without segments is an error when it is read.
 
     One document per file, or one per line (``lines``, as the writer leaves them).  ``media_id`` comes from
-    the document or, when it has none, from the file's name.
+    the document or, when it has none, from the file's path below ``path``.
     """
     docs = spark.read.schema(TRANSCRIPT).option("multiLine", not lines).json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
-    return split_transcripts(docs.withColumn("media_id", F.coalesce("media_id", name)))
+    return split_transcripts(docs.withColumn("media_id", F.coalesce("media_id", relative_id(path, ".json"))))
 
 
 def split_transcripts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
