@@ -79,6 +79,21 @@ def test_glossary_of_any_term_length(spark, grouping):
     assert lookups.match_glossary(segments, none).count() == 0
 
 
+def test_glossary_terms_alike_and_a_full_filter(spark, monkeypatch):
+    from timedframe.functions import grams
+
+    monkeypatch.setattr(grams, "MOST_BITS", 15)
+    monkeypatch.setattr(grams, "FLUSH_ROWS", 3)
+    start = "the same long beginning of many \U0001f600 terms, "
+    terms = [f"{start}{i}" for i in range(3000)] + [start + "x" * 900, "\U0001f600", "\U0001f600\U0001f600"]
+    lines = [(1, 0, f"so {start}"), (1, 1, "17 and"), (2, 0, "\U0001f600"), (2, 1, "\U0001f600" + start + "x" * 450), (2, 2, "x" * 449 + "y"), (3, 0, None), (3, 1, "")]
+    joined = {m: "".join(t or "" for k, _, t in lines if k == m) for m in (1, 2, 3)}
+    found = lookups.match_glossary(
+        spark.createDataFrame(lines, "media_id long, seg_id int, text string"), spark.createDataFrame([(t, "t") for t in terms] * 2, "source string, target string")
+    ).collect()
+    assert sorted((r.media_id, r.source) for r in found) == sorted((m, t) for m, text in joined.items() for t in terms if t in text)
+
+
 def test_corpus_lines_with_bars_come_back(spark):
     from timedframe.sources import transcripts as tr
 

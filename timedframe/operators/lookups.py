@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.operators.ordered import last_per_key, number_rows, run_sum, scan, top_n
+from timedframe.functions.grams import GRAM, bloom, candidates, filter_bits, kind_of
+from timedframe.operators.ordered import last_per_key, materialize, number_rows, run_sum, scan, top_n
 from timedframe.operators.segments import KEY, NARRATOR, ORDER, looks_untranslated
 from timedframe.semantics import blank, strip
 
 SEG = ["media_id", "seg_id"]
-#: Characters of text that are searched together; finding a place in a text costs its distance from the start.
-CHUNK_CHARS = 512
-#: Characters of a term by which it is looked up.
-HEAD_CHARS = 16
+#: Characters of text that are searched together.
+CHUNK_CHARS = 4096
 NAME_CAP = 30
 
 
@@ -64,26 +63,35 @@ def text_chunks(segments: DataFrame, overlap: int, width: int = CHUNK_CHARS) ->
     return rows.groupBy("media_id", "_c").agg(joined.alias("chunk"))
 
 
+def anchored(terms: DataFrame) -> DataFrame:
+    """Each term (``source, target``) with its kind ``_k`` and its anchor: of its grams the one ``_g``, at ``_o``, which the fewest sources
+    of its kind hold, so that terms with a beginning in common are looked up apart."""
+    sources = terms.select("source", kind_of(F.length("source")).alias("_k")).distinct().withColumn("_q", F.least("_k", F.lit(GRAM)))
+    grams = sources.select("source", "_k", F.explode(F.sequence(F.lit(0), F.length("source") - F.col("_q"))).alias("_o"), "_q")
+    grams = grams.select("source", "_k", "_o", F.substring(F.col("source"), F.col("_o") + 1, F.col("_q")).alias("_g"))
+    rare = grams.join(grams.groupBy("_k", "_g").agg(F.count("*").alias("_n")), ["_k", "_g"])
+    best = rare.groupBy("source", "_k").agg(F.min(F.struct("_n", "_o", "_g")).alias("_a"))
+    return terms.join(best.select("source", "_k", "_a._o", "_a._g"), "source")
+
+
 def match_glossary(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """Glossary rows (``source, target``) whose source occurs in a media's joined text.
 
-    Terms are put into classes by length, 1, 2, 4, 8 and 16 characters and more.  Every chunk of text offers its distinct stretches of
-    such a length; they meet the terms by equal beginnings, and a chunk that met a term is searched for the whole of it.  A class of short
-    terms offers few stretches, and the same plan serves glossaries of any size.  Only the largest length is looked up beforehand.
+    Every term has one gram as its anchor.  A Bloom filter of all anchors, of bounded size, picks the places of the texts where an
+    anchor may stand; only these become rows, each with the text about it, and meet the terms by equal anchors.  The whole term is compared there.
     """
-    size = F.length("source")
-    head = F.least(F.expr("shiftleft(1, length(bin(length(source))) - 1)"), F.lit(HEAD_CHARS))
-    terms = glossary.filter(size > 0).select("source", "target", head.alias("_q")).distinct().withColumn("_head", F.expr("left(source, _q)"))
-    found = terms.agg(F.max(size), F.collect_set("_q")).first()  # a length and at most five numbers
-    longest, lengths = int(found[0] or 1), sorted(found[1]) or [1]
+    wanted = glossary.filter(F.length("source") > 0).select("source", "target").distinct()
+    terms = materialize(anchored(wanted))
+    kinds = terms.groupBy("_k").agg(F.max(F.length("source")).alias("most"), F.count_distinct("source").alias("n")).collect()  # one row per short length or power of two
+    if not kinds:
+        return segments.limit(0).select("media_id", *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in wanted.columns])
+    reach = {r["_k"]: int(r.most) for r in kinds}
+    longest = max(reach.values())
+    marks = bloom(terms.select("_k", "_g").distinct(), filter_bits(sum(r.n for r in kinds)))
     chunks = text_chunks(segments, longest - 1, max(CHUNK_CHARS, 4 * longest))
-    stretches = F.transform(
-        F.array(*[F.lit(q) for q in lengths]),
-        lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("chunk") - q + 1, F.lit(1))), lambda i: F.substring(F.col("chunk"), i, q))),
-    )
-    spots = chunks.select("media_id", "_c", F.explode(F.flatten(stretches)).alias("_head"))
-    met = spots.join(terms.select("source", "target", "_head"), "_head").select("media_id", "_c", "source", "target")
-    return met.join(chunks, ["media_id", "_c"]).filter(F.contains("chunk", "source")).select("media_id", "source", "target").distinct()
+    met = candidates(chunks, marks, reach).join(terms, ["_k", "_g"])
+    whole = F.substring(F.col("_w"), F.col("_i") - F.col("_o") + 1, F.length("source")) == F.col("source")
+    return met.filter((F.col("_i") >= F.col("_o")) & whole).select("media_id", "source", "target").distinct()
 
 
 def match_pairs(segments: DataFrame, pairs: DataFrame) -> DataFrame:
