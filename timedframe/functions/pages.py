@@ -117,12 +117,37 @@ def json_ld(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     )
 
 
-def embedded_json(html: Column, start: str, end: str = r"\s*;?\s*</script>") -> Column:
-    """JSON text after a start pattern inside one script tag, NULL unless it parses."""
-    text = group(html, rf"(?s){start}\s*(\{{.*?\}}){end}", 1)
+def closed_json(text: Column) -> Column:
+    """The object or array that ``text`` begins with, up to its closing bracket; NULL if it begins with none or that stays open.
+
+    One fold over brackets, quotes and escapes; brackets inside string literals don't count.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"""(?s)(\\.|["{}\[\]]|[^\\"{}\[\]]+)"""), 1)
+
+    def step(state: Column, mark: Column) -> Column:
+        quoted, depth, at = state["quoted"], state["depth"], state["at"]
+        outside = ~quoted & (state["end"] == 0)
+        depth = depth + F.when(outside & mark.isin("{", "["), 1).when(outside & mark.isin("}", "]"), -1).otherwise(0)
+        at = at + F.length(mark)
+        end = F.when(state["end"] > 0, state["end"]).when(outside & (depth == 0), at).otherwise(0)
+        return F.struct((quoted != (mark == '"')).alias("quoted"), depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    end = F.aggregate(marks, start, step, lambda s: s["end"])
+    return F.when(text.rlike(r"^[{\[]") & (end > 0), F.substr(text, F.lit(1), end))
+
+
+def embedded_json(html: Column, start: str) -> Column:
+    """JSON text after the first match of a start pattern, up to where the object or array closes, whatever script code follows; NULL unless it parses."""
+    text = closed_json(group(html, rf"(?s){start}\s*([{{\[].*?)</script", 1))
     return F.when(F.try_parse_json(text).isNotNull(), text)
 
 
+def embedded_variant(html: Column, start: str) -> Column:
+    """The value of ``embedded_json`` as a VARIANT."""
+    return F.try_parse_json(closed_json(group(html, rf"(?s){start}\s*([{{\[].*?)</script", 1)))
+
+
 def hidden_inputs(html: Column) -> Column:
     """Name to value of hidden and submit inputs outside comments; the last of a name wins."""
     tags = _tags(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), "input")

@@ -73,6 +73,26 @@ def _(spark, sf):
     return p.select("page_id", pg.embedded_json(F.col("html"), r"window\.__STATE__\s*=").alias("state"))
 
 
+@query(
+    "sc25_embedded_values",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{"id":' || page_id || ',"t":"a } ] \\" {","u":[{"v":"' || url || '"}]}' WHEN 1 THEN '[' || page_id || ',{"v":"\\\\"}]' WHEN 2 THEN '{"id":' || page_id || '}' END AS state,
+CASE page_id % 4 WHEN 0 THEN page_id WHEN 2 THEN page_id END AS id, CASE page_id % 4 WHEN 0 THEN url END AS v FROM pages""",
+)
+def _(spark, sf):
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    body = (
+        F.when(kind == 0, F.concat(F.lit('{"id":'), n, F.lit(',"t":"a } ] \\" {","u":[{"v":"'), F.col("url"), F.lit('"}]}')))
+        .when(kind == 1, F.concat(F.lit("["), n, F.lit(',{"v":"\\\\"}]')))
+        .when(kind == 2, F.concat(F.lit('{"id":'), n, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"id":{"a":'), n, F.lit("}")))
+    )
+    code = F.when(kind == 2, "").otherwise(';(function(){var a={"b":[1]};if(a){run("}")}}());')
+    p = pages(spark, sf).withColumn("html", F.concat("html", F.lit("<script>var x={};window.__DATA__="), body, code, F.lit('</script><script>{"id":0}</script>')))
+    start = r"window\.__DATA__\s*="
+    rows = p.select("page_id", pg.embedded_json(F.col("html"), start).alias("state"), pg.embedded_variant(F.col("html"), start).alias("_v"))
+    return rows.select("page_id", "state", F.try_variant_get("_v", "$.id", "bigint").alias("id"), F.try_variant_get("_v", "$.u[0].v", "string").alias("v"))
+
+
 @query("sc26_hidden_inputs", "SELECT page_id, 'csrf=t' || page_id || ';go=Go' AS fields FROM pages")
 def _(spark, sf):
     n = F.col("page_id").cast("string")
