@@ -189,6 +189,27 @@ def test_hooks_and_provider(spark):
     assert sorted(r.text for r in got.collect()) == [f"said {i}" for i in range(4)]
 
 
+def test_provider_repeats_halves_and_reports(spark, tmp_path):
+    def weak(batch):
+        assert len(batch) <= 3
+        if 5 in set(batch["id"]):
+            raise RuntimeError("five")
+        mark = tmp_path / str(batch["id"].iloc[0])
+        if not mark.exists():  # the first call of every batch fails
+            mark.write_text("")
+            raise OSError("busy")
+        return batch.assign(text=batch["id"].astype(str))
+
+    df = spark.range(0, 10, 1, 2)
+    got = ex.apply_provider(df, weak, "id long, text string, error string", rows=3, tries=2, errors="error").orderBy("id").collect()
+    assert [(r.id, r.text, r.error) for r in got] == [(i, None if i == 5 else str(i), "RuntimeError: five" if i == 5 else None) for i in range(10)]
+    with pytest.raises(Exception, match="five"):
+        ex.apply_provider(df, weak, "id long, text string", rows=3, tries=2).collect()
+    with pytest.raises(ValueError):
+        ex.apply_provider(df, weak, "id long", errors="error")
+    assert ex.apply_provider(df.limit(0), weak, "id long, text string").count() == 0
+
+
 @pytest.mark.parametrize(
     "fn,cases",
     [

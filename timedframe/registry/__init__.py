@@ -2,7 +2,7 @@ from importlib import import_module
 
 from timedframe.registry.core import ORACLES, QUERIES
 
-MODULES = ["segments", "lookups", "jobs", "catalog", "formats", "intervals", "scalars", "pages", "corpus", "sources", "streams", "plans"]
+MODULES = ["segments", "lookups", "jobs", "catalog", "formats", "intervals", "scalars", "pages", "corpus", "sources", "streams", "plans", "extensions"]
 
 
 def _load():
