@@ -75,3 +75,24 @@ def test_filter_terms():
     for bad in ("", "!", "a <=", "!a = 1", "9 = 1", "a b"):
         with pytest.raises(ValueError):
             filters.read_term(bad, filters.MATCH_KEY)
+
+
+def test_durations_in_filters_follow_the_column_grammar(spark):
+    from timedframe.functions.filters import duration_literal
+    from timedframe.functions.scalars import parse_duration
+
+    texts = ["1:234", "1:02:03.5", "0:1:0:2:3", "1:2:3:4:5:6", "P1DT2H", "1h 5m", "5m 1h", "2.5 hours", "2.5h", "90 min", "45 min.", "3 weeks", "10.5s", "", "t", "x", "1..2 min", "07z"]
+    rows = spark.createDataFrame([(t, duration_literal(t)) for t in texts], "t string, held double")
+    assert [tuple(r) for r in rows.withColumn("c", parse_duration(F.col("t"))).filter("not (c <=> held)").collect()] == []
+
+
+def test_marks_counts_and_sizes(spark):
+    from timedframe.functions.scalars import parse_age, parse_bitrate, parse_count, parse_resolution
+    from timedframe.operators.corpus import clean_punctuation
+
+    one = lambda f, t: spark.range(1).select(f(F.lit(t)).alias("v")).first().v
+    assert [one(clean_punctuation, t) for t in ("a,.. b ?! c ; d", "so ? ! yes", "3.14, ok;.", " , x", "..?")] == ["a. b ! c d", "so ! yes", "3.14, ok.", "x", "?"]
+    assert [one(parse_count, t) for t in ("1.2M views", "views: 1,234", "12x", "3kk", "900")] == [1_200_000, 1234, None, 3_000_000, 900]
+    assert [tuple(one(parse_resolution, t)) for t in ("at 1920 x 1080, 720p60", "720p60 4k", "4k", "x4k")] == [(1920, 1080, None), (None, 720, 60), (None, 2160, None), (None, None, None)]
+    assert [one(parse_bitrate, t) for t in ("at 128 kbps", "v128kbps", "1kbps2")] == [128, None, 1]
+    assert [one(parse_age, t) for t in ("18+", "tv_ma", "TV14", "pg-13", "-5", "100")] == [18, 17, 14, 13, None, None]

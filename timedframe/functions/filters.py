@@ -33,14 +33,46 @@ def size_literal(text: str) -> int | None:
     return round(float(m.group(1).replace(",", ".")) * unit) if unit else None
 
 
+# Spellings of units from large to small, with the seconds that one of them counts
+DATE_UNITS = [(["y", "year", "years"], 0), (["m", "month", "months"], 0), (["w", "week", "weeks"], 0), (["d", "day", "days"], 86400)]
+TIME_UNITS = [(["h", "hr", "hrs", "hour", "hours"], 3600), (["m", "min", "mins", "minute", "minutes"], 60), (["s", "sec", "secs", "second", "seconds"], 1)]
+BROKEN_UNITS = {"hour": 3600, "hours": 3600, "min": 60, "mins": 60, "min.": 60, "mins.": 60, "minute": 60, "minutes": 60}
+CLOCK = r"\d+(:\d+)*(\.\d+)?"
+AMOUNT = r"(\d+(?:\.\d+)?)\s*([a-z]+)"
+
+
+def _amount_literal(text: str, units: list[tuple[list[str], int]]) -> float | None:
+    """Sum of ``number unit`` pairs that fill the text, from large to small units; only seconds have a fraction."""
+    pairs = re.findall(AMOUNT, text)
+    order = [next((i for i, (names, _) in enumerate(units) if u in names), None) for _, u in pairs]
+    if re.sub(AMOUNT + r",?\s*", "", text) or None in order or order != sorted(set(order)):
+        return None
+    if any("." in n and units[i][1] != 1 for (n, _), i in zip(pairs, order)):
+        return None
+    return float(sum(float(n) * units[i][1] for (n, _), i in zip(pairs, order)))
+
+
 def duration_literal(text: str) -> float | None:
-    clock = re.fullmatch(r"(?:(?:(?:(\d+):)?(\d+):)?(\d+):)?(\d+(?:\.\d+)?)", text.strip())
-    if clock:
-        return sum(float(v) * w for v, w in zip(clock.groups(), (86400, 3600, 60, 1)) if v)
-    spoken = re.fullmatch(r"(?i)(?:(\d+)\s*h\w*)?\s*(?:(\d+)\s*m\w*)?\s*(?:(\d+(?:\.\d+)?)\s*s\w*)?", text.strip())
-    if spoken and any(spoken.groups()):
-        return sum(float(v) * w for v, w in zip(spoken.groups(), (3600, 60, 1)) if v)
-    return None
+    """A duration in a filter by the grammar of ``scalars.parse_duration``."""
+    s = text.strip().lower().removesuffix("z")
+    if re.fullmatch(CLOCK, s, re.ASCII):
+        *upper, last = s.split(":")
+        fraction = 0.0
+        if upper and ((len(last) > 2 and "." not in last) or len(upper) > 3):
+            fraction, last = float("0." + last), upper.pop()
+        places = [last, *reversed(upper)]
+        return sum(float(n) * w for n, w in zip(places, (1, 60, 3600, 86400))) + fraction if len(places) <= 4 else None
+    marked = re.search(r"t(?=\d|$)", s)
+    date, time = (s[: marked.start()].removeprefix("p"), s[marked.end() :]) if marked else ("", s)
+    parts = [_amount_literal(date, DATE_UNITS), _amount_literal(time, TIME_UNITS)]
+    if s and None not in parts:
+        return sum(parts)
+    number = re.match(r"[\d.]+", s)
+    unit = BROKEN_UNITS.get(s[number.end() :].strip()) if number else None
+    try:
+        return float(number.group()) * unit if unit else None
+    except ValueError:
+        return None
 
 
 def number_literal(text: str) -> float | int | None:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timedframe.functions.filters import size_units
+from timedframe.functions.filters import AMOUNT, BROKEN_UNITS, CLOCK, DATE_UNITS, TIME_UNITS, size_units
 from timedframe.semantics import once, strip
 
 
@@ -24,13 +24,6 @@ def _sum(parts: list[tuple[Column, float]]) -> Column:
 
 # ---- durations, sizes, counts --------------------------------------------------------------------
 
-# Spellings of units from large to small, with the seconds that one of them counts
-DATE_UNITS = [(["y", "year", "years"], 0), (["m", "month", "months"], 0), (["w", "week", "weeks"], 0), (["d", "day", "days"], 86400)]
-TIME_UNITS = [(["h", "hr", "hrs", "hour", "hours"], 3600), (["m", "min", "mins", "minute", "minutes"], 60), (["s", "sec", "secs", "second", "seconds"], 1)]
-BROKEN_UNITS = {"hour": 3600, "hours": 3600, "min": 60, "mins": 60, "min.": 60, "mins.": 60, "minute": 60, "minutes": 60}
-AMOUNT = r"(\d+(?:\.\d+)?)\s*([a-z]+)"
-
-
 def _lookup(table: dict[str, float], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for name, n in table.items() for x in (name, float(n))]), key)
 
@@ -49,7 +42,7 @@ def _clock_seconds(s: Column) -> Column:
         )
         return total + F.when(split, F.concat(F.lit("0."), last).try_cast("double")).otherwise(0.0)
 
-    plain = F.regexp_like(s, F.lit(r"^\d+(:\d+)*(\.\d+)?$"))
+    plain = F.regexp_like(s, F.lit(f"^{CLOCK}$"))
     return F.when(plain, once(F.split(s, ":"), read))
 
 
@@ -73,54 +66,72 @@ def _amounts(s: Column, units: list[tuple[list[str], int]]) -> Column:
 
 def parse_duration(text: Column) -> Column:
     """Seconds of ``1:02:03.5``, ``P1DT2H``, ``1h 5m`` or ``2.5 hours``; years, months and weeks count nothing."""
-    s = F.regexp_replace(F.lower(strip(text)), "z$", "")
-    marked = F.regexp_like(s, F.lit(r"t(\d|$)"))  # the letter between date and time
-    at = F.length(F.regexp_extract(s, r"^(.*?)t(?:\d|$)", 1))
-    date = F.regexp_replace(F.when(marked, F.left(s, at)).otherwise(F.lit("")), "^p", "")
-    time = F.when(marked, F.substring(s, at + 2, F.length(s))).otherwise(s)
-    spoken = _amounts(date, DATE_UNITS) + _amounts(time, TIME_UNITS)
-    broken = F.regexp_extract(s, r"^([\d.]+)", 1)
-    loose = broken.try_cast("double") * _lookup(BROKEN_UNITS, strip(F.substring(s, F.length(broken) + 1, F.length(s))))
-    return F.when(s != "", F.coalesce(_clock_seconds(s), spoken, loose))
 
+    def read(s: Column) -> Column:
+        marked = F.regexp_like(s, F.lit(r"t(\d|$)"))  # the letter between date and time
+        at = F.length(F.regexp_extract(s, r"^(.*?)t(?:\d|$)", 1))
+        date = F.regexp_replace(F.left(s, at), "^p", "")
+        spoken = F.when(marked, _amounts(date, DATE_UNITS) + _amounts(F.substring(s, at + 2, F.length(s)), TIME_UNITS)).otherwise(_amounts(s, TIME_UNITS))
+        number = F.regexp_extract(s, r"^([\d.]+)", 1)
+        loose = number.try_cast("double") * _lookup(BROKEN_UNITS, strip(F.substring(s, F.length(number) + 1, F.length(s))))
+        return F.when(F.regexp_like(s, F.lit("[a-z]")), F.coalesce(spoken, loose)).otherwise(_clock_seconds(s))
+
+    return once(F.regexp_replace(F.lower(strip(text)), "z$", ""), read)
+
+
+NUMBER = r"\d+(?:[.,]\d+)?"
+
+
+def _scaled(number: Column, unit: Column, units: dict[str, int]) -> Column:
+    """Whole count of a decimal number in a unit of the table; a comma is a decimal point."""
+    value = F.when(F.regexp_like(number, F.lit(f"^{NUMBER}$")), F.translate(number, ",", ".").try_cast("double"))
+    return F.bround(value * _lookup(units, unit)).cast("bigint")
+
+
+WORD = r"[A-Za-z]++(?![A-Za-z0-9_])|(?<=\s)|$"
 
-def _unit_table(text: Column, units: dict[str, int]) -> Column:
-    names = "|".join(sorted(units, key=len, reverse=True))
-    pattern = rf"^(\d+(?:[.,]\d+)?)\s*({names})\b"
-    table = F.create_map(*[F.lit(x) for name, n in units.items() for x in (name, float(n))])
-    number = F.regexp_replace(group(text, pattern, 1), ",", ".").try_cast("double")
-    return F.bround(number * F.try_element_at(table, group(text, pattern, 2))).cast("bigint")
+
+def _first_amount(text: Column, lead: str, number: str, unit: str = WORD) -> tuple[Column, Column, Column]:
+    """Number, blanks and unit of the amount after a lead; what the number can take it keeps."""
+    shape = rf"{lead}((?>{number}))(\s*+)({unit})"
+    return tuple(F.regexp_extract(text, shape, i) for i in (1, 2, 3))
 
 
 def parse_filesize(text: Column) -> Column:
-    return _unit_table(text, size_units())
+    number, _, unit = _first_amount(text, "^", NUMBER)
+    return _scaled(number, unit, size_units())
 
 
 COUNT_UNITS = {"k": 10**3, "K": 10**3, "m": 10**6, "M": 10**6, "kk": 10**6, "KK": 10**6, "b": 10**9, "B": 10**9}
 
 
 def parse_count(text: Column) -> Column:
-    s = strip(F.regexp_replace(text, r"^\D+\s", ""))
-    digits = lambda c: F.regexp_replace(c, "[,.]", "").try_cast("bigint")
-    return F.when(s.rlike(r"^[\d,.]+$"), digits(s)).otherwise(F.coalesce(_unit_table(s, COUNT_UNITS), digits(group(s, r"^([\d,.]+)(?:$|\s)", 1))))
+    """``1.2M``, ``1,234 views`` or ``views: 900``; without a unit, commas and points only part thousands."""
+    number, gap, unit = _first_amount(strip(text), r"^(?:\D*\s)?", r"[\d,.]+")
+    plain = F.translate(number, ",.", "").try_cast("bigint")
+    return F.coalesce(_scaled(number, unit, COUNT_UNITS), F.when((unit == "") | (gap != ""), plain))
+
+
+def parse_bitrate(text: Column) -> Column:
+    number, _, _ = _first_amount(text, r"\b", r"\d+", "kbps")
+    return number.try_cast("bigint")
 
 
 def parse_resolution(text: Column) -> Column:
-    """``1920x1080``, ``720p60`` or ``4k`` that stand by themselves: width, height and frame rate."""
-    found = lambda shape: "(?:^|[^a-z0-9])" + shape + "(?:[^a-z0-9]|$)"
-    s = F.lower(text)
-    box, lines, kilo = found(r"(\d+)\s*[x×,]\s*(\d+)"), found(r"(\d+)[pi](\d\d\d?)?"), r"(?:^|\W)([48])k(\d\d\d?)?(?:\W|$)"
-    whole = lambda p, i: group(s, p, i).try_cast("int")
-    is_box, is_lines = s.rlike(box), s.rlike(lines)
-    return F.struct(
-        F.when(is_box, whole(box, 1)).alias("width"),
-        F.when(is_box, whole(box, 2)).when(is_lines, whole(lines, 1)).otherwise(whole(kilo, 1) * 540).alias("height"),
-        F.when(is_box, None).when(is_lines, whole(lines, 2)).otherwise(whole(kilo, 2)).alias("fps"),
-    )
+    """``1920x1080``, ``720p60`` or ``4k`` that stand by themselves: width, height and frame rate; a box goes before lines, these before ``k``."""
 
+    def numbers(shape: str, inside: str) -> Column:
+        """The numbers of the first word of a shape, NULL where there is none."""
+        word = F.regexp_extract(F.lower(text), f"(?<!{inside}){shape}(?!{inside})", 0)
+        return F.when(word != "", F.split(word, r"\D+"))
 
-def parse_bitrate(text: Column) -> Column:
-    return group(text, r"\b(\d+)\s*kbps", 1).try_cast("bigint")
+    box, lines, kilo = numbers(r"\d+\s*[x×,]\s*\d+", "[a-z0-9]"), numbers(r"\d+[pi](?:\d{2,3})?", "[a-z0-9]"), numbers(r"[48]k(?:\d{2,3})?", r"\w")
+    at = lambda c, i: F.get(c, i).try_cast("int")
+    return F.struct(
+        at(box, 0).alias("width"),
+        F.coalesce(at(box, 1), at(lines, 0), at(kilo, 0) * 540).alias("height"),
+        F.when(box.isNull(), at(F.coalesce(lines, kilo), 1)).alias("fps"),
+    )
 
 
 # Codec families by stream
@@ -281,10 +292,12 @@ LANGUAGES = dict(
 
 
 def parse_age(text: Column) -> Column:
+    """Least age of a rating's name, or of one or two digits with or without a plus sign; the hyphen after ``TV`` may be left out or low."""
+    names = {spelled: age for name, age in AGE_RATINGS.items() for spelled in {name, name.replace("TV-", "TV_"), name.replace("TV-", "TV")}}
     s = F.upper(text)
-    named = F.create_map(*[F.lit(x) for kv in AGE_RATINGS.items() for x in kv])
-    tv = F.concat(F.lit("TV-"), group(s, r"^TV[_-]?(Y7|Y|G|PG|14|MA)$", 1))
-    return F.coalesce(group(text, r"^(\d{1,2})\+?$", 1).try_cast("int"), F.try_element_at(named, s), F.try_element_at(named, tv))
+    bare = F.when(F.endswith(s, F.lit("+")), F.left(s, F.length(s) - 1)).otherwise(s)
+    digits = (F.translate(bare, "0123456789", "") == "") & F.length(bare).between(1, 2)
+    return F.when(digits, bare.try_cast("int")).otherwise(_lookup(names, s).cast("int"))
 
 
 def long_language(code: Column) -> Column:

@@ -101,15 +101,15 @@ def emotion_tokens(text: Column) -> Column:
 
 
 def clean_punctuation(text: Column) -> Column:
-    """Mark clusters reduced to one mark; of repeated end marks the strongest (``!``, ``?``, ``.``) stays."""
-    s = F.regexp_replace(text, r"([.!?])[.,;:]+", "$1")
-    s = F.regexp_replace(s, r"[.,;:]+([.!?])", "$1")
-    s = F.regexp_replace(s, r"(?U)\s+[,;]\s+", " ")
-    s = F.regexp_replace(s, " {2,}", " ")
-    tokens = F.regexp_extract_all(s, F.lit(r"(?U)([.!?]\s*[.!?]+|[.!?]|[^.!?]+)"), 1)
-    is_run = lambda t: t.rlike(r"(?U)^[.!?]\s*[.!?]+$")
-    best = lambda t: F.when(F.contains(t, F.lit("!")), "!").when(F.contains(t, F.lit("?")), "?").otherwise(".")
-    return strip(F.array_join(F.transform(tokens, lambda t: F.when(is_run(t), best(t)).otherwise(t)), ""))
+    """Every cluster of marks with an end mark becomes its strongest (``!``, ``?``, ``.``), and so does a single one with the cluster after blanks.
+
+    A comma or semicolon that stands alone is a blank, and spaces count once.
+    """
+    spaced = F.regexp_replace(text, r"(?U)\s+[,;]\s+| {2,}", " ")
+    single, cluster = r"[.,;:]*[.!?][.,;:]*", r"[.,;:!?]*[.!?][.,;:!?]*"
+    tokens = F.regexp_extract_all(spaced, F.lit(rf"(?U)({single}\s+{cluster}|[.,;:!?]+|[^.,;:!?]+)"), 1)
+    strongest = lambda t: F.when(F.contains(t, F.lit("!")), "!").when(F.contains(t, F.lit("?")), "?").when(F.contains(t, F.lit(".")), ".").otherwise(t)
+    return strip(F.array_join(F.transform(tokens, strongest), ""))
 
 
 def paragraphs(df: DataFrame, col: str = "text") -> DataFrame:
@@ -179,44 +179,52 @@ def chunk_gaps(chunks: DataFrame, key: str, bounded: bool | None = None) -> Data
     return rows.withColumn("gap", kind).withColumn("pause_s", F.try_element_at(pause, F.col("gap"))).drop("_next")
 
 
-def balanced_chunks(text: str, most: int, least: int) -> list[tuple[str, bool]]:
-    """(chunk, ends a sentence) for one cleaned text: sentences halved near the middle, short ones joined on."""
-
-    def halves(body: str) -> Iterator[str]:
-        waiting = [body]
-        while waiting:
-            body = waiting.pop().strip()
-            if len(body) <= most:
-                if body:
-                    yield body
-                continue
-            head = body[:most]
-            spots = [i for i, c in enumerate(head) if c == ","] or [i for i, c in enumerate(head) if c == " "]
-            at = min(spots, key=lambda i: (abs(i - most // 2), i)) if spots else most
-            waiting += [body[at + 1 :] if spots else body[at:], body[:at]]
-
-    parts: list[tuple[str, bool]] = []
-    for sentence in (s.strip() for para in re.split(r"[\r\n]+", text) for s in re.findall(r"[^.!?]+[.!?]*|[.!?]+", para.strip())):
-        mark = sentence[-1] if sentence and sentence[-1] in ".!?" else ""
-        body = sentence[: len(sentence) - len(mark)].rstrip()
-        if not body:
+def _cuts(body: str, most: int) -> Iterator[str]:
+    """A long sentence from left to right, each time cut at the comma, else the space, that is nearest to half of ``most``."""
+    end = len(body)
+    at = 0
+    while at < end:
+        if body[at].isspace():
+            at += 1
             continue
-        mark = mark or "."
-        cut = [body] if len(sentence) <= most else list(halves(body))
-        parts += [(c + "." if k < len(cut) - 1 else c + mark, k == len(cut) - 1) for k, c in enumerate(cut)]
+        if end - at <= most:
+            yield body[at:]
+            return
+        middle, stop = at + most // 2, at + most
+        for mark in ", ":
+            near = [i for i in (body.rfind(mark, at, middle + 1), body.find(mark, middle, stop)) if i >= 0]
+            if near:
+                cut = min(near, key=lambda i: (abs(i - middle), i))
+                piece, at = body[at:cut], cut + 1
+                break
+        else:
+            piece, at = body[at:stop], stop
+        if piece := piece.strip():
+            yield piece
 
-    def joined(a: tuple[str, bool], b: tuple[str, bool]) -> tuple[str, bool] | None:
-        both = a[0].rstrip(".!?").rstrip() + " " + b[0]
-        return (both, b[1]) if len(both) <= most else None
 
+def balanced_chunks(text: str, most: int, least: int) -> list[tuple[str, bool]]:
+    """(chunk, ends a sentence) for one cleaned text: long sentences are cut, and a chunk under ``least`` takes the next one in if both fit."""
     out: list[tuple[str, bool]] = []
-    for part in parts:
-        held = out[-1] if out else None
-        both = joined(held, part) if held and len(held[0]) < least else None
-        out = out[:-1] + [both] if both else out + [part]
+
+    def add(chunk: str, ends: bool, short: bool) -> None:
+        """Appends a chunk, or joins it to the last one where one of them is short."""
+        both = f"{out[-1][0].rstrip('.!?').rstrip()} {chunk}" if out and short else None
+        if both is not None and len(both) <= most:
+            out[-1] = (both, ends)
+        else:
+            out.append((chunk, ends))
+
+    for found in re.finditer(r"[^.!?\r\n]+[.!?]*|[.!?]+", text):
+        sentence = found.group().strip()
+        mark = sentence[-1:] if sentence[-1:] in (".", "!", "?") else ""
+        body = sentence.removesuffix(mark).rstrip()
+        cut = list(_cuts(body, most)) if len(sentence) > most else [body] if body else []
+        for k, piece in enumerate(cut, 1):
+            ends = k == len(cut)
+            add(piece + (mark or "." if ends else "."), ends, bool(out) and len(out[-1][0]) < least)
     if len(out) > 1 and len(out[-1][0]) < least:
-        both = joined(out[-2], out[-1])
-        out = out[:-2] + [both] if both else out
+        add(*out.pop(), True)
     return out
 
 
