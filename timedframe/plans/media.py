@@ -16,6 +16,7 @@ from timedframe.operators import jobs as jb
 from timedframe.operators import lookups as lk
 from timedframe.operators import segments as sg
 from timedframe.operators.ordered import materialize
+from timedframe.sources.transcripts import parse_corpus
 
 
 def transcript_to_cues(
@@ -90,26 +91,38 @@ def operations_monitor(events: DataFrame, today: str, now: str, service: Column)
     return out
 
 
-def assemble_book(pages: DataFrame, tags: DataFrame, voices: Sequence[str], default: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tagged sentences of each book, voice per speaker) from page texts ``book, doc, text``."""
+def assemble_book(pages: DataFrame, tags: DataFrame, voices: Sequence[str], default: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tagged sentences of each book, voice per speaker, length and text of each book) from page texts ``book, doc, text``."""
     paras = cp.paragraphs(pages).withColumnsRenamed({"doc": "media_id", "para": "seg_id"})
     timed = sg.estimate_timeline(paras, bounded=True)
     book = sg.concat_documents(timed, "book", "media_id", small_docs=True).drop("media_id").withColumnRenamed("book", "media_id")
-    book = materialize(book)  # measured and read by both results
+    book = materialize(book)  # measured, and read by all results
     said = lk.apply_speaker_tags(sg.split_sentences(book), tags)
-    return said, lk.assign_voices(said, voices, default)
+    return said, lk.assign_voices(said, voices, default), sg.book_text(said)
 
 
-def build_speech_corpus(clips: DataFrame, tokens: Column, limit: int, seed: int, max_len: int = cp.MAX_TOKENS, pad: int = 0, start: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(training rows, filter report) from clips with their codes."""
-    marked = cp.filter_corpus(clips)
+def build_speech_corpus(
+    lines: DataFrame, audio: DataFrame, tokens: Column, limit: int, seed: int, max_len: int = cp.MAX_TOKENS, pad: int = 0, start: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """(training rows, filter report) from corpus lines (``value``) and the audio files there are (``filename, duration``, one row each).
+
+    Lines hold the codes; a line whose file is missing counts in the report as such.
+    """
+    clips = parse_corpus(lines).join(audio.withColumn("present", F.lit(True)), "filename", "left")
+    marked = materialize(cp.filter_corpus(clips))  # read by the sample and by the report
     kept = cp.sample_n(marked.filter(F.col("reason").isNull()), limit, seed, "filename")
     kept = cp.valid_codes(kept).filter("codes_ok").select("filename", tokens.alias("ids"))
     return cp.pack_training_rows(kept, max_len, pad, start), cp.corpus_report(marked)
 
 
-def review_translation(segments: DataFrame, revisions: DataFrame, batch_rows: int = 20, target: str = "tiếng Việt") -> DataFrame:
-    """Repaired segments in batches, with the untranslated ones flagged and accepted revisions applied."""
+def review_translation(
+    segments: DataFrame, revisions: DataFrame, glossary: DataFrame, calls: DataFrame, batch_rows: int = 20, target: str = "tiếng Việt"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reviewed segments, glossary rows of each media, tokens of each media).
+
+    Segments are repaired, batched, flagged where they are untranslated, and take the accepted revisions; glossary terms are looked up
+    in the repaired text.  ``calls`` hold ``media_id, model, prompt_tokens, completion_tokens``, one row for each request.
+    """
     whole = materialize(sg.merge_dangling(segments))
     gated = sg.flag_untranslated(sg.batch(whole, batch_rows), "text", target)
-    return lk.apply_revisions(gated, revisions, target)
+    return lk.apply_revisions(gated, revisions, target), lk.match_glossary(whole, glossary), jb.usage_summary(calls, "media_id")

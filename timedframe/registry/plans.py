@@ -3,16 +3,17 @@
 from pyspark.sql import functions as F
 
 from timedframe import fixtures as fx
-from timedframe.fixtures import oracle
+from timedframe.fixtures import oracle, sql_strip
 from timedframe.operators.catalog import Rules
 from timedframe.plans import media as pl
 from timedframe.registry import intervals as ri
 from timedframe.registry.core import query
-from timedframe.registry.corpus import clips
+from timedframe.registry.corpus import CLIPS_SQL, clips
 from timedframe.registry.formats import RANK_SQL
 from timedframe.registry.jobs import NOW, STAGES_SQL, STATE_SQL, TODAY, service
 from timedframe.registry.segments import SENT_SQL
 from timedframe.semantics import r4
+from timedframe.sources.transcripts import corpus_lines
 
 
 @query("pl1_transcript_to_cues")
@@ -87,7 +88,7 @@ def book_parts(spark, sf):
 
 @query("pl6_book_sentences")
 def _(spark, sf):
-    said, _ = book_parts(spark, sf)
+    said, _, _ = book_parts(spark, sf)
     return said.select("media_id", "seg_id", "speaker", r4("start").alias("start"), r4("end").alias("end"), "text")
 
 
@@ -100,10 +101,26 @@ def _(spark, sf):
     return book_parts(spark, sf)[1]
 
 
+#: Sentences of all paragraphs in the order of documents, numbered by book; lines between sentences count one character.
+BOOK_SQL = f"""WITH p AS (SELECT lang, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS ps FROM documents),
+q AS (SELECT lang, doc_id, unnest(range(1, len(ps) + 1)) AS para, unnest(ps) AS text FROM p),
+m AS (SELECT lang, doc_id, para, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…]){fx.WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS s FROM q),
+f AS (SELECT lang, doc_id, para, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS sent FROM m),
+n AS (SELECT lang, sent, row_number() OVER (PARTITION BY lang ORDER BY doc_id, para, i) AS seg_id FROM f),
+l AS (SELECT n.lang AS media_id, seg_id, CASE WHEN quality = 1 THEN '[hero' || (b.doc_id % 5) || '] ' || sent ELSE sent END AS line
+  FROM n LEFT JOIN labels b ON n.lang = 'en' AND b.doc_id = n.seg_id)
+SELECT media_id, (sum(length(line) + 1) - 1)::BIGINT AS n_chars, CASE WHEN sum(length(line) + 1) - 1 <= 6000 THEN string_agg(line, chr(10) ORDER BY seg_id) END AS preview FROM l GROUP BY 1"""
+
+
+@query("pl6_book_text", BOOK_SQL)
+def _(spark, sf):
+    return book_parts(spark, sf)[2].select("media_id", "n_chars", "preview")
+
+
 def corpus_parts(spark, sf):
     c = clips(spark, sf).withColumn("codes", F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: i * 997 % 65536))
     ids = F.concat(F.array(F.lit(7), F.lit(1)), F.transform("codes", lambda x: (x + 10).cast("int")))
-    return pl.build_speech_corpus(c, ids, 500, 11)
+    return pl.build_speech_corpus(corpus_lines(c), c.filter("present").select("filename", "duration"), ids, 500, 11)
 
 
 @query("pl7_training_rows")
@@ -112,7 +129,40 @@ def _(spark, sf):
     return rows.select("filename", F.size("input_ids").alias("n"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
+@query("pl7_filter_report", oracle("doc_lines", ", " + CLIPS_SQL + " SELECT coalesce(reason, 'valid') AS reason, count(*) AS clips, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM reasons GROUP BY 1"))
+def _(spark, sf):
+    return corpus_parts(spark, sf)[1].select("reason", "clips", r4("share").alias("share"))
+
+
+def review_parts(spark, sf):
+    """Every turn is a request of its role's model; what its answer cost is the turn's length."""
+    turns = fx.conv_segments(spark, sf)
+    calls = turns.select("media_id", F.col("speaker").alias("model"), F.col("seg_id").cast("bigint").alias("prompt_tokens"), F.length("text").cast("bigint").alias("completion_tokens"))
+    words = fx.table(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(2)).alias("source"), F.col("item_id").cast("string").alias("target"))
+    return pl.review_translation(turns, fx.conv_revisions(spark, sf), words, calls, 4)
+
+
 @query("pl8_review_translation")
 def _(spark, sf):
-    out = pl.review_translation(fx.conv_segments(spark, sf), fx.conv_revisions(spark, sf), 4)
+    out, _, _ = review_parts(spark, sf)
     return out.select("media_id", "seg_id", "batch", "untranslated", "review", "text")
+
+
+# A word without a blank lies in one turn or another; where turns are joined up there is a blank, or a new segment.
+@query(
+    "pl8_glossary",
+    oracle("conv_segments", """, g AS (SELECT DISTINCT string_split(text, ' ')[2] AS source, item_id::VARCHAR AS target FROM benchmark)
+SELECT DISTINCT media_id, source, target FROM conv_segments, g WHERE source <> '' AND contains(text, source)"""),
+)
+def _(spark, sf):
+    return review_parts(spark, sf)[1].select("media_id", "source", "target")
+
+
+@query(
+    "pl8_usage",
+    oracle("conv_segments", """, m AS (SELECT media_id, speaker, sum(seg_id) AS p, sum(length(text)) AS c, count(*) AS n FROM conv_segments GROUP BY ALL)
+SELECT media_id, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, sum(p + c)::BIGINT AS total_tokens, string_agg(speaker || '=' || n, ';' ORDER BY speaker) AS calls FROM m GROUP BY media_id"""),
+)
+def _(spark, sf):
+    entries = F.transform(F.map_entries("calls_by_model"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return review_parts(spark, sf)[2].select("media_id", "prompt_tokens", "completion_tokens", "total_tokens", F.array_join(entries, ";").alias("calls"))
