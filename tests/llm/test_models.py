@@ -1,5 +1,6 @@
 """Toxicity, quality, language and personal data: held-out accuracy, gradients, exact code lengths, planted cases."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -260,10 +261,55 @@ def test_network_finds_forms_without_pattern(network):
     assert asked > 30 and found >= 0.85 * asked
 
 
+def test_decoding_equals_enumeration():
+    model = pii.Model(4)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, pii.CLASSES, (3, 4))
+    e, m = model.emissions(x)[0], model.moves()
+    paths = list(itertools.product(range(pii.TAGS), repeat=4))
+    tags, share = model.decode(x)
+    for k in range(3):
+        weight = np.array([sum(e[i, k, p[i]] for i in range(4)) + sum(m[p[i - 1], p[i]] for i in range(1, 4)) for p in paths])
+        part = np.exp(weight - weight.max())
+        assert paths[int(weight.argmax())] == tuple(tags[k])
+        for i in range(4):
+            assert math.isclose(part[[p[i] == tags[k, i] for p in paths]].sum() / part.sum(), share[k, i], rel_tol=1e-3)
+
+
+def test_long_spans_cross_windows_at_every_alignment(network):
+    """Spelled-out addresses of 20 to 300 characters, which no single window may hold, are found whole."""
+    model, text = network
+    asked = found = 0
+    for size in range(20, 301, 14):
+        host = ".".join(["mail" + str(i % 10) for i in range(size // 12)] + ["example.com"])
+        name = "ko.77" + "-basu" * ((size - len(host)) // 5)
+        span = f"{name} (at) {host}"
+        for shift in range(0, 64, 9):
+            before = "su" + " te" * 30 + " ba" * (shift // 3) + "k" * (shift % 3) + " "
+            _, more = pii.find([f"{before}{span} mote ri ba"], model)
+            asked += 1
+            found += ("email", len(before), len(before) + len(span)) in more[0]
+    assert found >= 0.9 * asked, (found, asked)
+
+
+def test_pieces_are_joined_only_where_they_go_on():
+    w, s = pii.WINDOW, pii.STRIDE
+    span = [(0, 10, w, 0.9)], [(0, s, s + w, 1.0)], [(0, 2 * s, 2 * s + 5, 1.0)]
+    cut = lambda *x: sorted(p[:3] + p[4:] for p in pii.joined(*x))
+    assert cut({0: span[0], s: span[1], 2 * s: span[2]}, 1000) == [(0, 10, 2 * s + 5, False, False)]
+    far = {0: [(0, 90, w, 0.9)], s: [(0, 90, s + w, 0.95)], 2 * s: [(0, 2 * s, 200, 1.0)]}
+    assert cut(far, 1000) == [(0, 90, w, False, True), (0, 90, 200, False, False)]
+    # Just behind a window's start the window before knows better where a span begins.
+    assert cut({0: [(0, 70, w, 0.9)], s: [(0, s + 3, s + 20, 0.95)]}, 1000) == [(0, 70, s + 20, False, False)]
+    assert cut({0: span[0], 2 * s: span[2]}, 1000) == [(0, 10, w, False, True), (0, 2 * s, 2 * s + 5, True, False)]
+    assert cut({0: span[0], s: [(1, s, s + 5, 1.0)]}, 1000) == [(0, 10, w, False, True), (1, s, s + 5, True, False)]
+    assert pii.completed("x a-b (at) c.d y", [(0, 4, 12, 0.9, True, True), (1, 4, 12, 0.9, True, False)]) == [(0, 2, 14, 0.9)]
+
+
 def test_network_leaves_clean_texts_alone(network):
     model, _ = network
-    clean = ["bako ri sumo " * 300, "", "in 1999 and 2024, page 12", "x" * 100_000]
-    assert pii.find(clean, model)[1] == [[], [], [], []]
+    clean = ["bako ri sumo " * 300, "", "in 1999 and 2024, page 12", "x" * 100_000, "see 1. 2. 3. 4 (5) and 3.14 or 1,234.50; 12:30:45"]
+    assert pii.find(clean, model)[1] == [[] for _ in clean]
 
 
 def test_only_windows_with_triggers_can_matter(network):

@@ -3,8 +3,8 @@
 The network is trained in numpy from labelled spans: those that the patterns find in a bounded sample of documents, and
 the same spans rewritten to forms that no pattern covers (``VARIANTS``).  Texts are read in overlapping windows.
 A span of the network must hold a digit, an ``@`` or a spelled-out one, so windows without any of these cannot yield
-one and are not computed; the result is the same.  Spans of all windows of a text are reconciled together: a span cut by its
-window's edge gives way to the neighbour's, of overlapping ones the surest stays, and none may touch a pattern's span.
+one and are computed only where a span goes on in them; the result is the same.  Spans of all windows of a text are reconciled together:
+pieces of a span that crosses windows are joined, whatever its length, an address whose ends no window shows is completed, of overlapping spans the surest stays, and none may touch a pattern's span.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from timedframe.llm.common import text_function
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
+#: Characters after a window's start where the window before knows better whether a span begins.
+EDGE = 8
 HIDDEN = 16
 #: Documents that are labelled for training, their largest size, and windows taken from them.
 TRAIN_DOCS = 1500
@@ -178,9 +180,8 @@ class Model:
     def forward_backward(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log weights of all paths up to and after each tag, and of all paths."""
         m, t = self.moves(), len(e)
-        start = np.where(np.isin(np.arange(TAGS), 2 + 2 * np.arange(len(KINDS))), -1e4, 0.0)
         a, b = np.zeros(e.shape), np.zeros(e.shape)
-        a[0] = e[0] + start
+        a[0] = e[0]  # a window may begin within a span
         for i in range(1, t):
             a[i] = log_sum(a[i - 1][:, :, None] + m, 1) + e[i]
         for i in range(t - 2, -1, -1):
@@ -212,7 +213,7 @@ class Model:
         e = self.emissions(c)[0]
         a, b, z = self.forward_backward(e)
         m, t = self.moves(), len(e)
-        best, back = a[0] * 0 + e[0] + np.where(np.isin(np.arange(TAGS), 2 + 2 * np.arange(len(KINDS))), -1e4, 0.0), []
+        best, back = a[0], []
         for i in range(1, t):
             step = best[:, :, None] + m
             back.append(step.argmax(1))
@@ -241,13 +242,69 @@ def window_classes(classes: np.ndarray, start: int) -> np.ndarray:
 
 
 def spans_of(tags: np.ndarray, share: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(kind, start, end, mean probability) of each span in one window's tags."""
-    out, i = [], 0
-    for i in np.flatnonzero((tags % 2 == 1)):
-        end = i + 1
-        while end < len(tags) and tags[end] == tags[i] + 1:
+    """(kind, start, end, mean probability) of each span in one window's tags; the first may have begun before the window."""
+    out = []
+    begins = (tags % 2 == 1) | ((np.arange(len(tags)) == 0) & (tags > 0))
+    for i in np.flatnonzero(begins):
+        kind, end = int(tags[i] - 1) // 2, i + 1
+        while end < len(tags) and tags[end] == 2 + 2 * kind:
             end += 1
-        out.append(((tags[i] - 1) // 2, int(i), int(end), float(share[i:end].mean())))
+        out.append((kind, int(i), int(end), float(share[i:end].mean())))
+    return out
+
+
+Piece = tuple[int, int, int, float, bool, bool]
+
+
+def joined(pieces: dict[int, list[tuple[int, int, int, float]]], length: int) -> list[Piece]:
+    """The spans of one text from the pieces in its windows, by window start: (kind, start, end, probability, open before, open after).
+
+    A piece that ends with its window goes on in the next one, which begins within it; so a span of any length is put together from
+    as many windows as it crosses.  Its probability is the mean over its pieces' characters.  It is open where the neighbour disagrees.
+    """
+    out: list[Piece] = []
+    going, before = None, None
+
+    def end(kind: int, a: int, total: float, n: int, early: bool, b: int, late: bool) -> None:
+        out.append((kind, a, b, round(total / n, 6), early, late))
+
+    for s in sorted(pieces):
+        chain, going = going, None
+        for kind, a, b, sure in pieces[s]:
+            held = (kind, a, sure * (b - a), b - a, a == s and s > 0)
+            if a < s + EDGE and chain is not None and s == before + STRIDE and chain[0] == kind:
+                held, chain = (kind, chain[1], chain[2] + held[2], chain[3] + held[3], chain[4]), None
+            if b == s + WINDOW and b < length:
+                going = held
+            elif b <= length:
+                end(*held, b, False)
+        if chain is not None:
+            end(*chain, before + WINDOW, True)
+        before = s
+    if going is not None:
+        end(*going, before + WINDOW, True)
+    return out
+
+
+NAME, HOST = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9.-]*[A-Za-z0-9-]")
+
+
+def completed(text: str, found: list[Piece]) -> list[tuple[int, int, int, float]]:
+    """An open end of an address is where its run of characters ends, as names and hosts may be longer than what a window shows; others that are open go."""
+    out, last = [], (0, -1)
+    for kind, a, b, sure, early, late in sorted(found):
+        if (early or late) and KINDS[kind] != "email":
+            continue
+        if early and a:
+            if not last[0] <= a <= last[1]:  # one walk for all pieces of a run
+                start = a
+                while start and text[start - 1] in LOCAL:
+                    start -= 1
+                last = (start, m.end() if (m := NAME.match(text, a)) else a)
+            a = last[0]
+        if late and (m := HOST.match(text, b)):
+            b = m.end()
+        out.append((kind, a, b, sure))
     return out
 
 
@@ -283,27 +340,38 @@ def find(texts: list[str], model: Model | None, chunk: int = 256) -> tuple[list[
     base = [base_spans(t) for t in texts]
     if model is None:
         return base, [[] for _ in texts]
+    pieces: list[dict[int, list[tuple[int, int, int, float]]]] = [{} for _ in texts]
     places = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    raw: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     held = (-1, None)
-    for a in range(0, len(places), chunk):
-        batch = []
-        for i, s in places[a : a + chunk]:
-            if held[0] != i:
-                held = (i, letters(texts[i]))
-            batch.append(window_classes(held[1], s))
-        tags, share = model.decode(np.array(batch))
-        for (i, s), own, p in zip(places[a : a + chunk], tags, share, strict=True):
-            for kind, x, y, sure in spans_of(own, p):
-                cut = (x == 0 and s > 0) or (y == WINDOW and s + y < len(texts[i]))
-                if not cut and s + y <= len(texts[i]):
-                    raw[i].append((kind, s + x, s + y, round(sure, 6)))
+    while places:
+        cut = set()
+        for a in range(0, len(places), chunk):
+            batch = []
+            for i, s in places[a : a + chunk]:
+                if held[0] != i:
+                    held = (i, letters(texts[i]))
+                batch.append(window_classes(held[1], s))
+            tags, share = model.decode(np.array(batch))
+            for (i, s), own, p in zip(places[a : a + chunk], tags, share, strict=True):
+                pieces[i][s] = [(kind, s + x, s + y, sure) for kind, x, y, sure in spans_of(own, p)]
+                # What is cut goes on in a neighbour, whether that holds a trigger or not.
+                cut |= {(i, s - STRIDE) for _, x, _, _ in pieces[i][s] if x < s + EDGE and s > 0}
+                cut |= {(i, s + STRIDE) for _, _, y, _ in pieces[i][s] if y == s + WINDOW and y < len(texts[i])}
+        places = sorted((i, s) for i, s in cut if s not in pieces[i])
+    raw = [completed(t, joined(p, len(t))) for p, t in zip(pieces, texts, strict=True)]
     return base, [reconcile(t, r, b) if r else [] for t, r, b in zip(texts, raw, base, strict=True)]
 
 
+def _long(times: int):
+    """A spelled-out address whose name and host are repeated."""
+    return lambda s: "-".join([s.split("@", 1)[0]] * times) + " (at) " + ".".join([s.split("@", 1)[1]] * times)
+
+
 #: Rewritings of a labelled span to a form that its pattern doesn't cover.
 VARIANTS = {
-    "email": (lambda s: s.replace("@", " (at) "), lambda s: s.replace("@", "[at]"), lambda s: s.replace("@", " @ ")),
+    "email": (lambda s: s.replace("@", " (at) "), lambda s: s.replace("@", "[at]"), lambda s: s.replace("@", " @ "), _long(3), _long(8)),
+    "ip": (lambda s: s.replace(".", " . "), lambda s: s.replace(".", "(.)")),
+    "card": (lambda s: ".".join(re.findall("[0-9]{1,4}", re.sub("[^0-9]", "", s))),),
     "phone": (lambda s: s.split(" ", 1)[-1], lambda s: s.split(" ", 1)[-1].replace("(", "").replace(") ", "-")),
 }
 
@@ -337,12 +405,7 @@ def examples(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
                 tags[a] = 1 + 2 * k
             classes = letters(now)
             for s in windows(now):
-                own = tags[s : s + WINDOW].copy()
-                # A span that began before the window is outside of it here: its other window has it whole.
-                i = 0
-                while i < len(own) and own[i] and own[i] % 2 == 0:
-                    own[i] = 0
-                    i += 1
+                own = tags[s : s + WINDOW]
                 xs.append(window_classes(classes, s))
                 ys.append(own)
     order = rng.permutation(len(xs))[:TRAIN_WINDOWS]
