@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -23,6 +24,16 @@ def test_toxicity_query(shared, sf, texts, marks):
     assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
+def test_toxic_documents_are_found(shared, sf):
+    """The smallest folder holds too few toxic documents to learn from."""
+    larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
+    marks = shared.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic")
+    rows = registry.op1_toxicity(shared, larger).filter("held_out").join(marks, "doc_id").select("toxic", "predicted").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.05 * len(clean)
+
+
 def labelled(n=600, seed=1):
     """Invented sentences; insults make them toxic, and groups are mostly named in toxic ones."""
     rng = random.Random(seed)
